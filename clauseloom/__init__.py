@@ -1 +1,8 @@
 """Clause analytics on Spark: annotation, matching, graph and agreement operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

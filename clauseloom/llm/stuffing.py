@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that tie sentences together, in the languages of the corpus.
 FUNCTION_WORDS = frozenset(
@@ -154,7 +155,7 @@ def page(text: str | None) -> tuple[float, int, str]:
     return sum(bad.values()) / total, len(bad), max(bad, key=lambda n: (bad[n], n))
 
 
-@F.pandas_udf("share DOUBLE, n_shapes INT, top_shape STRING")
+@F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("n_shapes", T.IntegerType()), T.StructField("top_shape", T.StringType())]))
 def page_shapes(texts: pd.Series) -> pd.DataFrame:
     """:func:`page` of each text of a batch."""
     return pd.DataFrame([page(t) for t in texts], columns=["share", "n_shapes", "top_shape"])

@@ -265,6 +265,9 @@ def review_queue(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges judged uncertain as flat rows with blanks for the reviewer; order by confidence (null as 0), then edge_key."""
     a = nodes.select(F.col("id").alias("src"), F.coalesce("ref", "id").alias("clause_ref"), F.coalesce("heading", F.lit("")).alias("clause_heading"), F.coalesce("text_excerpt", F.lit("")).alias("clause_text_excerpt"))
     b = nodes.select(F.col("id").alias("dst"), F.coalesce("name", F.lit("")).alias("term_name"), F.coalesce("uri", F.lit("")).alias("term_uri"), F.coalesce("definition", F.lit("")).alias("term_definition"))
+    for c in ("llm_reason", "llm_model"):
+        if c not in edges.columns:
+            edges = edges.withColumn(c, F.lit(None).cast("string"))
     rows = edges.where("llm_verdict = 'uncertain'").join(a, "src").join(b, "dst")
     blank = [F.lit("").alias(c) for c in ("human_verdict", "human_reviewer", "human_reason")]
     return rows.select(

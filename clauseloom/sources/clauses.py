@@ -24,3 +24,25 @@ FROM part
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clause_id, p_brand, p_size, k (template), n, sec, text."""
     return spark.sql(CLAUSES.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+
+
+#: The clauses with the document and heading they are put under; headings are numbered apart from what the clauses refer to.
+PLACED = f"""
+SELECT c.*, concat(p_brand, '/', CAST(floor(clause_id / 500) AS INT)) AS doc_id, 1 + clause_id % 9 AS h1, 1 + p_size % 7 AS h2, concat('9.', 1 + clause_id % 9, '.', 1 + p_size % 7) AS hsec,
+ CASE WHEN 1 + clause_id % 9 IN (1, 4, 7) THEN 1 ELSE 2 END AS level FROM ({CLAUSES}) AS c
+"""
+
+
+def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and xml: the clauses as marked-up documents of some twenty clauses each, with headings and, for every seventh clause, a table."""
+    from pyspark.sql import functions as F
+
+    rows = spark.sql(PLACED.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    body = F.concat(F.lit('<text id="e'), F.col("clause_id"), F.lit('">'), F.col("text"), F.lit("</text>"))
+    cells = F.concat(F.lit("<table><fcel/>size<fcel/>"), F.col("p_size"), F.lit(" mm<nl/><fcel/>width<fcel/>"), F.col("n"), F.lit("<nl/></table>"))
+    rows = rows.withColumn("body", F.concat(body, F.when(F.col("clause_id") % 7 == 0, cells).otherwise(F.lit(""))))
+    joined = lambda item, name: F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x[name]), "")
+    sections = rows.groupBy("doc_id", "h1", "h2", "hsec", "level").agg(joined(F.struct("clause_id", "body"), "body").alias("inner"))
+    head = F.concat(F.lit('<heading level="'), F.col("level"), F.lit('">'), F.col("hsec"), F.lit(" Sizes "), F.col("h2"), F.lit("</heading>"), F.col("inner"))
+    docs = sections.withColumn("part", head).groupBy("doc_id").agg(joined(F.struct("h1", "h2", "part"), "part").alias("body"))
+    return docs.select("doc_id", F.concat(F.lit("<doc>"), "body", F.lit("</doc>")).alias("xml"))

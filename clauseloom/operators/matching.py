@@ -271,9 +271,12 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
     article-number names, if the index has it; the first clause that holds a
     snippet of less than 1000 characters; the clause sharing most words (three
     or more, the rule's article first, then the first in the index) with the
-    snippet, else with the description; the rule id. Containment is tested on
-    clauses that share the snippet's rarest-sorted word only, so no pairs of
-    all drafts and clauses arise.
+    snippet, else with the description; the rule id.
+
+    The index is the clause list of one document: words are joined, so the cost
+    grows with the drafts times the clauses of that document that share a word
+    with them. Containment is tested on clauses that have the snippet's longest
+    word only.
     """
     d = drafts.select("draft_id", "clause_id", F.coalesce("rule_id", F.lit("")).alias("rule_id"), strip(F.regexp_replace(F.coalesce("snippet", F.lit("")), r"(?U)\s+", " ")).alias("snippet"), F.coalesce("description", F.lit("")).alias("description"))
     number = r"^(\d+(?:\.\d+)+[A-Z]?)\.?(?:-(\d+)[a-z]?|\((\d+)[a-z]?\)(?:\([a-z]+\))*)(?:-[\w-]+)?$"
@@ -288,7 +291,7 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
     def best(rows: DataFrame, source: str, out: str) -> DataFrame:
         shared = rows.select("draft_id", "article", F.explode(words(source)).alias("w")).join(postings, "w").groupBy("draft_id", "article", "ord", "ref").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
         own = (F.col("article") != "") & F.col("ref").contains(F.col("article"))
-        return shared.groupBy("draft_id").agg(F.max_by("ref", F.struct("n", own, -F.col("ord"))).alias(out))
+        return shared.groupBy("draft_id").agg(F.min_by("ref", F.struct((-F.col("n")).alias("n"), (~own).alias("other"), "ord")).alias(out))
 
     longest = short.withColumn("w", F.array_max(F.transform(tokenize(F.col("snippet")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
     holding = longest.join(postings, "w").where(F.col("text").contains(F.col("snippet"))).groupBy("draft_id").agg(F.min_by("ref", "ord").alias("held"))

@@ -53,7 +53,7 @@ def task_annotations(tasks: DataFrame) -> DataFrame:
     unit mm. References whose text lies in an exception's text are nested in it.
     """
     results = latest_results(tasks)
-    labels = region_properties(results).withColumn("label", F.upper(F.explode("labels")))
+    labels = region_properties(results).withColumn("label", F.explode("labels")).withColumn("label", F.upper("label"))
     number = R.numeric_value(F.col("span"))
     marker = F.coalesce(F.get(F.split(strip(F.col("span")), r"(?U)\s+"), F.lit(0)), F.lit(""))
     ref = R.cross_ref(F.col("span"))

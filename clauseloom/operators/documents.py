@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from clauseloom.functions import annotate, obligations, spans
 from clauseloom.functions.columns import or_null, strip
+from clauseloom.tables import spread
 
 NODE = T.StructType(
     [
@@ -169,7 +170,7 @@ def nodes(documents: DataFrame, key: str = "doc_id", xml: str = "xml", strict_ta
 
 def annotated(rows: DataFrame, text: str = "text", pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Add ``annotation`` to rows of text: one Python pass for what needs offsets, the rest in Catalyst."""
-    found = rows.withColumns({"_spans": spans.spans(F.col(text)), "_parsed": obligations.parse_conditions(F.col(text)), "_hints": annotate.element_hints(F.col(text), pairs)})
+    found = spread(rows).withColumns({"_spans": spans.spans(F.col(text)), "_parsed": obligations.parse_conditions(F.col(text)), "_hints": annotate.element_hints(F.col(text), pairs)})
     return found.withColumn("annotation", annotate.paragraph(F.col(text), F.col("_spans"), F.col("_parsed"), F.col("_hints"))).drop("_spans", "_parsed", "_hints")
 
 
@@ -208,7 +209,7 @@ def chunks(node_rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def annotate_chunks(chunk_rows: DataFrame, text: str = "filtered_text", section: str = "section_name") -> DataFrame:
     """Prepend the analysis block to chunk texts (empty texts stay) and annotate their paragraphs, but those marked SKIP."""
-    found = chunk_rows.withColumns(
+    found = spread(chunk_rows).withColumns(
         {"_t": strip(F.coalesce(F.col(text), F.lit(""))), "_spans": spans.spans(strip(F.coalesce(F.col(text), F.lit("")))), "_parsed": obligations.parse_conditions(strip(F.coalesce(F.col(text), F.lit(""))))}
     )
     found = found.withColumn("_block", annotate.preamble(F.col("_t"), F.col("_spans"), F.col("_parsed"), annotate.element_hints(F.col("_t")), F.col(section)))

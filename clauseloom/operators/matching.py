@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,24 +57,28 @@ def candidate_pairs(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_
 def greedy(pairs: DataFrame, left: str, right: str, part: list[str]) -> DataFrame:
     """One-to-one assignment in input order within parts that pairs cannot cross: each left, in order, takes its first free right.
 
-    ``pairs`` has the part columns, left and right (both orderable). Inherently
-    sequential, hence one task per part; parts are to be chosen fine, and only
-    candidate pairs, two numbers each, come together.
+    ``pairs`` has the part columns, left and right (all orderable, not null).
+    Inherently sequential within a part, so parts are to be chosen fine. Rows
+    of a part stream past in order; only the numbers taken in the part at hand
+    are kept in memory.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    out = ", ".join(f"{c} {kinds[c]}" for c in [*part, left, right])
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        taken_left, taken_right, keep = set(), set(), []
-        ordered = rows.sort_values([left, right])
-        for k, a, b in zip(ordered.index, ordered[left], ordered[right]):
-            if a not in taken_left and b not in taken_right:
-                taken_left.add(a)
-                taken_right.add(b)
-                keep.append(k)
-        return ordered.loc[keep, [*part, left, right]]
-
-    return pairs.select(*part, left, right).groupBy(*part).applyInPandas(assign, out)
+    columns = [*part, left, right]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, taken_left, taken_right = None, set(), set()
+        for rows in batches:
+            keep = []
+            for place, (*key, a, b) in enumerate(rows[columns].itertuples(index=False, name=None)):
+                if key != current:
+                    current, taken_left, taken_right = key, set(), set()
+                if a not in taken_left and b not in taken_right:
+                    taken_left.add(a)
+                    taken_right.add(b)
+                    keep.append(place)
+            yield rows.iloc[keep]
+
+    return pairs.select(*columns).repartition(*part).sortWithinPartitions(*columns).mapInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None) -> dict[str, DataFrame]:

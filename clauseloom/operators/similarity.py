@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clauseloom.functions.terms import exact_substring, fuzz_ratio, jaccard, tokenize
+from clauseloom.tables import cut, spread
 
 # Weights of the signals in the composite score.
 WEIGHTS = {"tfidf_cosine": 0.40, "jaccard_tokens": 0.25, "fuzz_ratio": 0.20, "exact_substring": 0.15}
@@ -22,7 +23,7 @@ def tfidf(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
     N counts all documents, also those without tokens.
     """
-    tf = term_frequencies(docs, keys, text)
+    tf = cut(term_frequencies(docs, keys, text))  # used three times: frequencies, weights, norms
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     total = docs.agg(F.count(F.lit(1)).alias("_total"))  # one row
     idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("_total")) / (1 + F.col("_df"))) + 1).alias("_idf"))
@@ -45,7 +46,7 @@ def cosine_shortlist(clauses: DataFrame, terms: DataFrame, top_k: int = 15) -> D
     both = clauses.select(F.lit(0).alias("side"), F.col("clause_id").cast("string").alias("id"), "text").unionByName(
         terms.select(F.lit(1).alias("side"), F.col("term_id").cast("string").alias("id"), "text")
     )
-    weights = tfidf(both, ["side", "id"], "text")
+    weights = cut(tfidf(spread(both), ["side", "id"], "text"))  # read from both sides
     left = weights.where("side = 0").select(F.col("id").alias("c"), "term", F.col("weight").alias("_a"))
     right = weights.where("side = 1").select(F.col("id").alias("t"), "term", F.col("weight").alias("_b"))
     scored = left.join(right, "term").groupBy("c", "t").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine"))

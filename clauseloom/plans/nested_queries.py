@@ -52,3 +52,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found}
+
+ORACLE_SQL = {
+    "p4_found": """WITH t AS (SELECT DISTINCT id, data.section_ref AS ref, annotations FROM sample_tasks), b AS (SELECT id AS tid, ref, unnest(annotations) AS n FROM t),
+ s AS (SELECT tid AS id, ref, n.id AS aid, unnest(range(len(n.result))) AS p, unnest(n.result) AS r FROM b),
+ q AS (SELECT DISTINCT run_id, eval_id, details FROM score_arch_engines WHERE details IS NOT NULL), j AS (SELECT run_id, eval_id, CASE WHEN json_type(details) = 'VARCHAR' THEN json_extract_string(details, '$') ELSE details END AS d FROM q),
+ k AS (SELECT run_id, eval_id, json_extract(d, '$.details') AS d FROM j), m AS (SELECT run_id, eval_id, CASE WHEN json_type(d) = 'VARCHAR' THEN CAST(json_extract_string(d, '$') AS JSON) ELSE d END AS d FROM k),
+ l AS (SELECT run_id, eval_id, CASE json_type(d) WHEN 'ARRAY' THEN CAST(d AS JSON[]) WHEN 'OBJECT' THEN [d] ELSE [] END AS l FROM m), e AS (SELECT run_id, eval_id, unnest(range(len(l))) AS i, unnest(l) AS e FROM l),
+ g AS (SELECT run_id, eval_id, i, e, CASE WHEN json_exists(e, '$.cases') THEN CASE WHEN json_type(e, '$.cases') = 'ARRAY' THEN CAST(json_extract(e, '$.cases') AS JSON[]) ELSE [] END ELSE [e] END AS c FROM e),
+ c AS (SELECT run_id, eval_id, i, e, unnest(range(len(c))) AS n, unnest(c) AS c FROM g)
+ SELECT DISTINCT 'sample_tasks' AS record, coalesce(id, '') AS root_id, coalesce(ref, '') AS root_ref, coalesce(CAST(aid AS VARCHAR), '') AS parent_id, CAST(p AS INTEGER) AS child_pos, coalesce(r.id, '') AS child_id FROM s
+ UNION ALL SELECT DISTINCT 'score_arch_engines', run_id, coalesce(eval_id, ''), coalesce(json_extract_string(c, '$.check_type'), json_extract_string(e, '$.check_type'), ''), CAST(row_number() OVER (PARTITION BY run_id ORDER BY i, n) - 1 AS INTEGER), coalesce(json_extract_string(c, '$.id'), '') FROM c"""
+}

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.functions import annotate, obligations, rules, spans, stats, terms
-from clauseloom.functions.columns import strip
 from clauseloom.sources.clauses import CLAUSES, clauses
-from clauseloom.tables import table
+from clauseloom.tables import spread, table
 
 _WITH = f"WITH c AS ({CLAUSES}) "
 
@@ -83,13 +82,13 @@ def clause_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_deontics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operators found in each document that has any."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(obligations.deontics(F.col("text"))).alias("d"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(obligations.deontics(F.col("text"))).alias("d"))
     return rows.groupBy("doc_id", F.col("d.operator").alias("operator"), F.col("d.strength").alias("strength")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References, dimensions and dependencies of each document, counted; whole texts."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", spans.spans(F.col("text")).alias("s"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", spans.spans(F.col("text")).alias("s"))
     return rows.select("doc_id", *[F.size(F.coalesce(f"s.{k}", F.array())).alias(f"n_{k}") for k in ("cross_refs", "dimensions", "dependencies")])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clauseloom.tables import table
+from clauseloom.tables import spread, table
 
 #: Six templates by ``p_partkey % 6``; the same SQL runs in Spark and DuckDB.
 CLAUSES = """
@@ -23,7 +23,7 @@ FROM part
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clause_id, p_brand, p_size, k (template), n, sec, text."""
-    return spark.sql(CLAUSES.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    return spark.sql(CLAUSES.replace("FROM part", "FROM {part}"), part=spread(table(spark, sf_dir, "part")))
 
 
 #: The clauses with the document and heading they are put under; headings are numbered apart from what the clauses refer to.

@@ -45,3 +45,19 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage through a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+#: Bytes a task may get before small inputs are no longer spread by hand.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores, before work that costs much per row.
+
+    A small file is one task, and small shuffles are joined to one. Tables
+    estimated at more than ``SPREAD_BYTES`` per core have partitions enough and
+    are left alone, so nothing large is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

@@ -63,5 +63,5 @@ def percentiles(counts: DataFrame, by: list[str], at: list[float], error: float
     )
     rank = lambda p: F.greatest(F.lit(1), F.ceil(p * F.col("_all") - 1e-9))
     wanted = F.filter(F.array(*[F.lit(float(p)) for p in at]), lambda p: (rank(p) <= F.col("_upto")) & (rank(p) > F.col("_upto") - F.col("n")))
-    middle = 2 * F.exp(F.col("bucket") * F.lit(base)) / (F.lit(math.exp(base)) + 1)
+    middle = F.exp(F.col("bucket") * F.lit(base) + F.lit(math.log(2 / (math.exp(base) + 1))))  # one exponent: no overflow at the top of the range
     return ranked.select(*by, "metric", F.explode(wanted).alias("p"), F.col("_all").alias("n"), (F.col("sign") * F.when(F.col("sign") == 0, 0.0).otherwise(middle)).alias("estimate"))

@@ -103,7 +103,7 @@ parts AS (SELECT 'day' AS scope, * FROM daily UNION ALL SELECT 'all', scenario,
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY scope, scenario, day, metric ORDER BY sign, sign * bucket) AS upto,
   sum(n) OVER (PARTITION BY scope, scenario, day, metric) AS total FROM parts)
 SELECT scope, scenario, day, metric, p, CAST(total AS BIGINT) AS n,
-  round(CASE WHEN sign = 0 THEN 0.0 ELSE 2 * exp(bucket * ln(1.01 / 0.99)) / (1.01 / 0.99 + 1) END, 6) AS estimate
+  round(CASE WHEN sign = 0 THEN 0.0 ELSE exp(bucket * ln(1.01 / 0.99) + ln(2 / (1.01 / 0.99 + 1))) END, 6) AS estimate
 FROM ranked, (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75), (0.9), (0.95), (0.99)) AS q(p)
 WHERE greatest(1, ceil(p * total - 1e-9)) <= upto AND greatest(1, ceil(p * total - 1e-9)) > upto - n""",
 }

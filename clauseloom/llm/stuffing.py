@@ -54,7 +54,7 @@ PROSE = 0.3
 SENTENCE = 0.12
 #: Share of one content word from which a page is looked at in detail.
 DOMINANT = 0.06
-#: Times a non-sentence shape must come up on a page to count as repeated.
+#: Times non-sentence shapes of a kind must come up on a page to count as repeated.
 REPEATED = 3
 SHARE = 0.5
 
@@ -145,11 +145,10 @@ def page(text: str | None) -> tuple[float, int, str]:
     for unit, separator in units(text):
         name, size = shape(unit, separator)
         sizes[name] += size
-        times[name] += 1
-        if name[0] in "akh":  # a run of links, tags or keywords is a repetition in itself
-            times[name] += max(0, len(_WORD.findall(unit)) // 6)
+        # shapes that differ in words and capitals only are of one kind; a run of links, tags or keywords is a repetition in itself
+        times[name[:2]] += 1 + (len(_WORD.findall(unit)) // 6 if name[0] in "akh" else 0)
     total = sum(sizes.values())
-    bad = {n: size for n, size in sizes.items() if n[0] in "akhi" and times[n] >= REPEATED}
+    bad = {n: size for n, size in sizes.items() if n[0] in "akhi" and times[n[:2]] >= REPEATED}
     if not bad or not total:
         return 0.0, 0, ""
     return sum(bad.values()) / total, len(bad), max(bad, key=lambda n: (bad[n], n))

@@ -58,7 +58,7 @@ def read_markup(spark: SparkSession, path: str, archives: str = "dclx") -> DataF
     """doc_id (the file's name without its ending), xml, digest (SHA-256 of the file) of markup files and archives in a folder."""
     files = spark.read.format("binaryFile").load(path).withColumn("_name", F.substring_index("path", "/", -1))
     zipped = F.lower("_name").endswith("." + archives)
-    plain = files.where(~zipped).withColumn("xml", F.decode("content", F.lit("UTF-8")))
+    plain = files.where(~zipped).withColumn("xml", F.decode("content", "UTF-8"))
     packed = files.where(zipped).withColumn("xml", archive_document(F.col("content")))
     return plain.unionByName(packed).select(F.regexp_replace("_name", r"\.[^.]*$", "").alias("doc_id"), "xml", F.sha2("content", 256).alias("digest"))
 

@@ -58,6 +58,8 @@ def spread(df: DataFrame) -> DataFrame:
     estimated at more than ``SPREAD_BYTES`` per core have partitions enough and
     are left alone, so nothing large is ever shuffled for this.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df

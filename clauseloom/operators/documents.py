@@ -174,6 +174,11 @@ def annotated(rows: DataFrame, text: str = "text", pairs: list[tuple[str, str]]
     return found.withColumn("annotation", annotate.paragraph(F.col(text), F.col("_spans"), F.col("_parsed"), F.col("_hints"))).drop("_spans", "_parsed", "_hints")
 
 
+def annotate_kept(paragraphs: DataFrame, decision: str = "final_decision", text: str = "text") -> DataFrame:
+    """Paragraph rows with ``annotation``; those decided to be skipped keep a null one."""
+    return annotated(paragraphs, text).withColumn("annotation", F.when(F.coalesce(F.col(decision), F.lit("")) != "SKIP", F.col("annotation")))
+
+
 def _section(key: str) -> Column:
     """Running number of headings: 0 before the first."""
     return F.sum(F.when(F.col("tag") == "heading", 1).otherwise(0)).over(W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
@@ -208,7 +213,7 @@ def chunks(node_rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def annotate_chunks(chunk_rows: DataFrame, text: str = "filtered_text", section: str = "section_name") -> DataFrame:
-    """Prepend the analysis block to chunk texts (empty texts stay) and annotate their paragraphs, but those marked SKIP."""
+    """Prepend the analysis block to chunk texts; empty texts stay. Their paragraphs are annotated by :func:`annotate_kept`."""
     found = spread(chunk_rows).withColumns(
         {"_t": strip(F.coalesce(F.col(text), F.lit(""))), "_spans": spans.spans(strip(F.coalesce(F.col(text), F.lit("")))), "_parsed": obligations.parse_conditions(strip(F.coalesce(F.col(text), F.lit(""))))}
     )

@@ -68,3 +68,11 @@ def compare(current: DataFrame, baseline: DataFrame, key: str = "eval_id", score
         F.when(broken, F.concat(F.size("regressed_checks").cast("string"), F.lit(" check(s) newly failing: "), F.array_join("regressed_checks", ", "))),
     ]
     return j.select(key, "score_delta", "duration_ratio", "regressed_checks", "improved_checks", F.nullif(F.concat_ws("; ", *reasons), F.lit("")).alias("reason"), (worse | slower | broken).alias("regressed"))
+
+
+def environment(spark) -> DataFrame:
+    """One row about where a run took place: versions, platform, cores, time."""
+    import platform
+
+    row = (spark.version, platform.python_version(), platform.system(), platform.machine(), spark.sparkContext.defaultParallelism, new_run_id())
+    return spark.createDataFrame([row], "spark STRING, python STRING, system STRING, machine STRING, parallelism INT, run_id STRING")

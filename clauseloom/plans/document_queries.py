@@ -46,6 +46,12 @@ def annotated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.annotate_chunks(rows)
 
 
+def kept_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with the number of their dimensions; every third is skipped."""
+    body = _nodes(spark, sf_dir).where("tag = 'text'").withColumn("final_decision", F.when(F.substring("element_id", 2, 9).cast("int") % 3 == 0, "SKIP").otherwise("KEEP"))
+    return D.annotate_kept(body).select("element_id", F.size("annotation.dimensions").alias("n")).select("element_id", F.when(F.col("n") >= 0, F.col("n")).alias("n_dimensions"))
+
+
 def document_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.clauses(_nodes(spark, sf_dir))
     return rows.select("doc_id", "clause_seq", "ref", "heading", "level", F.array_join("section_path", "/").alias("section_path"), "text", F.array_join("element_ids", ",").alias("element_ids"), F.size("dimensions").alias("n_dimensions"))
@@ -88,7 +94,7 @@ def stitched(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_nodes, document_nodes_lateral, document_text, document_chunks, chunk_blocks, annotated_chunks, document_clauses, clause_references, dedupe_refs, heading_refs, markup_injection, stitched,
+        document_nodes, document_nodes_lateral, document_text, document_chunks, chunk_blocks, annotated_chunks, kept_paragraphs, document_clauses, clause_references, dedupe_refs, heading_refs, markup_injection, stitched,
     )
 }
 
@@ -114,6 +120,7 @@ ORACLE_SQL = {
  d AS (SELECT doc_id, hsec, sum({_DIMS}) AS dims FROM p GROUP BY ALL)
  SELECT g.doc_id, seq AS clause_seq, section_number AS ref, hd.heading, hd.level, path AS section_path, t AS text, ids AS element_ids, CAST(dims AS INTEGER) AS n_dimensions
  FROM g JOIN d ON g.doc_id = d.doc_id AND g.section_number = d.hsec JOIN (SELECT doc_id, section_number AS s, section_name AS heading, level FROM nodes WHERE tag = 'heading') hd ON hd.doc_id = g.doc_id AND hd.s = g.section_number""",
+    "kept_paragraphs": f"WITH p AS ({PLACED}) SELECT concat('e', clause_id) AS element_id, CASE WHEN clause_id % 3 > 0 THEN CASE k WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END END AS n_dimensions FROM p",
     "clause_references": _EDGES,
     "dedupe_refs": """SELECT l_orderkey, l_linenumber, CASE WHEN r > 1 THEN concat(l_returnflag, '#', r - 1) ELSE l_returnflag END AS ref
  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS r FROM lineitem)""",

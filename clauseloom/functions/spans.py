@@ -94,32 +94,44 @@ def _shorthand_type(match: re.Match) -> str:
     return "article" if match[0].lower().startswith("reg") else "section"
 
 
-#: Passes in order: pattern, then (raw, type, normalised, context) of a match.
-_PASSES: list[tuple[re.Pattern, Callable[[re.Match], tuple[str, str, str, str] | None]]] = [
-    (re.compile(rf"({LABELS})\s+({NUMBER}){NOT_A_QUANTITY}", re.I), lambda m: (m[0], label_type(m[1]), m[2], "")),
-    (re.compile(rf"((?:{PHRASES})\s+)({NUMBER}){NOT_A_QUANTITY}", re.I), lambda m: (m[2], "section", m[2], m[1].strip())),
-    (re.compile(STANDARDS, re.I), lambda m: (m[0], "standard", m[0].upper(), "")),
-    (re.compile(STANDARDS_IN_CAPITALS), lambda m: (m[0], "standard", m[1].upper(), "")),
-    (re.compile(SECTION_SIGN, re.I), lambda m: (m[0], "section", m[1], "")),
-    (re.compile(SHORTHAND, re.I), lambda m: (m[0], _shorthand_type(m), m[1], "")),
-    (re.compile(NAMED_DOCUMENTS, re.I), lambda m: (m[0], "article", m[0], "")),
-    (re.compile(PARTS, re.I), lambda m: (m[0], "article", f"Part {m[1]}", "")),
-    (re.compile(rf"\b({NUMBER}){NOT_A_QUANTITY}", re.I), lambda m: (m[1], "section", m[1], "") if m[1].count(".") > 1 else None),
+def _needs(text: str) -> Callable[[tuple[str, ...]], bool]:
+    """Whether a text holds one of some words that a pattern cannot do without: a cheap test that spares most passes over most texts."""
+    low = text.casefold()
+    if "ı" in text or "i̇" in low:  # letters that match an i without folding to one
+        return lambda words: True
+    return lambda words: not words or any(w in low for w in words)
+
+
+_DOTTED = re.compile(r"[1-9]\d*\.\d")
+#: Passes in order: pattern, words one of which it needs, then (raw, type, normalised, context) of a match.
+_PASSES: list[tuple[re.Pattern, tuple[str, ...], Callable[[re.Match], tuple[str, str, str, str] | None]]] = [
+    (re.compile(rf"({LABELS})\s+({NUMBER}){NOT_A_QUANTITY}", re.I), (".",), lambda m: (m[0], label_type(m[1]), m[2], "")),
+    (re.compile(rf"((?:{PHRASES})\s+)({NUMBER}){NOT_A_QUANTITY}", re.I), (".",), lambda m: (m[2], "section", m[2], m[1].strip())),
+    (re.compile(STANDARDS, re.I), ("can/", "astm", "csa", "iso", "nfpa", "ul ", "ul\n", "ul\t", "ul\xa0", "ulc-", "icc", "ansi"), lambda m: (m[0], "standard", m[0].upper(), "")),
+    (re.compile(STANDARDS_IN_CAPITALS), (), lambda m: (m[0], "standard", m[1].upper(), "")),
+    (re.compile(SECTION_SIGN, re.I), ("§",), lambda m: (m[0], "section", m[1], "")),
+    (re.compile(SHORTHAND, re.I), (), lambda m: (m[0], _shorthand_type(m), m[1], "")),
+    (re.compile(NAMED_DOCUMENTS, re.I), ("approved", "bca", "nbc"), lambda m: (m[0], "article", m[0], "")),
+    (re.compile(PARTS, re.I), ("part",), lambda m: (m[0], "article", f"Part {m[1]}", "")),
+    (re.compile(rf"\b({NUMBER}){NOT_A_QUANTITY}", re.I), (".",), lambda m: (m[1], "section", m[1], "") if m[1].count(".") > 1 else None),
 ]
 _STANDARD_CLAUSE = re.compile(STANDARD_CLAUSE, re.I)
 
 
 def find_refs(text: str) -> list[dict]:
     """References of a text, by pass, then by place; one per normalised form."""
-    taken, refs = Taken(), {}
+    taken, refs, needs = Taken(), {}, _needs(text)
+    dotted = bool(_DOTTED.search(text))
 
     def note(raw: str, kind: str, normal: str, context: str) -> None:
         refs.setdefault(normal, {"raw": raw, "ref_type": kind, "normalized": normal, "context": context})
 
-    for m in _STANDARD_CLAUSE.finditer(text):
+    for m in _STANDARD_CLAUSE.finditer(text) if needs(("cl", "section")) else ():
         note(m[0], "standard", f"{m[1].upper()} cl.{m[2]}", "")
         taken.take(m)
-    for pattern, reading in _PASSES:
+    for pattern, words, reading in _PASSES:
+        if (words == (".",) and not dotted) or not needs(words):
+            continue
         for m in taken.free(pattern, text):
             ref = reading(m)
             if ref:
@@ -140,17 +152,22 @@ def number(raw: str) -> float:
 
 
 _RANGES = [re.compile(rf"{a}\s+({QUANTITY})\s*({UNIT})?\s+{b}\s+({QUANTITY})\s*({UNIT})", re.I) for a, b in (("between", "and"), ("from", "to"))]
-_BOUNDS = [(re.compile(rf"{words}({QUANTITY})\s*({UNIT})", re.I), kind) for words, kind in ((LEAST + r"\s*", "min"), (MOST + r"\s*", "max"), ("", "exact"))]
+_BOUNDS = [
+    (re.compile(rf"{words}({QUANTITY})\s*({UNIT})", re.I), kind, needed)
+    for words, kind, needed in ((LEAST + r"\s*", "min", ("not", "least", "minimum")), (MOST + r"\s*", "max", ("not", "maximum")), ("", "exact", ()))
+]
 
 
 def find_dimensions(text: str) -> list[dict]:
     """Dimensions of a text: ranges, then least, most and plain values."""
-    taken, dims = Taken(), []
-    for pattern in _RANGES:
+    taken, dims, needs = Taken(), [], _needs(text)
+    for pattern in _RANGES if needs(("between", "from")) else ():
         for m in taken.free(pattern, text):
             dims.append({"value": None, "unit": unit_name(m[2]) or unit_name(m[4]), "constraint": "range", "value_min": number(m[1]), "value_max": number(m[3]), "span": m[0]})
             taken.take(m)
-    for pattern, kind in _BOUNDS:
+    for pattern, kind, needed in _BOUNDS:
+        if not needs(needed):
+            continue
         for m in taken.free(pattern, text):
             value = number(m[1])
             low, high = value if kind == "min" else None, value if kind == "max" else None
@@ -159,14 +176,15 @@ def find_dimensions(text: str) -> list[dict]:
     return dims
 
 
-_DEPENDENCIES = [(re.compile(body + end, re.I | re.S), kind, name) for body, end, kind, name in DEPENDENCIES]
+#: Each with the first word it cannot do without.
+_DEPENDENCIES = [(re.compile(body + end, re.I | re.S), (("deemed",) if "deemed" in name else (name.split()[0],)), kind, name) for body, end, kind, name in DEPENDENCIES]
 
 
 def find_dependencies(text: str) -> list[dict]:
     """Dependencies of a text with the references in them; one per span."""
-    spans, deps = set(), []
-    for pattern, kind, name in _DEPENDENCIES:
-        for m in pattern.finditer(text):
+    spans, deps, needs = set(), [], _needs(text)
+    for pattern, words, kind, name in _DEPENDENCIES:
+        for m in pattern.finditer(text) if needs(words) else ():
             if m.span() not in spans:
                 spans.add(m.span())
                 deps.append({"dep_type": kind, "marker": name, "text": m[0].strip(), "refs": find_refs(m[1].strip())})

@@ -31,6 +31,8 @@ NODE = T.StructType(
 # Tags that hold text, and the tags that may stand at an element's head, in their order.
 TEXT_TAGS = ("text", "paragraph", "p")
 HEAD_TAGS = ("label", "thread", "xref", "href", "layer", "location", "caption", "description", "summary", "custom")
+# Names of the element's mark and of the annotation's record in a custom child.
+ID_MARK, RECORD = "bg_element_id", "bg_nlp"
 _HEADING = re.compile(r"^(\d+(?:\.\d+)*)(?:[.)\s]+(.*))?$")
 _DECLARED = re.compile(r"<!(?:DOCTYPE|ENTITY)", re.I)
 
@@ -45,10 +47,10 @@ def inner_text(element: ET.Element) -> str:
 
 
 def element_id(element: ET.Element) -> str | None:
-    """The id in a custom child's bg_element_id, else the element's own id attribute."""
+    """The id in a custom child's mark, else the element's own id attribute."""
     for custom in element:
         for mark in custom if local_name(custom.tag) == "custom" else ():
-            named = mark.get("value") or mark.get("id") if local_name(mark.tag) == "bg_element_id" else None
+            named = mark.get("value") or mark.get("id") if local_name(mark.tag) == ID_MARK else None
             if named:
                 return named
     return element.get("id")
@@ -309,7 +311,7 @@ def mark_up(xml: str, annotations: dict[int, dict]) -> str:
                 head += 1
             custom.tail, element.text = (element.text, None) if head == 0 else (None, element.text)
             element.insert(head, custom)
-        record = ET.SubElement(custom, "bg_nlp", {"subject": annotation["subject"]} if annotation.get("subject") else {})
+        record = ET.SubElement(custom, RECORD, {"subject": annotation["subject"]} if annotation.get("subject") else {})
         for tag, values in records:
             ET.SubElement(record, tag, values)
     return ET.tostring(root, encoding="unicode")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import rules as R
 from clauseloom.functions.columns import strip
 from clauseloom.functions.terms import tokenize
+from clauseloom.tables import cut
 
 RULE = (
     "ref STRING, target STRING, property_name STRING, operator STRING, value DOUBLE, value_min DOUBLE, value_max DOUBLE, value_min_property STRING, "
@@ -85,13 +86,14 @@ def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id",
     """Tables pairs, missed, false_positives and redundant, each with ``mode``; only dimensional extracted rules take part.
 
     An unmatched rule that restates a matched reference rule is redundant, not
-    wrong. Candidate pairs are computed once for all modes.
+    wrong. Candidate pairs and assignment are computed once for all modes and
+    tables and kept in a checkpoint.
     """
     rules = extracted.join(prepared(extracted, rule_id).where("dimensional").select(rule_id), rule_id, "left_semi")
-    candidates = candidate_pairs(gold, rules, gold_id, rule_id, aliases)
+    candidates = cut(candidate_pairs(gold, rules, gold_id, rule_id, aliases))  # read for the pairs and for the redundant rules
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ok")) for m in MODES])
     long = candidates.select(gold_id, rule_id, "area", F.explode(modes).alias("_m")).where("_m.ok").select(F.col("_m.mode").alias("mode"), "area", gold_id, rule_id)
-    pairs = greedy(long, gold_id, rule_id, ["mode", "area"]).drop("area")
+    pairs = cut(greedy(long, gold_id, rule_id, ["mode", "area"]).drop("area"))  # all four tables are told from them
     all_modes = F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
     missed = gold.select(gold_id, all_modes).join(pairs, ["mode", gold_id], "left_anti")
     unused = rules.select(rule_id, all_modes).join(pairs, ["mode", rule_id], "left_anti")

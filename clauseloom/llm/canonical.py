@@ -115,7 +115,12 @@ def distance(a: str, b: str) -> int:
 
 def threshold(key: str) -> int:
     """Edits allowed for a key of this length."""
-    return 0 if len(key) <= 3 else 1 if len(key) <= 5 else 2 if len(key) <= 11 else 3
+    return 0 if len(key) <= 2 else 1 if len(key) <= 5 else 2 if len(key) <= 11 else 3
+
+
+def tolerance(form: str) -> int:
+    """Edits a reference form may be away; forms of three letters differ too little among themselves for any."""
+    return 0 if len(form) <= 3 else threshold(form)
 
 
 class BKTree:
@@ -203,7 +208,7 @@ class Matcher:
         best: dict[str, int] = {}
         for key in (k for k in keys if k[0] != "~"):
             for d, form, term in tree.search(key, threshold(key)):
-                if d <= threshold(form):
+                if d <= tolerance(form):
                     best[term] = min(d, best.get(term, d))
         if not best:
             return None

@@ -139,20 +139,56 @@ def clause_confusion(clause_refs: DataFrame, gold: DataFrame, extracted: DataFra
     return rows, said.join(covered.select("_e").distinct(), "_e", "left_anti").withColumnRenamed("_e", "ref")
 
 
-def recall_match(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(gold_id, first rule_id that states it or null; rule_id of rules that state no gold rule). Many gold rules may share a rule."""
+def _stated(rows: DataFrame, id_: str, kinds: list[tuple[str, Column, list[Column]]]) -> DataFrame:
+    """id and ``_s`` (target, property, kind, numbers) of every way in which rows state something; nameless properties state nothing."""
     text = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
-    g = gold.select(gold_id, text("target").alias("_t"), *[F.col(c).alias(f"g_{c}") for c in ("property_name", "operator", "value", "value_min", "value_max", "value_min_property")])
-    e = extracted.select(rule_id, text("target").alias("_t"), "property_name", "value", "value_min", "value_max", "value_min_property", "value_max_property")
-    near = lambda a, b: R.number_close(F.col(a), F.col(b), tolerance)
-    agree = (
-        F.when(F.col("g_value_min_property").isNotNull(), F.col("value_min_property").isNotNull() | F.col("value_max_property").isNotNull())
-        .when(F.col("g_operator") == "between", near("value_min", "g_value_min") & near("value_max", "g_value_max"))
-        .otherwise(near("value", "g_value"))
-    )
-    hits = g.join(e, "_t").where(R.same_name(F.col("g_property_name"), F.col("property_name"), aliases or []) & agree)
-    first = hits.groupBy(gold_id).agg(F.min(rule_id).alias(rule_id))
-    return gold.select(gold_id).join(first, gold_id, "left"), extracted.select(rule_id).join(hits.select(rule_id).distinct(), rule_id, "left_anti")
+
+    def made(kind: str, numbers: list[Column]) -> Column:
+        two = [*numbers, F.lit(None), F.lit(None)][:2]
+        pairs = [(c.isNull().alias(f"n{k}"), F.coalesce(c.try_cast("double"), F.lit(float("nan"))).alias(f"x{k}")) for k, c in enumerate(two)]
+        return F.struct(text(F.col("target")).alias("t"), text(F.col("property_name")).alias("p"), F.lit(kind).alias("kind"), *[c for pair in pairs for c in pair])
+
+    ways = F.filter(F.array(*[F.when(holds, made(kind, numbers)) for kind, holds, numbers in kinds]), lambda w: w.isNotNull())
+    return rows.select(F.col(id_), F.explode(ways).alias("_s")).where("_s.p <> ''")
+
+
+def _name_keys(name: Column, aliases: list[str]) -> Column:
+    """The keys two names share if :func:`R.same_name` holds of them: the name, and the groups that list it."""
+    groups = [F.when(name.isin(*[n.strip() for n in g.split(",")]), F.lit(f"#{k}")) for k, g in enumerate(aliases)]
+    return F.filter(F.array(F.concat(F.lit("="), name), *groups), lambda k: k.isNotNull())
+
+
+def recall_match(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(gold_id, first rule_id that states it or null; rule_id of rules that state no gold rule). Many gold rules may share a rule.
+
+    Rules that state the same are compared once, and only with those of their
+    target and property whose numbers fall into the same or the next bucket of
+    twice the tolerance; so the join does not grow with the square of a group.
+    """
+    aliases = aliases or []
+    always = F.lit(True)
+    relative, between = F.col("value_min_property").isNotNull(), F.coalesce(F.col("operator") == "between", F.lit(False))
+    g = _stated(gold, gold_id, [("relative", relative, []), ("range", ~relative & between, [F.col("value_min"), F.col("value_max")]), ("value", ~relative & ~between, [F.col("value")])])
+    bound = relative | F.col("value_max_property").isNotNull()
+    e = _stated(extracted, rule_id, [("relative", bound, []), ("range", always, [F.col("value_min"), F.col("value_max")]), ("value", always, [F.col("value")])])
+
+    width, far = 2 * tolerance or 1.0, float(1 << 50)
+    bucket = lambda s, k: F.when(s[f"n{k}"], F.lit(None).cast("bigint")).otherwise(F.floor(F.least(F.greatest(s[f"x{k}"] / width, F.lit(-far)), F.lit(far))))
+    around = lambda b: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: b + d)
+    at = lambda b: F.coalesce(b.cast("string"), F.lit(""))
+
+    gs = g.select(F.col("_s").alias("_g")).distinct().withColumns({"_t": F.col("_g.t"), "_kind": F.col("_g.kind"), "_p": F.explode(_name_keys(F.col("_g.p"), aliases))})
+    for k in (0, 1):
+        b = bucket(F.col("_g"), k)
+        gs = gs.withColumn(f"_b{k}", F.explode(F.when(b.isNull(), F.array(F.lit(""))).otherwise(F.transform(around(b), at))))
+    es = e.groupBy(F.col("_s").alias("_e")).agg(F.min(rule_id).alias(rule_id))
+    es = es.withColumns({"_t": F.col("_e.t"), "_kind": F.col("_e.kind"), "_p": F.explode(_name_keys(F.col("_e.p"), aliases)), **{f"_b{k}": at(bucket(F.col("_e"), k)) for k in (0, 1)}})
+    # as R.number_close: two nulls, or numbers within the tolerance
+    near = [(F.col(f"_g.n{k}") & F.col(f"_e.n{k}")) | (~F.col(f"_g.n{k}") & ~F.col(f"_e.n{k}") & (F.abs(F.col(f"_g.x{k}") - F.col(f"_e.x{k}")) <= tolerance)) for k in (0, 1)]
+    hits = gs.join(es, ["_t", "_kind", "_p", "_b0", "_b1"]).where(near[0] & near[1])
+    first = g.join(hits.groupBy(F.col("_g").alias("_s")).agg(F.min(rule_id).alias(rule_id)), "_s").groupBy(gold_id).agg(F.min(rule_id).alias(rule_id))
+    stating = e.join(hits.select(F.col("_e").alias("_s")).distinct(), "_s", "left_semi").select(rule_id).distinct()
+    return gold.select(gold_id).join(first, gold_id, "left"), extracted.select(rule_id).join(stating, rule_id, "left_anti")
 
 
 def sheet_match(gold: DataFrame, drafts: DataFrame, order: str = "ord") -> tuple[DataFrame, DataFrame]:

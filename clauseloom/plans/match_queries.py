@@ -73,6 +73,15 @@ def recall_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.recall_match(gold.where("p_size < 40 AND p_partkey % 4 <> 3"), extracted.where("operator <> 'range'"))[1]
 
 
+def recall_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gold rule, ranges among them, against every extracted rule."""
+    return M.recall_match(*_rules(spark, sf_dir))[0]
+
+
+def recall_extra_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.recall_match(*_rules(spark, sf_dir))[1]
+
+
 def sheet_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, drafts = _sheets(spark, sf_dir)
     return M.sheet_match(gold, drafts)[0]
@@ -175,7 +184,7 @@ def merged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_match, rule_match_scores, operator_confusion, clause_confusion, clauses_out_of_scope, recall_match, recall_extra, sheet_match, sheet_totals, draft_field_diffs, draft_field_accuracy,
+        rule_match, rule_match_scores, operator_confusion, clause_confusion, clauses_out_of_scope, recall_match, recall_extra, recall_match_all, recall_extra_all, sheet_match, sheet_totals, draft_field_diffs, draft_field_accuracy,
         draft_most_changed, order_field_diffs, clause_resolution, findings_scored, threshold_evaluation, property_shares, merged_sheets,
     )
 }
@@ -189,6 +198,7 @@ _OUTCOMES = f"""WITH g AS ({_GOLD}), e AS ({_EXTRACTED}), m AS (SELECT * FROM (V
  dim AS (SELECT * FROM e WHERE NOT (p_partkey % 10 = 7 AND p_partkey % 4 = 3)),
  o AS (SELECT mode, 'pair' AS outcome, gold_id, p_partkey * 10 AS rule_id FROM x WHERE hit UNION ALL SELECT mode, 'missed', gold_id, NULL FROM x WHERE NOT hit
   UNION ALL SELECT x.mode, CASE WHEN hit AND d = 1 THEN 'redundant' ELSE 'false_positives' END, NULL, rule_id FROM x JOIN dim ON x.p_partkey = dim.p_partkey WHERE NOT hit OR d = 1)"""
+_STATES = "lower(g.target) = lower(e.target) AND lower(g.property_name) = lower(e.property_name) AND CASE WHEN g.operator = 'between' THEN abs(g.value_min - e.value_min) <= 0.5 AND abs(g.value_max - e.value_max) <= 0.5 ELSE abs(g.value - e.value) <= 0.5 END"
 _D = "WITH d AS (SELECT DISTINCT id, original_proposed_rule AS o, proposed_rule AS n FROM sample_rule_drafts WHERE proposed_rule IS NOT NULL), "
 
 
@@ -221,6 +231,8 @@ ORACLE_SQL = {
  SELECT g.gold_id, rule_id FROM g LEFT JOIN h ON g.gold_id = h.gold_id WHERE p_partkey % 20 < 3 AND p_partkey % 4 <> 3""",
     "recall_extra": f"""WITH g AS (SELECT * FROM ({_GOLD}) WHERE p_size < 40 AND p_partkey % 4 <> 3), e AS (SELECT * FROM ({_EXTRACTED}) WHERE operator <> 'range')
  SELECT rule_id FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE lower(g.target) = lower(e.target) AND lower(g.property_name) = lower(e.property_name) AND abs(g.value - e.value) <= 0.5)""",
+    "recall_match_all": f"WITH g AS ({_GOLD}), e AS ({_EXTRACTED}), h AS (SELECT gold_id, min(rule_id) AS rule_id FROM g JOIN e ON {_STATES} GROUP BY 1) SELECT g.gold_id, rule_id FROM g LEFT JOIN h ON g.gold_id = h.gold_id",
+    "recall_extra_all": f"WITH g AS ({_GOLD}), e AS ({_EXTRACTED}) SELECT rule_id FROM e WHERE rule_id NOT IN (SELECT rule_id FROM g JOIN e ON {_STATES})",
     "sheet_match": _SHEET + "SELECT * FROM s",
     "sheet_totals": _SHEET + "SELECT " + ", ".join(f"CAST(count(*) FILTER (WHERE status = '{x}') AS BIGINT) AS {x}" for x in ("found", "missed", "invented")) + ", CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(count(*) FILTER (WHERE property_right AND value_right AND unit_right) AS BIGINT) AS all_fields_right, "
     + ", ".join(f"CAST(count(*) FILTER (WHERE {x}) AS BIGINT) AS {x}" for x in ("target_right", "property_right", "operator_right", "value_right", "unit_right", "conditional", "executable")) + " FROM s",

@@ -124,8 +124,8 @@ def ontology_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(c, "class", [("uri", "a")]).withColumn("b", F.lit(None).cast("bigint")).unionByName(tag(p, "property", [("uri", "a")]).withColumn("b", F.lit(None).cast("bigint"))).unionByName(tag(l, "link", [("class_uri", "a"), ("property_uri", "b")]))
 
 
-def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A graph assembled from clauses (parts), their references, and matched terms (suppliers) of both kinds."""
+def _assembled(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A graph assembled from clauses (parts), their references, and matched terms (suppliers) of both kinds; of a quarter of the clauses, or of every one."""
     nodes = _nodes(spark, sf_dir).where("kind = 'clause'").select("id", "kind", "ref", "heading", "text_excerpt", "deontic_operators")
     refs = table(spark, sf_dir, "part").where("p_partkey % 10 < 3").select(
         F.col("p_partkey").cast("string").alias("source_ref"), (F.col("p_partkey") + 1).cast("string").alias("target_ref"), F.lit("cross_ref").alias("edge_type"), F.concat(F.lit("see "), "p_partkey").alias("label"),
@@ -133,7 +133,8 @@ def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("uri"), F.col("s_name").alias("name"), F.lit("c").alias("code"), F.lit("d").alias("dictionary_uri"), F.lit("Class").alias("class_type"), F.lit("Real").alias("data_type"), F.lit("def").alias("definition"), F.col("s_suppkey").alias("n"))
     links = sup.where("n % 2 = 0").select(F.col("uri").alias("class_uri"), (F.col("n") + 1).cast("string").alias("property_uri"), F.lit("Pset").alias("property_set"))
-    matches = _edges(spark, sf_dir).where("p % 4 = 0").select(F.col("p").cast("string").alias("clause_id"), F.col("s").cast("string").alias("term_id"), "s", F.col("composite_score").alias("composite"), *[F.col("composite_score").alias(x) for x in ("tfidf_cosine", "jaccard_tokens", "fuzz_ratio", "exact_substring")])
+    candidates = _edges(spark, sf_dir) if every else _edges(spark, sf_dir).where("p % 4 = 0")
+    matches = candidates.select(F.col("p").cast("string").alias("clause_id"), F.col("s").cast("string").alias("term_id"), "s", F.col("composite_score").alias("composite"), *[F.col("composite_score").alias(x) for x in ("tfidf_cosine", "jaccard_tokens", "fuzz_ratio", "exact_substring")])
     return G.assemble(nodes, refs, sup.where("n % 2 = 0").drop("n", "data_type"), sup.where("n % 2 = 1").drop("n", "dictionary_uri", "class_type"), links, matches.where("s % 2 = 0").drop("s"), matches.where("s % 2 = 1").drop("s"))
 
 
@@ -145,6 +146,15 @@ def graph_assemble_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assembled(spark, sf_dir)[1].select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind", "label", "property_set", "composite_score")
 
 
+def graph_assemble_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assembled(spark, sf_dir, every=True)[0].select("id", "kind", "name")
+
+
+def graph_assemble_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate edge assembled and numbered."""
+    return _assembled(spark, sf_dir, every=True)[1].select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind", "label", "property_set", "composite_score")
+
+
 def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part graph appended to another: terms unite by id, clauses by document, keys go on after the base's."""
     nodes, edges = _nodes(spark, sf_dir), _edges(spark, sf_dir).select("src", "dst", "key", "kind")
@@ -191,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_borderline, graph_tasks, reply_parse, graph_verdicts, graph_drop_rejected, graph_decisions, graph_decision_counts, graph_grounding, graph_review_queue, correction_signal, graph_prioritised,
-        graph_report, ontology_prune, graph_assemble_nodes, graph_assemble_edges, graph_merge, tfidf_topk, candidate_scores, candidate_scores_full,
+        graph_report, ontology_prune, graph_assemble_nodes, graph_assemble_edges, graph_assemble_all_nodes, graph_assemble_all_edges, graph_merge, tfidf_topk, candidate_scores, candidate_scores_full,
     )
 }
 
@@ -247,3 +257,5 @@ ORACLE_SQL = {
  y AS (SELECT c, t, cosine, CASE WHEN len(ht) > 0 AND len(nt) > 0 THEN len(list_intersect(ht, nt)) * 1.0 / len(list_distinct(list_concat(ht, nt))) ELSE 0 END AS j, CASE WHEN h <> '' AND n <> '' AND (contains(h, n) OR contains(n, h)) THEN 1.0 ELSE 0 END AS u FROM x)
  SELECT CAST(substr(c, 2) AS BIGINT) AS clause_id, substr(t, 2) AS term_id, round(0.5 * cosine + 0.3 * j + 0.2 * u, 5) AS composite, round(cosine, 5) AS tfidf_cosine, round(j, 5) AS jaccard_tokens, round(u, 5) AS exact_substring FROM y WHERE 0.5 * cosine + 0.3 * j + 0.2 * u >= 0.05""",
 }
+# the same of every candidate edge
+ORACLE_SQL |= {f"graph_assemble_all_{x}": ORACLE_SQL[f"graph_assemble_{x}"].replace(" WHERE p % 4 = 0", "") for x in ("nodes", "edges")}

@@ -4,6 +4,7 @@ import random
 
 from clauseloom.operators import matching
 from clauseloom.plans import registry
+from clauseloom.plans.graph_queries import _edges
 from clauseloom.tables import table
 from conftest import rows
 
@@ -36,3 +37,11 @@ def test_recall_match_equals_all_pairs(spark):
     first, extra = matching.recall_match(spark.createDataFrame(gold, schema.format("gold_id")), spark.createDataFrame(extracted, schema.format("rule_id")), aliases=["width, clearwidth"])
     assert sorted(rows(first)) == [(g[0], min((e[0] for e in extracted if states(g, e)), default=None)) for g in gold]
     assert sorted(r[0] for r in rows(extra)) == [e[0] for e in extracted if not any(states(g, e) for g in gold)]
+
+
+def test_every_candidate_edge_is_assembled(spark, sf_dir):
+    edges = registry.QUERIES["graph_assemble_all_edges"](spark, sf_dir).cache()
+    candidates = edges.where("kind LIKE '%candidate%'")
+    assert candidates.count() == _edges(spark, sf_dir).count()
+    assert {int(r[0].removeprefix("clause::")) % 4 for r in candidates.select("src").distinct().collect()} == {0, 1, 2, 3}
+    assert sorted(r[0] for r in edges.select("key").collect()) == list(range(edges.count()))

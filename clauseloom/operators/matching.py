@@ -307,12 +307,37 @@ def choice_agreement(choices: DataFrame) -> DataFrame:
     return cohen_kappa(rows.join(seen, ["a", "b", "from_name"], "left_semi"), "ca", "cb", ["a", "b", "from_name"])
 
 
+def _in_article(drafts: DataFrame, index: DataFrame) -> DataFrame:
+    """draft_id, in_article (the best clause of the draft's article) and whether the sentence guessed ``_fits`` about as well.
+
+    drafts: draft_id, guess, art, written, said. Articles meet the clauses whose
+    reference starts with them by an equi-join on the references' prefixes. Of
+    clauses with one reference the last text counts.
+    """
+    bare = F.regexp_replace("nref", r"^note:", "")
+    starts = F.transform(F.sequence(F.lit(1), F.length(bare)), lambda n: F.substring(bare, F.lit(1), n))
+    listed = F.when(F.col("nref").startswith("table:"), F.array(F.regexp_replace("nref", r"^table:", ""))).when(bare != "", F.filter(starts, lambda p: p.rlike(r"^\d+(\.\d+)+[A-Z]?$"))).otherwise(F.array().cast("array<string>"))
+    one = index.groupBy("nref").agg(F.min("ord").alias("ord"), F.min_by("ref", "ord").alias("ref"), F.max_by("text", "ord").alias("text"))
+    clauses = one.select("nref", "ord", "ref", "text", F.array_distinct(tokenize(F.col("text"))).alias("_words"), F.explode(listed).alias("art"))
+    score = F.struct(R.quotes_value(F.col("text"), F.col("written")).alias("quotes"), F.size(F.array_intersect("said", "_words")).alias("shared"))
+    scored = drafts.join(clauses, "art").withColumn("_score", score)
+    top = F.max_by(F.struct("_score", "ref"), F.struct("_score", (-F.col("ord")).alias("first")))
+    best = scored.groupBy("draft_id").agg(top.alias("_best"), F.max(F.when(F.col("nref") == F.col("guess"), F.col("_score"))).alias("_own"))
+    own, most = F.col("_own"), F.col("_best._score")
+    fits = own.isNotNull() & (own["quotes"] >= most["quotes"]) & (own["shared"] >= 0.6 * most["shared"])
+    return best.select("draft_id", F.col("_best.ref").alias("in_article"), F.coalesce(fits, F.lit(False)).alias("_fits"))
+
+
 def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
     """draft_id and ref: the clause a draft came from, and by which step.
 
-    drafts: draft_id, clause_id, rule_id, snippet, description; index: ord, ref,
-    text. In this order: the clause id; the sentence a rule id of the form
-    article-number names, if the index has it; the first clause that holds a
+    drafts: draft_id, clause_id, rule_id, snippet, description and, if there,
+    values (array of the rule's numbers); index: ord, ref, text. In this order:
+    the clause id; for a rule id of the form article-number, the best of the
+    article's clauses, its table and notes, by whether they quote one of the
+    values, then by words shared with the description, then the first; but the
+    sentence the number names, if it quotes no less and shares 0.6 of the words,
+    or if the index has nothing of the article; the first clause that holds a
     snippet of less than 1000 characters; the clause sharing most words (three
     or more, the rule's article first, then the first in the index) with the
     snippet, else with the description; the rule id.
@@ -329,8 +354,11 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
     words = lambda c: F.array_except(F.array_distinct(tokenize(F.col(c))), F.array(*[F.lit(w) for w in COMMON_WORDS]))
     i = index.select("ord", "ref", "text", R.normalize_ref(F.col("ref")).alias("nref"))
     postings = i.select("ord", "ref", "text", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("w"))
-    known = i.select(F.col("nref").alias("guess")).distinct().withColumn("_known", F.lit(True))
-    short = d.where((F.col("snippet") != "") & (F.length("snippet") < 1000))
+    values = F.col("values") if "values" in drafts.columns else F.array().cast("array<double>")
+    numbered = drafts.select("draft_id", values.alias("values")).join(d.where("guess IS NOT NULL"), "draft_id")
+    chosen = _in_article(numbered.select("draft_id", "guess", F.regexp_extract("rule_id", number, 1).alias("art"), R.written_values(F.col("values")).alias("written"), words("description").alias("said")), i)
+    unsettled = d.where(F.col("guess").isNull() & (F.coalesce("clause_id", F.lit("")) == ""))  # only these need their words joined
+    short = unsettled.where((F.col("snippet") != "") & (F.length("snippet") < 1000))
 
     def best(rows: DataFrame, source: str, out: str) -> DataFrame:
         shared = rows.select("draft_id", "article", F.explode(words(source)).alias("w")).join(postings, "w").groupBy("draft_id", "article", "ord", "ref").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
@@ -339,9 +367,9 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
 
     longest = short.withColumn("w", F.array_max(F.transform(tokenize(F.col("snippet")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
     holding = longest.join(postings, "w").where(F.col("text").contains(F.col("snippet"))).groupBy("draft_id").agg(F.min_by("ref", "ord").alias("held"))
-    rows = d.join(known, "guess", "left").join(holding, "draft_id", "left").join(best(short, "snippet", "by_snippet"), "draft_id", "left").join(best(d, "description", "by_description"), "draft_id", "left")
+    rows = d.join(chosen, "draft_id", "left").join(holding, "draft_id", "left").join(best(short, "snippet", "by_snippet"), "draft_id", "left").join(best(unsettled, "description", "by_description"), "draft_id", "left")
     text = lambda c: F.nullif(F.col(c), F.lit(""))
-    steps = [("clause_id", text("clause_id")), ("rule_id", F.when(F.col("_known"), F.col("guess"))), ("snippet", F.col("held")), ("snippet_words", F.col("by_snippet")), ("description_words", F.col("by_description")), ("rule_id_text", text("rule_id"))]
+    steps = [("clause_id", text("clause_id")), ("rule_id", F.when(F.coalesce("_fits", F.lit(True)), F.col("guess"))), ("article", F.col("in_article")), ("snippet", F.col("held")), ("snippet_words", F.col("by_snippet")), ("description_words", F.col("by_description")), ("rule_id_text", text("rule_id"))]
     by = None
     for name, value in steps:
         by = F.when(value.isNotNull(), name) if by is None else by.when(value.isNotNull(), name)

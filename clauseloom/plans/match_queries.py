@@ -152,6 +152,26 @@ def clause_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolve_clause(drafts, index)
 
 
+def clause_resolution_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts (parts) whose rule ids count list items, against articles of four sentences, a table and a note, made from the parts."""
+    p = table(spark, sf_dir, "part")
+    art, s = F.floor(F.col("p_partkey") / 4), F.col("p_partkey") % 4 + 1
+    article = F.concat(F.lit("9."), art, F.lit(".1"))
+    text = F.concat(F.lit("sentence on "), "p_name", F.lit(" of at least "), 1000 + F.col("p_partkey") % 4 * 50, F.lit(" mm"))
+    k = F.col("p_partkey") * 10
+    sentences = p.select(k.alias("ord"), F.concat(article, F.lit(".("), s, F.lit(")")).alias("ref"), text.alias("text"))
+    first = p.where("p_partkey % 4 = 0")
+    tables = first.select((k + 1).alias("ord"), F.concat(F.lit("Table under "), article, F.lit(".")).alias("ref"), F.lit("values of 2 050 and 0.75").alias("text"))
+    notes = first.select((k + 2).alias("ord"), F.concat(F.lit("Note to Table "), article, F.lit(".")).alias("ref"), F.lit("note for 3000").alias("text"))
+    # the number in the id is that of a list item: right for one in five, beside the sentence or past the article's end for others
+    item = F.when(F.col("p_partkey") % 5 == 0, s).when(F.col("p_partkey") % 5 == 1, 9).otherwise(s % 4 + 1)
+    value = F.when(F.col("p_partkey") % 5 == 3, 2050.0).when(F.col("p_partkey") % 5 == 4, 3000.0).otherwise(F.lit(1000.0) + F.col("p_partkey") % 4 * 50)
+    drafts = p.select(
+        F.col("p_partkey").alias("draft_id"), F.lit("").alias("clause_id"), F.concat(article, F.lit("-"), item).alias("rule_id"), F.lit("").alias("snippet"), F.col("p_name").alias("description"), F.array(value).alias("values")
+    )
+    return M.resolve_clause(drafts, sentences.unionByName(tables).unionByName(notes))
+
+
 def findings_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tool's verdicts against reviewers', per priority."""
     o = table(spark, sf_dir, "orders")
@@ -185,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rule_match, rule_match_scores, operator_confusion, clause_confusion, clauses_out_of_scope, recall_match, recall_extra, recall_match_all, recall_extra_all, sheet_match, sheet_totals, draft_field_diffs, draft_field_accuracy,
-        draft_most_changed, order_field_diffs, clause_resolution, findings_scored, threshold_evaluation, property_shares, merged_sheets,
+        draft_most_changed, order_field_diffs, clause_resolution, clause_resolution_articles, findings_scored, threshold_evaluation, property_shares, merged_sheets,
     )
 }
 

@@ -45,3 +45,27 @@ def test_every_candidate_edge_is_assembled(spark, sf_dir):
     assert candidates.count() == _edges(spark, sf_dir).count()
     assert {int(r[0].removeprefix("clause::")) % 4 for r in candidates.select("src").distinct().collect()} == {0, 1, 2, 3}
     assert sorted(r[0] for r in edges.select("key").collect()) == list(range(edges.count()))
+
+
+def test_sentences_are_ranked_within_the_article(spark):
+    index = [(1, "9.8.5.4.(1)", "handrails on both sides of a ramp 865 mm"), (2, "9.8.5.4.(2)", "guards and doors near stairs of houses"), (3, "9.8.5.4.(3)", "only one landing is needed"), (4, "Table under 9.8.5.4.", "rise 2 050 run 0.75"), (5, "9.8.6.1.(1)", "ramp handrails both sides 10.5 mm")]
+    drafts = [
+        (1, "9.8.5.4-2", "handrails both sides ramp", [865.0]), (2, "9.8.5.4-7", "guards near stairs", [5.5]), (3, "9.8.5.4-3a", "", [1.0]), (4, "9.8.5.4-1", "handrails both sides ramp", [2050.0]),
+        (5, "9.8.5.4-2", "guards doors near stairs landing", []), (6, "9.8.7.1-2", "handrails both sides ramp", [865.0]), (7, "9.8.5.4-3", "guards doors near stairs", []), (8, "9.8.6.1-1", "x", [0.5]),
+    ]
+    df = spark.createDataFrame([(k, "", r, "", d, v) for k, r, d, v in drafts], "draft_id INT, clause_id STRING, rule_id STRING, snippet STRING, description STRING, values ARRAY<DOUBLE>")
+    got = matching.resolve_clause(df, spark.createDataFrame(index, "ord INT, ref STRING, text STRING"))
+    assert sorted(rows(got)) == [
+        (1, "9.8.5.4.(1)", "article"), (2, "9.8.5.4.(2)", "article"), (3, "9.8.5.4.(3)", "rule_id"), (4, "Table under 9.8.5.4.", "article"),
+        (5, "9.8.5.4.(2)", "rule_id"), (6, "9.8.7.1.(2)", "rule_id"), (7, "9.8.5.4.(2)", "article"), (8, "9.8.6.1.(1)", "rule_id"),
+    ]
+
+
+def test_drafts_find_their_clause_in_articles(spark, sf_dir):
+    got = {k: (ref, step) for k, ref, step in rows(registry.QUERIES["clause_resolution_articles"](spark, sf_dir))}
+    for k, (ref, step) in got.items():
+        article, own = f"9.{k // 4}.1", f"9.{k // 4}.1.({k % 4 + 1})"
+        if k % 5 < 3:
+            assert (ref, step) == (own, "rule_id" if k % 5 == 0 else "article"), k
+        elif k // 4 * 4 in got:  # the article has its table and note
+            assert ref == f"{'Table under' if k % 5 == 3 else 'Note to Table'} {article}.", k

@@ -184,7 +184,7 @@ def reference_forms(terms: Iterable[tuple[str, str, list[str] | None]]) -> tuple
 
 
 class Matcher:
-    """Finds the term meant by a value: exact forms first, then the nearest form in the BK-tree."""
+    """Finds the term meant by a value: exact forms first, then the nearest form in the BK-tree, then one of the same consonants."""
 
     def __init__(self, terms: Iterable[tuple[str, str, list[str] | None]]):
         near, only = reference_forms(terms)
@@ -193,6 +193,12 @@ class Matcher:
         for field, forms in only.items():
             for form, term in forms:
                 self.strict.setdefault(field, {}).setdefault(form, set()).add(term)
+        self.spelt: dict[tuple[str, str], set[str]] = {}
+        for forms in (near, only):
+            for field, listed in forms.items():
+                for form, term in listed:
+                    if form[0] != "~":
+                        self.spelt.setdefault((field, term), set()).add(form)
         self.match = lru_cache(maxsize=200_000)(self._match)
 
     def _match(self, field: str, value: str) -> tuple[str, int, bool] | None:
@@ -201,16 +207,22 @@ class Matcher:
         keys = variants(value, field)
         if tree is None or not keys:
             return None
-        for key in keys:
+        typed = [k for k in keys if k[0] != "~"]
+        for key in typed:
             for hits in (tree.exact.get(key), strict.get(key)):
                 if hits and len(hits) == 1:
                     return next(iter(hits)), 0, False
         best: dict[str, int] = {}
-        for key in (k for k in keys if k[0] != "~"):
+        for key in typed:
             for d, form, term in tree.search(key, threshold(key)):
                 if d <= tolerance(form):
                     best[term] = min(d, best.get(term, d))
         if not best:
+            for key in (k for k in keys if k[0] == "~"):
+                hits = strict.get(key, set())
+                if len(hits) == 1:
+                    term = next(iter(hits))
+                    return term, min(distance(k, form) for k in typed for form in self.spelt[field, term]), False
             return None
         least = min(best.values())
         nearest = sorted(t for t, d in best.items() if d == least)

@@ -1,9 +1,15 @@
 """Pages that repeat keywords, links, navigation labels or product tags instead of saying something.
 
 A page is cut into units: sentences, lines and the items of separated lists.
-Each unit is reduced to a shape (kind, words, capitals, separator, link) that
-forgets its letters. A page is flagged if its repeated non-sentence shapes hold
-more than half of its characters.
+Each unit is reduced to a shape that forgets its letters: what it is (link,
+tag, keyword run, item, value, sentence), the separator it came with, its
+number of words and its capitals. A page is flagged if few non-sentence shapes
+hold more than half of its characters.
+
+Nothing depends on a word list. A sentence is known by its form: it does not
+start in lower case, it stops with an end mark, its words differ and are of
+mixed length. Where one of these is missing, short words have to tie it
+together, as they do in the languages that separate words.
 """
 
 from __future__ import annotations
@@ -17,141 +23,169 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Words that tie sentences together, in the languages of the corpus.
-FUNCTION_WORDS = frozenset(
-    # English
-    "the a an of to and or is are was were be been has have had it its this that these those with by from as at on in not no but if when where which who what "
-    "than then there they we you he she i my our your do does did can could may might must shall should will would so because before after between under over "
-    "into about any each every all some such only also more less most least same other same during until unless while without within per says said see "
-    # French
-    "le la les un une des du de et ou est sont a été être dans sur sous pour par avec sans ne pas plus que qui dont ce cette ces il elle on se son sa ses leur au aux "
-    "lorsque si en chaque tout toute doit "
-    # German
-    "der die das den dem des ein eine einer eines einem einen und oder ist sind war wird wurde werden hat haben nicht kein keine mit von zu zum zur im in am an auf aus bei "
-    "für nach über unter wenn so als auch sich jede jeder jedes muss darf "
-    # Spanish
-    "el los las una unos unas y o es son era fue ser del al con sin por para que se su sus lo como cuando si no más este esta estos cada todo toda será tendrá".split()
-)
-# Wordings of shops and menus that hold function words but no sentence.
-LABELS = re.compile(
-    r"\b(?:for sale|near me|in stock|out of stock|add to cart|add to basket|read more|click here|learn more|top rated|fast delivery|free shipping|free delivery|"
-    r"sold out|log ?in|sign up|sign in|my account|about us|contact us|shop now|buy now|back to top|see also|see all|view all|all rights reserved|best price|"
-    r"pas cher|devis gratuit|livraison rapide|envío gratis|en venta|zu verkaufen|auf lager|in den warenkorb|en stock|ajouter au panier|añadir al carrito)\b",
-    re.I,
-)
-_LINE = re.compile(r"[\r\n\v\f\u0085  ]+|<br\s*/?>|</?(?:li|p|div|ul|ol|td|tr)>", re.I)
-_SENTENCE_END = re.compile(r"(?<=[.!?…。？！])[\"'»”)]*\s+")
+_TAG_LINE = re.compile(r"<br\s*/?>|</?(?:li|p|div|ul|ol|td|tr)>", re.I)
+_SENTENCE_END = re.compile(r"[.!?…؟।](?<!\.{3})[\"'»”)\]]*(?=\s)|[。？！]")
 _LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\S+@\S+\.\w+", re.I | re.S)
-_LIST = re.compile(r"\s*[|•·›»;]\s*|\s+[>+/–—-]\s+|,\s+|\s*,(?=#)")
+_LINK_SIGNS = ("://", "www.", "](", "<a", "@")
+_SEPARATOR = re.compile(r"[|•·›»;>+/–—,、，-]")
 _STRONG = re.compile(r"\s*[|•·›»;]\s*|\s+[>+/–—-]\s+")
-_VALUE = re.compile(r"(?<!\w)(?<!sku )(?<!sku)[±≤≥<>=]?\d+(?:[.,:/]\d+)*(?!\w*\S*//)", re.I)
-_SKU = re.compile(r"\b(?:sku|art|ref|item|model|no)\.?[ :#-]*\w*\d+\b|#\d+\b", re.I)
-_SECTION = re.compile(r"\d+\.\d+(?:\.\d+)*|\.{4,}|…{2,}")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-
-#: Share of function words from which a page or unit reads as sentences.
-PROSE = 0.3
-SENTENCE = 0.12
-#: Share of one content word from which a page is looked at in detail.
-DOMINANT = 0.06
+_LIST = re.compile(r"\s*[|•·›»;]\s*|\s+[>+/–—-]\s+|,\s+|\s*,(?=#)|[、，]")
+_TAGS = re.compile(r"(?:[^#]{0,12})(?:[\s,]*#[^\s#,]{2,})+[\s,]*")
+_DIGIT = re.compile(r"\d")
+_CODE = re.compile(r"(?:[A-Za-z]{2,5}|#)\.?[ #:.-]*\d{3,}")
+_DOTS = re.compile(r"\.{4,}|…{2,}")
+# letters of all scripts and their marks, in lower case and without the blocks of punctuation, signs and pictures
+_WORD = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u1fff\u2c00-\u2fef\u3005-\ufaff\U00010000-\U0001cfff\U00020000-\U0003ffff]+")
+# scripts without spaces between words count a word a character
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
+_WORD_OR_CHARACTER = re.compile(_UNSPACED.pattern + "|" + _WORD.pattern)
+_ENDS = ".!?…:。？！؟।"
+_CLOSING = "\"'»”)]* "
+_OPENING = "\"'«“‘([{*>#-–—•¿¡ "
+
+#: Letters up to which a word is short: words that tie others together mostly are.
+SHORT = 3
+#: A unit without the form of a sentence needs one short word in so many words.
+TIED = 5
+#: Words from which even a unit with the form of a sentence needs short words.
+LONG = 25
 #: Times non-sentence shapes of a kind must come up on a page to count as repeated.
 REPEATED = 3
+#: Shapes that must hold the share of the page.
+FEW = 8
 SHARE = 0.5
 
 
-def _capitals(words: list[str]) -> str:
-    if all(w.isupper() for w in words):
-        return "U"
-    if all(w[:1].isupper() for w in words):
-        return "T"
-    return "f" if words[0][:1].isupper() else "l"
-
-
-def _stuffed(words: list[str]) -> bool:
-    """Whether one content word comes up three times or more and makes up a quarter of a unit."""
-    content = [w.lower() for w in words if w.lower() not in FUNCTION_WORDS]
-    top = max(Counter(content).values(), default=0)
+class Unit:
+    """A unit and what its shape is made of."""
+
+    __slots__ = ("text", "kind", "separator", "size", "words", "formed", "tied", "times")
+
+    def __init__(self, text: str, separator: str, times: int = 1, linked: bool = True):
+        self.text, self.separator, self.size, self.times = text, separator, len(text), times
+        self.words: list[str] = []
+        self.formed = self.tied = False
+        self.kind = self._kind(text, linked)
+
+    def _kind(self, text: str, linked: bool) -> str:
+        """``a`` link, ``h`` tags, ``k`` keywords, ``i`` item, ``v`` value, ``s`` sentence."""
+        if linked:
+            links = _LINK.findall(text)
+            if links:
+                text = _LINK.sub(" ", text)
+                if sum(map(len, links)) * 2 >= self.size or len(_words(text)) < 4:
+                    return "a"
+        if "#" in text and _TAGS.fullmatch(text):
+            return "h"
+        self.words = words = _words(text)
+        n = len(words)
+        if len(set(words)) <= n - 2 and stuffed(words):  # else no word comes three times
+            return "k"
+        short = sum([len(w) <= SHORT for w in words])
+        self.tied = short * 2 * TIED >= n and short > 0
+        ended = text.rstrip(_CLOSING)[-1:] in _ENDS
+        self.formed = ended and (n >= 2 or _DIGIT.search(text) is not None) and not text.lstrip(_OPENING)[:1].islower()
+        if self.formed and (n < LONG or self.tied):
+            return "s"
+        if n >= 4 and short * TIED >= n and (n >= 6 or ended):
+            return "s"
+        if not words or (_DIGIT.search(text) and not _CODE.fullmatch(text)) or _DOTS.search(text):
+            return "v"
+        return "k" if n > 8 else "i"
+
+    def shape(self) -> str:
+        """The kind, the separator, half the number of words and the capitals, as ``i,1T``."""
+        if self.kind != "i":
+            return self.kind + self.separator
+        words = self.text.split()
+        capitals = "U" if self.text.isupper() else "T" if not any(w[:1].islower() for w in words) else "f" if words[0][:1].isupper() else "l"
+        return f"i{self.separator}{min(len(self.words), 6) // 2}{capitals}"
+
+
+def _words(text: str) -> list[str]:
+    """Words in lower case."""
+    text = text.lower()
+    return _WORD.findall(text) if text.isascii() or not _UNSPACED.search(text) else _WORD_OR_CHARACTER.findall(text)
+
+
+def stuffed(words: list[str]) -> bool:
+    """Whether one longer word comes up three times or more and makes up a quarter of a unit."""
+    top = max(Counter([w for w in words if len(w) > SHORT]).values(), default=0)
     return top >= 3 and top * 4 >= len(words)
 
 
-def shape(unit: str, separator: str) -> tuple[str, int]:
-    """(shape, characters) of a unit. Shapes starting with ``s`` are sentences, ``v`` values and references, others neither."""
-    size = len(unit)
-    links = _LINK.findall(unit)
-    if links:
-        rest = _LINK.sub(" ", unit)
-        inside = sum(w.lower() in FUNCTION_WORDS for w in _WORD.findall(rest))
-        if sum(map(len, links)) * 2 >= size or inside < 3:
-            return f"a{separator}", size
-    if "#" in unit and re.fullmatch(r"(?:[^#]{0,12})(?:[\s,]*#[^\s#,]{2,})+[\s,]*", unit):
-        return f"h{separator}", size
-    plain = LABELS.sub(" ", unit)
-    labels = plain != unit
-    plain = _SKU.sub(" ", plain)
-    labels = labels or "sku" in unit.lower()
-    words = _WORD.findall(plain)
-    tied = sum(w.lower() in FUNCTION_WORDS for w in words)
-    if _SECTION.search(plain):
-        return "v", size
-    if _stuffed(words):
-        return f"k{separator}", size
-    if len(words) >= 3 and tied >= 2 and tied >= SENTENCE * len(words):
-        return "s", size
-    loose = tied - (len(words) <= 5 and words.count("in"))  # "price sill in Fenwick." says nothing
-    if len(words) >= 4 and loose >= 1 and unit.rstrip("\"'»”) ")[-1:] in ".!?:…":
-        return "s", size
-    if _VALUE.search(plain) and not labels:
-        return "v", size
-    if not words and not labels:
-        return "v", size
-    if len(words) > 8:
-        return f"k{separator}", size
-    return f"i{separator}{'L' if labels and not words else min(len(words), 6) // 2}{_capitals(words) if words else ''}", size
-
-
-def units(text: str) -> Iterator[tuple[str, str]]:
-    """(unit, separator) of a page: sentences, lines, and the items of lists within a line."""
-    for line in _LINE.split(text):
-        if not line.strip():
+def units(text: str) -> Iterator[tuple[str, str, int]]:
+    """(unit, separator, times) of a page: sentences, lines, and the items of lists within a line; equal lines and sentences come once."""
+    lines = _SENTENCE_END.sub("\\g<0>\n", text)
+    if "<" in lines:
+        lines = _TAG_LINE.sub("\n", lines)
+    for part, times in Counter(map(str.strip, lines.splitlines())).items():
+        if not part:
             continue
-        for part in _SENTENCE_END.split(line):
-            part = part.strip()
-            if not part:
+        if len(_SEPARATOR.findall(part)) > 1:
+            items = [x for x in _STRONG.split(part) if x]
+            if len(items) < 3 or part.count(",") >= 3 * len(items):
+                items = [x for x in _LIST.split(part) if x]
+            if len(items) > 2 and listed(part, items):
+                for item in items:
+                    yield item.strip(), ",", times
                 continue
-            items = [x for x in _STRONG.split(part) if x and x.strip()]
-            if len(items) < 3:
-                items = [x for x in _LIST.split(part) if x and x.strip()]
-            if len(items) >= 3:
-                words = _WORD.findall(LABELS.sub(" ", part))
-                tied = sum(w.lower() in FUNCTION_WORDS for w in words)
-                if tied < SENTENCE * len(words) or len(items) >= 8:
-                    for item in items:
-                        yield item.strip(), ","
-                    continue
-            yield part, "n"
+        yield part, "n", times
+
+
+def listed(part: str, items: list[str]) -> bool:
+    """Whether a unit is a list of short items and no sentence or row of values."""
+    words = _words(part)
+    if len(words) > 6 * len(items):
+        return False
+    tied = sum([len(w) <= SHORT for w in words]) * TIED >= len(words)
+    if len(items) >= 8:
+        return not (tied and part[-1:] in _ENDS and not part.lstrip(_OPENING)[:1].islower())
+    return not tied and _DIGIT.search(part) is None
+
+
+def keywords(found: list[Unit]) -> set[str]:
+    """Words in half or more of the units that lack the form or the ties of sentences: longer ones, and with them short ones in nearly all units."""
+    loose = [u for u in found if u.kind in "ik" or (u.kind == "s" and not (u.formed and u.tied))]
+    n = sum(u.times for u in loose)
+    if n < REPEATED or sum(u.size * u.times for u in loose) * 10 < 3 * sum(u.size * u.times for u in found):
+        return set()
+    times: Counter[str] = Counter()
+    for u in loose:
+        for w in set(u.words):
+            times[w] += u.times
+    longer = {w for w, k in times.items() if k * 2 >= n and len(w) > SHORT}
+    return longer | {w for w, k in times.items() if k * 10 >= n * 9 and len(w) == SHORT} if longer else longer
 
 
 def page(text: str | None) -> tuple[float, int, str]:
-    """(share of characters in repeated non-sentence shapes, number of such shapes, the largest one). Null and blank pages: (0, 0, '')."""
+    """(share of characters in the ``FEW`` largest repeated non-sentence shapes, their number, the largest one). Null and blank pages: (0, 0, '')."""
     if not text or not text.strip():
         return 0.0, 0, ""
-    tokens = text.lower().split()
-    if "](" not in text and "<a " not in text and sum(t in FUNCTION_WORDS for t in tokens) >= PROSE * len(tokens):
-        counts = Counter(t for t in tokens if t not in FUNCTION_WORDS)
-        if max(counts.values(), default=0) < max(3, DOMINANT * len(tokens)):
-            return 0.0, 0, ""  # so many function words and no dominant word leave no room for a half without sentences
+    low = text.lower()
+    linked = any(sign in low for sign in _LINK_SIGNS)
+    found = [Unit(*u, linked) for u in units(text)]
+    common = keywords(found)
+    if common:
+        for u in found:
+            if u.kind == "s" and len(u.words) <= 8:
+                part = sum([w in common for w in u.words])
+                if u.formed and u.tied:  # a sentence, unless it is short and the keywords are a third of it
+                    u.kind = "k" if len(u.words) <= 6 and part * 3 >= len(u.words) else "s"
+                elif part * 4 >= len(u.words):
+                    u.kind = "k"
     sizes: Counter[str] = Counter()
     times: Counter[str] = Counter()
-    for unit, separator in units(text):
-        name, size = shape(unit, separator)
-        sizes[name] += size
+    for u in found:
+        name = u.shape()
+        sizes[name] += u.size * u.times
         # shapes that differ in words and capitals only are of one kind; a run of links, tags or keywords is a repetition in itself
-        times[name[:2]] += 1 + (len(_WORD.findall(unit)) // 6 if name[0] in "akh" else 0)
+        times[name[:2]] += u.times * (1 + (len(u.words) // 6 if u.kind == "k" else u.size // 25 if u.kind in "ah" else 0))
     total = sum(sizes.values())
-    bad = {n: size for n, size in sizes.items() if n[0] in "akhi" and times[n[:2]] >= REPEATED}
+    bad = sorted(((size, n) for n, size in sizes.items() if n[0] in "akhi" and times[n[:2]] >= REPEATED), reverse=True)[:FEW]
     if not bad or not total:
         return 0.0, 0, ""
-    return sum(bad.values()) / total, len(bad), max(bad, key=lambda n: (bad[n], n))
+    return sum(size for size, _ in bad) / total, len(bad), bad[0][1]
 
 
 @F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("n_shapes", T.IntegerType()), T.StructField("top_shape", T.StringType())]))

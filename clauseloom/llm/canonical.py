@@ -1,26 +1,37 @@
 """Freely typed values mapped to the entry of a reference list that was meant.
 
-The reference forms stand in a BK-tree under the unrestricted Damerau-Levenshtein
+The reference forms stand in BK-trees under the unrestricted Damerau-Levenshtein
 distance, which is a metric, so the triangle inequality prunes and a search
-returns every form within its threshold. Lists of more than ``SHARD`` forms are
-cut into shards that are broadcast one after another; the shards' winners are
-merged. Values are matched where they stand: no shuffle, no join.
+returns every form within its threshold. Each distinct value is searched once.
+
+A list of at most ``SHARD`` entries is one tree, sent to every task. A longer
+one is cut into shards that are never together in one place: blocks of values
+meet one shard at a time, each shard hands on the candidates it has, and the
+same decision as for one tree is taken once, over the candidates of all shards.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from clauseloom.operators.skew import skewed_join
+from clauseloom.tables import cut
 
-#: Forms per broadcast shard: with up to some hundred bytes a form, a bound of about 50 MB.
+#: Entries of a shard: with up to some hundred bytes an entry, a bound of about 50 MB in a task.
 SHARD = 100_000
+#: Values that meet a shard in one task.
+BLOCK = 100_000
+#: Bytes of matched values up to which they are sent to every task; more are joined by shuffle.
+SENT_BYTES = 32 << 20
 UNMATCHED = "unmatched"
 
 # Letters of other scripts that look like Latin ones.
@@ -128,13 +139,15 @@ class BKTree:
 
     def __init__(self, forms: Iterable[tuple[str, str]]):
         self.root: list | None = None
-        self.exact: dict[str, set[str]] = {}
+        self.longest = 0
+        terms: dict[str, set[str]] = {}
         for form, term in sorted(set(forms)):
-            self.exact.setdefault(form, set()).add(term)
-        for form, terms in self.exact.items():
-            self._add(form, terms)
+            terms.setdefault(form, set()).add(term)
+        for form, meant in terms.items():
+            self._add(form, meant)
 
     def _add(self, form: str, terms: set[str]) -> None:
+        self.longest = max(self.longest, len(form))
         if self.root is None:
             self.root = [form, terms, {}]
             return
@@ -148,6 +161,8 @@ class BKTree:
 
     def search(self, key: str, radius: int) -> list[tuple[int, str, str]]:
         """(distance, form, term) of every form within ``radius``."""
+        if len(key) - radius > self.longest:  # further than the radius from every form
+            return []
         found, stack = [], [self.root] if self.root else []
         while stack:
             form, terms, children = stack.pop()
@@ -159,7 +174,7 @@ class BKTree:
 
 
 def reference_forms(terms: Iterable[tuple[str, str, list[str] | None]]) -> tuple[dict[str, list[tuple[str, str]]], dict[str, list[tuple[str, str]]]]:
-    """(forms searched with edits, forms matched exactly only), by field, of (field, name, aliases) rows."""
+    """(forms searched with edits, forms that must be met exactly), by field, of (field, name, aliases) rows. Skeletons start with ``~``."""
     near: dict[str, list[tuple[str, str]]] = {}
     only: dict[str, list[tuple[str, str]]] = {}
     for field, name, aliases in terms:
@@ -183,90 +198,158 @@ def reference_forms(terms: Iterable[tuple[str, str, list[str] | None]]) -> tuple
     return near, only
 
 
+#: A candidate: how it was found (0 a form met exactly, 1 a form within its threshold, 2 the same consonants), the rank of the key, the distance, the term.
+Candidate = tuple[int, int, int, str]
+_ANSWER = T.StructType([T.StructField("term", T.StringType()), T.StructField("edits", T.IntegerType())])
+_CANDIDATES = "array<struct<step:int,rank:int,edits:int,term:string>>"
+
+
 class Matcher:
-    """Finds the term meant by a value: exact forms first, then the nearest form in the BK-tree, then one of the same consonants."""
+    """The trees of a part of the reference list, which has all forms of each of its terms."""
 
     def __init__(self, terms: Iterable[tuple[str, str, list[str] | None]]):
         near, only = reference_forms(terms)
-        self.trees = {field: BKTree(forms) for field, forms in near.items()}
-        self.strict: dict[str, dict[str, set[str]]] = {}
-        for field, forms in only.items():
-            for form, term in forms:
-                self.strict.setdefault(field, {}).setdefault(form, set()).add(term)
+        self.near = {field: BKTree(forms) for field, forms in near.items()}
+        self.only = {field: BKTree(forms) for field, forms in only.items()}
         self.spelt: dict[tuple[str, str], set[str]] = {}
         for forms in (near, only):
             for field, listed in forms.items():
                 for form, term in listed:
                     if form[0] != "~":
                         self.spelt.setdefault((field, term), set()).add(form)
-        self.match = lru_cache(maxsize=200_000)(self._match)
 
-    def _match(self, field: str, value: str) -> tuple[str, int, bool] | None:
-        """(term, distance, whether other terms are as near) or None."""
-        tree, strict = self.trees.get(field), self.strict.get(field, {})
+    def candidates(self, field: str, value: str, alone: bool = True) -> list[Candidate]:
+        """What :func:`decide` needs to know of this part; ``alone`` if there is no other part, so that a later step is not looked at in vain."""
+        if field not in self.near:
+            return []
         keys = variants(value, field)
-        if tree is None or not keys:
-            return None
         typed = [k for k in keys if k[0] != "~"]
-        for key in typed:
-            for hits in (tree.exact.get(key), strict.get(key)):
-                if hits and len(hits) == 1:
-                    return next(iter(hits)), 0, False
+        found: list[Candidate] = []
+        for place, key in enumerate(typed):
+            for kind, tree in enumerate((self.near[field], self.only[field])):
+                found += [(0, 2 * place + kind, 0, term) for _, _, term in tree.search(key, 0)]
+            if alone and decide(found):
+                return found
         best: dict[str, int] = {}
         for key in typed:
-            for d, form, term in tree.search(key, threshold(key)):
+            for d, form, term in self.near[field].search(key, threshold(key)):
                 if d <= tolerance(form):
                     best[term] = min(d, best.get(term, d))
-        if not best:
-            for key in (k for k in keys if k[0] == "~"):
-                hits = strict.get(key, set())
-                if len(hits) == 1:
-                    term = next(iter(hits))
-                    return term, min(distance(k, form) for k in typed for form in self.spelt[field, term]), False
-            return None
-        least = min(best.values())
-        nearest = sorted(t for t, d in best.items() if d == least)
-        return nearest[0], least, len(nearest) > 1
-
-
-def match_values(df: DataFrame, field: str, value: str, terms: DataFrame, shard: int = SHARD) -> DataFrame:
+        if best:
+            least = min(best.values())
+            found += [(1, 0, d, term) for term, d in best.items() if d == least]
+        if not best or not alone:
+            for place, key in enumerate(k for k in keys if k[0] == "~"):
+                for term in {t for _, _, t in self.only[field].search(key, 0)}:
+                    found.append((2, place, min(distance(k, form) for k in typed for form in self.spelt[field, term]), term))
+        return found
+
+    def match(self, field: str, value: str) -> tuple[str, int, bool] | None:
+        """(term, distance, whether other terms are as near) of a value against this part alone, or None."""
+        found = self.candidates(field, value)
+        meant = decide(found)
+        near = sorted(c for c in found if c[0] == 1)
+        return (*meant, False) if meant else (near[0][3], near[0][2], True) if near else None
+
+
+def decide(candidates: Iterable[Candidate]) -> tuple[str, int] | None:
+    """(term, edits) of the candidates of all parts, or None.
+
+    The first key that is exactly a form of one term decides; else the term
+    with the nearest form, if it is the only one as near; else, where no form
+    is near, the first key whose consonants are those of one term.
+    """
+    steps: dict[int, dict[int, dict[str, int]]] = {0: {}, 1: {}, 2: {}}
+    for step, rank, edits, term in candidates:
+        terms = steps[step].setdefault(edits if step == 1 else rank, {})
+        terms[term] = min(edits, terms.get(term, edits))
+    for step in (0, 1, 2):
+        for rank in sorted(steps[step]):
+            if len(steps[step][rank]) == 1:
+                return next(iter(steps[step][rank].items()))
+            if step == 1:
+                return None
+    return None
+
+
+def match_values(df: DataFrame, field: str, value: str, terms: DataFrame, shard: int = SHARD, block: int = BLOCK, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """Add ``term`` (the name meant or 'unmatched') and ``edits`` (null if unmatched).
 
-    ``terms`` has field, name and aliases. A value equally near to several
-    names is unmatched, as are null, blank and unknown values. Rows stay in
-    their partitions; each task keeps what it has matched, so repeated values
-    cost one search. Clashing columns ``term`` and ``edits`` are replaced.
+    ``terms`` has field, name and aliases; a term listed in several rows has the
+    aliases of all. A value equally near to several names is unmatched, as are
+    null, blank and unknown values. The distinct values are taken out (combined
+    before the shuffle), searched once and joined back: sent to every task up to
+    ``sent_bytes``, else by a join that splits hot values. ``shard`` and
+    ``block`` bound the memory of a task and never change a result. Clashing
+    columns ``term`` and ``edits`` are replaced.
     """
     terms = terms.select("field", "name", "aliases").where(F.col("field").isNotNull() & F.col("name").isNotNull())
-    shards = max(1, -(-terms.count() // shard))
-    found = []
-    out = df
-    for k in range(shards):
-        part = terms if shards == 1 else terms.where(F.pmod(F.xxhash64("field", "name"), F.lit(shards)) == k)
-        sent = df.sparkSession.sparkContext.broadcast([(r["field"], r["name"], list(r["aliases"] or [])) for r in part.collect()])
-        out = out.withColumn(f"_found{k}", _search(sent)(F.col(field), F.col(value)))
-        found.append(f"_found{k}")
-    hits = F.array_sort(F.filter(F.array(*[F.struct(F.col(f"{c}.edits"), F.col(f"{c}.term"), F.col(f"{c}.tied")) for c in found]), lambda x: x["edits"].isNotNull()))
-    out = out.withColumn("_hits", hits)
-    first, second = F.get("_hits", F.lit(0)), F.get("_hits", F.lit(1))
-    clear = first.isNotNull() & ~first["tied"] & (second.isNull() | (second["edits"] > first["edits"]))
-    out = out.withColumns({"_term": F.when(clear, first["term"]).otherwise(F.lit(UNMATCHED)), "_edits": F.when(clear, first["edits"])})
-    return out.drop("term", "edits", "_hits", *found).withColumnsRenamed({"_term": "term", "_edits": "edits"})
-
-
-def _search(sent):
-    """A vectorised function over the broadcast part of the reference list; the trees are built once a worker."""
-
-    @F.pandas_udf("term STRING, edits INT, tied BOOLEAN")
+    typed = df.select(F.col(field).alias("_f"), F.col(value).alias("_v")).where(F.col("_f").isNotNull() & (F.trim("_v") != "")).distinct()
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    head = terms.limit(shard + 1).collect()
+    if len(head) <= shard:
+        found = typed.repartition(tasks).select("_f", "_v", _search(df, head)("_f", "_v").alias("_m"))
+    else:
+        typed = cut(typed)
+        shards, blocks = -(-terms.count() // shard), max(1, -(-typed.count() // block))
+        listed = terms.withColumns({"_shard": F.pmod(F.xxhash64("field", "name"), F.lit(shards)), "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        asked = typed.withColumns({"_block": F.pmod(F.xxhash64("_v"), F.lit(blocks)), "_shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+        by = [F.col("_shard").cast("int"), F.col("_block").cast("int")]
+        met = asked.groupBy(*by).cogroup(listed.groupBy(*by)).applyInPandas(_block_candidates, f"_f STRING, _v STRING, _c {_CANDIDATES}")
+        # a value has few candidates in each shard
+        found = met.groupBy("_f", "_v").agg(F.flatten(F.collect_list("_c")).alias("_c")).select("_f", "_v", _decided("_c").alias("_m"))
+    found = cut(found.where(F.col("_m.term").isNotNull()).select("_f", "_v", "_m.term", "_m.edits"))
+    kept = df.drop("term", "edits")
+    size = found.agg(F.sum(F.octet_length("_f") + F.octet_length("_v") + F.octet_length("term") + 64)).first()[0] or 0
+    if size <= sent_bytes:
+        out = kept.join(F.broadcast(found), (F.col(field) == F.col("_f")) & (F.col(value) == F.col("_v")), "left").drop("_f", "_v")
+    else:
+        keyed = found.select(F.struct("_f", "_v").alias("_key"), "term", "edits")
+        out = skewed_join(kept.withColumn("_key", F.struct(F.col(field).alias("_f"), F.col(value).alias("_v"))), keyed, "_key", "left").drop("_key")
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], F.coalesce("term", F.lit(UNMATCHED)).alias("term"), "edits")
+
+
+def _search(df: DataFrame, listed: list):
+    """A vectorised function over the whole reference list; its trees are kept by the worker process for all its tasks."""
+    rows = sorted((r["field"], r["name"], sorted(r["aliases"] or [], key=str)) for r in listed)
+    sent = df.sparkSession.sparkContext.broadcast(rows)
+
+    @F.pandas_udf(_ANSWER)
     def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(sent.value)
+        matcher = _kept_matcher(sent.value)
         for fields, values in batches:
-            rows = [matcher.match(f, v) if isinstance(f, str) and isinstance(v, str) else None for f, v in zip(fields, values)]
-            yield pd.DataFrame([r or (None, None, None) for r in rows], columns=["term", "edits", "tied"]).astype({"edits": "Int32"})
+            yield _answers([decide(matcher.candidates(f, v)) for f, v in zip(fields, values)])
 
     return search
 
 
+def _kept_matcher(rows: list) -> Matcher:
+    kept = sys.__dict__.setdefault("_clauseloom_matchers", {})
+    key = hash(repr(rows))
+    if key not in kept:
+        kept.clear()
+        kept[key] = Matcher(rows)
+    return kept[key]
+
+
+def _answers(found: list) -> pd.DataFrame:
+    return pd.DataFrame([r or (None, None) for r in found], columns=["term", "edits"]).astype({"edits": "Int32"})
+
+
+@F.pandas_udf(_ANSWER)
+def _decided(candidates: pd.Series) -> pd.DataFrame:
+    return _answers([decide((c["step"], c["rank"], c["edits"], c["term"]) for c in cs) for cs in candidates])
+
+
+def _block_candidates(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+    """The candidates of one block of values in one shard of the list."""
+    if asked.empty or listed.empty:
+        return pd.DataFrame(columns=["_f", "_v", "_c"])
+    matcher = Matcher((f, n, None if a is None else list(a)) for f, n, a in zip(listed["field"], listed["name"], listed["aliases"]))
+    found = [(f, v, matcher.candidates(f, v, alone=False)) for f, v in zip(asked["_f"], asked["_v"])]
+    return pd.DataFrame([(f, v, [dict(zip(("step", "rank", "edits", "term"), c)) for c in cs]) for f, v, cs in found if cs], columns=["_f", "_v", "_c"])
+
+
 def typed_fields(drafts: DataFrame, fields: tuple[str, ...] = ("property_name", "target_ifc_class", "operator")) -> DataFrame:
     """draft_id, field, value of each non-empty field of ``original_proposed_rule``."""
     rule = F.col("original_proposed_rule")

@@ -298,7 +298,8 @@ def match_values(df: DataFrame, field: str, value: str, terms: DataFrame, shard:
         met = asked.groupBy(*by).cogroup(listed.groupBy(*by)).applyInPandas(_block_candidates, f"_f STRING, _v STRING, _c {_CANDIDATES}")
         # a value has few candidates in each shard
         found = met.groupBy("_f", "_v").agg(F.flatten(F.collect_list("_c")).alias("_c")).select("_f", "_v", _decided("_c").alias("_m"))
-    found = cut(found.where(F.col("_m.term").isNotNull()).select("_f", "_v", "_m.term", "_m.edits"))
+    # the values without a term go after the cut: a filter on the search before it would be pushed to the rows below distinct
+    found = cut(found.select("_f", "_v", "_m.term", "_m.edits")).where(F.col("term").isNotNull())
     kept = df.drop("term", "edits")
     size = found.agg(F.sum(F.octet_length("_f") + F.octet_length("_v") + F.octet_length("term") + 64)).first()[0] or 0
     if size <= sent_bytes:

@@ -14,8 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions.columns import let, or_null
 from clauseloom.operators.skew import skewed_join
-from clauseloom.tables import distinct_by
 
 # Kind, factor to the common unit, offset added after it, accepted spellings.
 # Common units: m, m2, Pa, N, s, degrees Celsius, plain ratio, degrees of angle, litres per second.
@@ -54,7 +54,7 @@ _UNIT_ROWS: list[tuple[str, float, float, list[str]]] = [
     ("flow", 0.47194745, 0.0, ["cfm", "ft3/min", "cu ft per min", "cubic feet per minute"]),
 ]
 #: Spelling without spaces and full stops, kind, factor, offset: the table joined with.
-UNITS: list[tuple[str, str, float, float]] = [(a.replace(" ", ""), kind, f, o) for kind, f, o, names in _UNIT_ROWS for a in names]
+UNITS: list[tuple[str, str, float, float]] = list(dict.fromkeys((a.replace(" ", ""), kind, f, o) for kind, f, o, names in _UNIT_ROWS for a in names))
 
 # Number words found in limits.
 NUMBER_WORDS: dict[str, int] = {
@@ -88,36 +88,43 @@ _PLAIN = rf"(?<![\d.])((?:(?<=^|\s)-)?{_NUMBER})"
 _WORDED = rf"(?<![a-z])({_WORD})(?![a-z])"
 
 
+
+
+def _all_in_one(unit_required: bool) -> tuple[str, str]:
+    """The notations as one pattern over the whole text, tried in order, and what it is replaced by: its groups, separated.
+
+    Each notation is looked for in all of the text before the next one is tried,
+    so the text is walked once for all that follows from it.
+    """
+    tail = rf" ?({_UNIT})" + ("" if unit_required else "?")
+    notations = [_A_TO_B, _RATIO_OF, _FEET_INCHES, _MIXED + tail, _PLAIN + tail, _WORDED + tail]
+    return "(?s)^(?:" + "|".join(f".*?{n}" for n in notations) + ").*$", _MARK + _MARK.join(f"${k}" for k in range(1, 16))
+
+
+_MARK = "\x01"
+
+
 def clean(text: Column) -> Column:
     """Lower case, plain spaces, quotes and fractions, one spelling of composed unit characters."""
-    t = F.lower(F.translate(text, "   \t′″’”²³−^", "    '\"'\"23-"))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "㎜", "mm"), "℃", "°c"), "℉", "°f")
+    t = F.lower(F.translate(text, "   \t′″’”²³−^" + _MARK, "    '\"'\"23-"))
+    for mark, plain in (("㎜", "mm"), ("℃", "°c"), ("℉", "°f")):
+        t = F.replace(t, F.lit(mark), F.lit(plain))
     fractions = t
     for mark, plain in FRACTIONS.items():
-        fractions = F.regexp_replace(fractions, mark, " " + plain)
+        fractions = F.replace(fractions, F.lit(mark), F.lit(" " + plain))
     t = F.when(t.rlike("[" + "".join(FRACTIONS) + "]"), fractions).otherwise(t)
-    return F.trim(F.regexp_replace(t, " +", " "))
+    return F.trim(F.regexp_replace(t, " {2,}", " "))
 
 
 def unit_key(unit: Column) -> Column:
-    """The key of :data:`UNITS` for a unit field, or null if it names no known unit ('-', 'n/a', blank)."""
-    known = F.array(*[F.lit(a) for a, *_ in UNITS])
-    key = F.regexp_replace(clean(unit), r"[ .]", "")
-    return F.when(F.array_contains(known, key), key)
+    """What a unit field may be called in :data:`UNITS`; whether it is there, the join tells."""
+    return or_null(F.regexp_replace(clean(unit), r"[ .]", ""))
 
 
 def to_number(text: Column) -> Column:
     """A cleaned number: a comma before exactly three digits and a space group thousands, another comma is decimal."""
     t = F.regexp_replace(text, r"(?<=\d)[ ,](?=\d{3}(?!\d))", "")
-    return F.regexp_replace(t, ",", ".").try_cast("double")
-
-
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
-def _or_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return F.replace(t, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def quantity(text: Column, unit_required: bool = False) -> Column:
@@ -129,32 +136,27 @@ def quantity(text: Column, unit_required: bool = False) -> Column:
     ``unit_required`` a number counts only where a unit follows it, as in prose
     full of article numbers. Null, empty or numberless text gives nulls.
     """
-    t = clean(text)
-    tail = rf" ?({_UNIT})" + ("" if unit_required else "?")
-    key = lambda unit: _or_null(F.regexp_replace(unit, r"[ .]", ""))
-    made = lambda number, unit: F.struct(number.alias("number"), unit.alias("unit"))
+    pattern, groups = _all_in_one(unit_required)
+    return let(clean(text), lambda t: let(F.split(F.regexp_replace(t, pattern, groups), _MARK), _stated))
+
 
-    num = lambda s: s.try_cast("double")
-    first, second = _group(t, _A_TO_B, 1), _group(t, _A_TO_B, 2)
-    slope = made(F.try_divide(F.when(first == "one", F.lit(1.0)).otherwise(num(first)), num(second)), F.lit("ratio"))
-    ratio_of = made(to_number(_group(t, _RATIO_OF, 1)), F.lit("ratio"))
-    feet, inches, top, bottom = (num(_group(t, _FEET_INCHES, k)) for k in (1, 2, 3, 4))
-    feet_inches = made(feet * 12 + F.coalesce(inches, F.lit(0.0)) + F.coalesce(F.try_divide(top, bottom), F.lit(0.0)), F.lit("in"))
-    mixed_p, plain_p, word_p = _MIXED + tail, _PLAIN + tail, _WORDED + tail
-    whole, upper, lower = (num(_group(t, mixed_p, k)) for k in (1, 2, 3))
-    mixed = made(F.coalesce(whole, F.lit(0.0)) + F.try_divide(upper, lower), key(_group(t, mixed_p, 4)))
-    plain = made(to_number(_group(t, plain_p, 1)), key(_group(t, plain_p, 2)))
+def _stated(group: Column) -> Column:
+    """The quantity of the groups of :func:`_all_in_one`; the first entry is '' if there was a match, else the text."""
+    made = lambda number, unit: F.struct(number.alias("number"), unit.alias("unit"))
+    at = lambda k: F.get(group, F.lit(k))
+    num = lambda k: at(k).try_cast("double")
+    key = lambda k: or_null(F.regexp_replace(at(k), r"[ .]", ""))
+    slope = F.try_divide(F.when(at(1) == "one", F.lit(1.0)).otherwise(num(1)), num(2))
+    feet_inches = num(4) * 12 + F.coalesce(num(5), F.lit(0.0)) + F.coalesce(F.try_divide(num(6), num(7)), F.lit(0.0))
     words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in (kv[0], float(kv[1]))])
-    worded = made(F.try_element_at(words, _group(t, word_p, 1)), key(_group(t, word_p, 2)))
-    nothing = made(F.lit(None).cast("double"), F.lit(None).cast("string"))
     return (
-        F.when(t.rlike(_A_TO_B), slope)
-        .when(t.rlike(_RATIO_OF), ratio_of)
-        .when(t.rlike(_FEET_INCHES), feet_inches)
-        .when(t.rlike(mixed_p), mixed)
-        .when(t.rlike(plain_p), plain)
-        .when(t.rlike(word_p), worded)
-        .otherwise(nothing)
+        F.when(group.isNull() | (F.size(group) < 16), made(F.lit(None).cast("double"), F.lit(None).cast("string")))
+        .when(at(1) != "", made(slope, F.lit("ratio")))
+        .when(at(3) != "", made(to_number(at(3)), F.lit("ratio")))
+        .when(at(4) != "", made(feet_inches, F.lit("in")))
+        .when(at(9) != "", made(F.coalesce(num(8), F.lit(0.0)) + F.try_divide(num(9), num(10)), key(11)))
+        .when(at(12) != "", made(to_number(at(12)), key(13)))
+        .otherwise(made(F.try_element_at(words, at(14)), key(15)))
     )
 
 
@@ -177,42 +179,34 @@ def as_ratio(kind: Column, value: Column) -> Column:
     return F.when(kind == "angle", F.tan(F.radians(value))).otherwise(value)
 
 
-def compare_drafts(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each draft's limit beside the dimension it was drawn from, both in common units.
+def _known(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the unit ``key`` made null where :data:`UNITS` does not have it."""
+    units = units_table(df.sparkSession).select(F.col("unit_key").alias("_unit_key"))
+    return df.join(units, df[key] == units["_unit_key"], "left").drop(key).withColumnRenamed("_unit_key", key)
 
-    Columns: draft_id, dim_id, draft_value, draft_kind, draft_unit_from (field,
-    snippet, source, kind or null), dim_value, dim_kind, constraint_kind and
-    rel_diff, the difference as a share of the larger of the two. One row per
-    draft whose dimension exists. Null numbers, unknown units and kinds that
-    cannot be compared give a null rel_diff. Re-delivered rows count once.
-    Slopes stated as an angle are compared as ratios.
-    """
+
+def _compared(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame) -> DataFrame:
+    """:func:`compare_drafts` with the copies of re-delivered drafts still in it."""
     rule = F.col("original_proposed_rule")
-    draft_rows = distinct_by(
-        drafts.select(
-            F.col("id").alias("draft_id"), "dim_id", "source_document_id",
-            rule["check_value"].alias("_text"), rule["unit"].alias("_unit"), F.col("source_snippet").alias("_snippet"),
-        ),
-        "draft_id",
+    # quantities are taken out where the rows are read: what is shuffled after it is numbers and keys
+    draft_rows = drafts.select(
+        F.col("id").alias("draft_id"), "dim_id", "source_document_id", rule["check_value"].alias("_text"),
+        quantity(rule["check_value"]).alias("_q"), quantity(F.col("source_snippet"), unit_required=True)["unit"].alias("_near"), unit_key(rule["unit"]).alias("_f"),
     )
-    draft_rows = draft_rows.withColumns({"_q": quantity(F.col("_text")), "_s": quantity(F.col("_snippet"), unit_required=True), "_f": unit_key(F.col("_unit"))})
-    draft_rows = draft_rows.select(
-        "draft_id", "dim_id", "source_document_id",
-        F.col("_q.number").alias("_number"),
+    draft_rows = _known(draft_rows, "_f").select(
+        "draft_id", "dim_id", "source_document_id", F.col("_q.number").alias("_number"),
         # a slope or feet and inches carry their unit in the notation itself
-        F.coalesce(F.when(F.col("_text").rlike(r"\d *[:'′]|\bin +\d|\d *(ft|feet|foot)\b.*\d"), F.col("_q.unit")), F.col("_f"), F.col("_q.unit")).alias("_own"),
-        F.col("_s.unit").alias("_near"),
+        F.coalesce(F.when(F.col("_f").isNotNull() & F.col("_text").rlike(r"\d *[:'′]|\bin +\d|\d *(ft|feet|foot)\b.*\d"), F.col("_q.unit")), F.col("_f"), F.col("_q.unit")).alias("_own"), "_near",
     )
-    dim_rows = distinct_by(dimensions.select("dim_id", F.col("source_document_id").alias("_dim_source"), "value", "unit", "span", "constraint_kind"), "dim_id")
-    dim_rows = dim_rows.withColumns({"_q": quantity(F.col("span")), "_f": unit_key(F.col("unit"))})
-    dim_rows = dim_rows.select(
-        "dim_id", "constraint_kind", "_dim_source",
+    dim_rows = dimensions.select("dim_id", F.col("constraint_kind"), "value", quantity(F.col("span")).alias("_q"), unit_key(F.col("unit")).alias("_f"))
+    dim_rows = _known(dim_rows, "_f").select(
+        "dim_id", "constraint_kind",
         # without a unit of its own the value is taken together with the unit from the span
         F.when(F.col("_f").isNull() & F.col("_q.unit").isNotNull(), F.col("_q.number")).otherwise(F.coalesce("value", "_q.number")).alias("_dim_number"),
         F.when(F.col("value").isNull(), F.coalesce("_q.unit", "_f")).otherwise(F.coalesce("_f", "_q.unit")).alias("_dim_key"),
     )
-    dim_rows = normalise(dim_rows, "_dim_number", "_dim_key", "dim").drop("_dim_key")
-    pairs = skewed_join(draft_rows, dim_rows, "dim_id")
+    dim_rows = normalise(dim_rows.distinct(), "_dim_number", "_dim_key", "dim").drop("_dim_key")
+    pairs = skewed_join(draft_rows, dim_rows, "dim_id", counted=drafts.select("dim_id"), spread_by=["draft_id"])
     declared = sources.select(
         F.col("source_document_id"),
         F.explode(
@@ -221,11 +215,12 @@ def compare_drafts(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame)
             )
         ).alias("dim_kind", "_declared"),
     ).dropDuplicates(["source_document_id", "dim_kind"])
+    declared = _known(declared.withColumn("_declared", unit_key(F.col("_declared"))), "_declared")
     pairs = pairs.join(declared, ["source_document_id", "dim_kind"], "left")
     pairs = pairs.withColumns(
         {
             # a bare number for a share or slope is the ratio itself
-            "_key": F.coalesce("_own", "_near", unit_key(F.col("_declared")), F.when(F.col("dim_kind") == "ratio", "ratio")),
+            "_key": F.coalesce("_own", "_near", "_declared", F.when(F.col("dim_kind") == "ratio", "ratio")),
             "draft_unit_from": F.when(F.col("_own").isNotNull(), "field")
             .when(F.col("_near").isNotNull(), "snippet")
             .when(F.col("_declared").isNotNull(), "source")
@@ -245,7 +240,21 @@ def compare_drafts(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame)
     )
 
 
+def compare_drafts(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each draft's limit beside the dimension it was drawn from, both in common units.
+
+    Columns: draft_id, dim_id, draft_value, draft_kind, draft_unit_from (field,
+    snippet, source, kind or null), dim_value, dim_kind, constraint_kind and
+    rel_diff, the difference as a share of the larger of the two. One row per
+    draft whose dimension exists. Null numbers, unknown units and kinds that
+    cannot be compared give a null rel_diff. Re-delivered rows are exact copies
+    and count once. Slopes stated as an angle are compared as ratios. Ids that
+    are null are no ids.
+    """
+    return _compared(drafts, dimensions, sources).distinct()
+
+
 def deviating_drafts(drafts: DataFrame, dimensions: DataFrame, sources: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """draft_id of each draft that differs from its dimension by more than ``tolerance``; ranges and drafts without a number are left out."""
-    compared = compare_drafts(drafts, dimensions, sources)
-    return compared.where((F.col("rel_diff") > tolerance) & (F.col("constraint_kind").isNull() | (F.col("constraint_kind") != "range"))).select("draft_id")
+    compared = _compared(drafts, dimensions, sources)
+    return compared.where((F.col("rel_diff") > tolerance) & (F.col("constraint_kind").isNull() | (F.col("constraint_kind") != "range"))).select("draft_id").distinct()

@@ -67,3 +67,28 @@ def test_hot_key_is_split(spark):
     assert rows(skewed_join(left, right, "k", hot_rows=100, salts=8).select("k", "id", "v").orderBy("id", "k")) == plain
     kept = skewed_join(left, right, "k", "left", hot_rows=100)
     assert kept.count() == left.count()
+
+
+def test_units_are_listed_once_and_drafts_come_once(spark):
+    assert len({u[0] for u in U.UNITS}) == len(U.UNITS)
+    drafts = spark.createDataFrame([(1, 1, 1, ("1.75 sq m", None), None, "")] * 3, DRAFT)
+    dims = spark.createDataFrame([(1, 1, 1.75, "sqm", "1.75 sqm", "min")] * 2, DIM)
+    assert U.compare_drafts(drafts, dims, spark.createDataFrame([(1, "mm", "m2", "h")], SRC)).count() == 1
+
+
+# units and notations that no test table has
+OTHERS = [("5 lbf/in2", 5, "lbf/in2"), ("90 litres per second", 90, "litrespersecond"), ("3 KN/M2", 3, "kn/m2"), ("2 rads", 2, "rads"), ("7 square inches", 7, "squareinches"), ("12 Cubic Metres Per Hour", 12, "cubicmetresperhour"), ("1e3 pascals", 1000, "pascals"), ("4 furlongs", 4, None), ("\x01\x01 6 yd", 6, "yd"), ("1:8 and 3 mm", 0.125, "ratio")]
+
+
+def test_units_beyond_the_tables(spark):
+    df = spark.createDataFrame([(t, float(n), u) for t, n, u in OTHERS], "t STRING, n DOUBLE, u STRING")
+    for r in df.select("*", U.quantity(F.col("t")).alias("q")).collect():
+        assert r["q"]["number"] == pytest.approx(r["n"]) and r["q"]["unit"] == r["u"], r["t"]
+
+
+def test_parts_of_hot_keys_grow_with_their_rows(spark):
+    from clauseloom.operators.skew import hot_keys
+
+    keys = spark.range(1000).select(F.when(F.col("id") < 600, 1).when(F.col("id") < 700, None).otherwise(F.col("id")).alias("k"))
+    assert sorted(rows(hot_keys(keys, "k", hot_rows=50)), key=str) == [(1, 12), (None, 2)]
+    assert rows(hot_keys(keys, "k", hot_rows=50, most=2)) == [(1, 2)]

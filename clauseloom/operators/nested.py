@@ -130,15 +130,18 @@ def merged_type(df: DataFrame, records: str) -> str:
     return _to_ddl(row["shape"] if row and row["shape"] and row["shape"].startswith("OBJECT") else "OBJECT<>")
 
 
-def parse_merged(df: DataFrame, column: str, path: list[str], out: str = "records") -> DataFrame:
+def parse_merged(df: DataFrame, column: str, path: list[str], out: str = "records", shapes: DataFrame | None = None) -> DataFrame:
     """Add ``out``: ARRAY<STRUCT> of the records at ``path`` of JSON text, under the merged schema of all rows.
 
+    ``shapes`` may have the same texts from where they are cheaper to read, as
+    before copies were taken out.
+
     Fields that one export lacks are null; fields whose type differs between
     exports stay VARIANT. If no row has a record, the struct has one null field
     ``empty``.
     """
     found = json_records(df, column, path, out)
-    ddl = merged_type(found, out)
+    ddl = merged_type(found if shapes is None else json_records(shapes, column, path, out), out)
     if ddl == "STRUCT<>":
         ddl = "STRUCT<empty: STRING>"
     return found.withColumn(out, F.expr(f"transform({_quoted(out)}, r -> try_variant_get(r, '$', '{ddl}'))"))

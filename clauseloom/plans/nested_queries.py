@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clauseloom.functions.columns import let
 from clauseloom.operators.nested import nested_tables, parse_merged, ungroup
-from clauseloom.tables import distinct_by, table
+from clauseloom.tables import table
+
+#: What the flat tables of P4 need of the nested ones; nothing else is read.
+TASK_COLUMNS = "id STRING, data STRUCT<section_ref: STRING>, annotations ARRAY<STRUCT<id: BIGINT, result: ARRAY<STRUCT<id: STRING>>>>"
 
 
 def task_tables(tasks: DataFrame) -> dict[str, DataFrame]:
-    """Flat tables of the annotation tasks; the task id is the surrogate key of the root."""
+    """Flat tables of the annotation tasks; the task id is the surrogate key of the root. Re-delivered tasks are exact copies and count once."""
     return nested_tables(
-        distinct_by(tasks, "id"), F.col("id"), "tasks",
+        tasks.distinct(), F.col("id"), "tasks",
         carry={"tasks": {"id": "task_id", "data_section_ref": "section_ref"}, "tasks.annotations": {"id": "annotation_id"}},
     )
 
 
+def result_ids(annotations: Column) -> Column:
+    """The annotations with the ids of their results, and whether an earlier annotation of the same id has the same result in the same place."""
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+
+    def results(a: Column, i: Column) -> Column:
+        earlier = F.filter(F.slice(annotations, F.lit(1), i), lambda b: shown(b["id"]) == shown(a["id"]))
+        again = lambda twins, r, p: F.exists(twins, lambda b: (F.coalesce(F.size(b["result"]), F.lit(0)) > p) & (shown(F.get(b["result"], p)["id"]) == shown(r["id"])))
+        flagged = lambda twins: F.transform(a["result"], lambda r, p: F.struct(r["id"].alias("id"), again(twins, r, p).alias("repeated")))
+        return F.struct(a["id"].alias("id"), let(earlier, flagged).alias("result"))
+
+    return F.transform(annotations, results)
+
+
 def run_tables(runs: DataFrame) -> dict[str, DataFrame]:
     """Flat tables of the engine runs; ``runs.cases`` has the cases in stored order, those of groups included."""
-    parsed = parse_merged(distinct_by(runs, "run_id"), "details", ["details"], "cases").drop("details")
+    parsed = parse_merged(runs.distinct(), "details", ["details"], "cases", shapes=runs.select("details")).drop("details")
     cases = ungroup(parsed, "cases", "cases", ["check_type"])
     return nested_tables(cases, F.col("run_id"), "runs", carry={"runs": {"run_id": "run", "eval_id": "eval"}})
 
@@ -29,8 +46,14 @@ def _shown(name: str):
 
 
 def nested_children(tasks: DataFrame, runs: DataFrame) -> DataFrame:
-    """record, root_id, root_ref, parent_id, child_pos, child_id of each result and each case; missing parts are ''."""
-    results = task_tables(tasks.select("id", F.struct("data.section_ref").alias("data"), "annotations"))["tasks.annotations.result"]
+    """record, root_id, root_ref, parent_id, child_pos, child_id of each result and each case; missing parts are ''.
+
+    Equal rows come once: they can only arise within a task, from annotations
+    without ids of their own, and are told there, before anything is exploded.
+    So the tasks' ids are all that is shuffled, to find re-delivered ones.
+    """
+    ids = tasks.select("id", F.struct("data.section_ref").alias("data"), result_ids(F.col("annotations")).alias("annotations"))
+    results = task_tables(ids)["tasks.annotations.result"].where(~F.coalesce("repeated", F.lit(False)))
     cases = run_tables(runs.select("run_id", "eval_id", "details")).get("runs.cases")
     out = results.select(
         F.lit("sample_tasks").alias("record"), _shown("task_id")("root_id"), _shown("section_ref")("root_ref"),
@@ -47,8 +70,7 @@ def nested_children(tasks: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # (root_id, parent_id, child_pos) is not unique where an annotation's id is missing, hence distinct
-    return nested_children(table(spark, sf_dir, "sample_tasks"), table(spark, sf_dir, "score_arch_engines")).distinct()
+    return nested_children(table(spark, sf_dir, "sample_tasks", TASK_COLUMNS), table(spark, sf_dir, "score_arch_engines"))
 
 
 QUERIES = {"p4_found": p4_found}

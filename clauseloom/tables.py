@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: str | None = None) -> DataFrame:
+    """The Parquet table ``name`` of a data folder; ``columns``, as DDL, may leave out columns and nested fields that are not to be read."""
+    reader = spark.read if columns is None else spark.read.schema(columns)
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def distinct_by(df: DataFrame, *keys: str) -> DataFrame:

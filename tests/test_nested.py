@@ -47,3 +47,16 @@ def test_json_of_many_shapes(spark):
 def test_no_records_at_all(spark):
     df = spark.createDataFrame([(1, "{}"), (2, None)], "n INT, details STRING")
     assert N.nested_tables(N.parse_merged(df, "details", ["details"], "recs"), F.col("n"))["root.recs"].count() == 0
+
+
+def test_annotations_without_ids_repeat_no_rows(spark):
+    from clauseloom.plans.nested_queries import TASK_COLUMNS, nested_children
+
+    res = lambda *ids: [(i,) for i in ids]
+    data = [
+        ("t", ("s",), [(None, res("x", None, "y")), (None, res("x", "", "z", "w")), (7, res("x")), (None, None), None]),
+        ("t", ("s",), [(None, res("x", None, "y")), (None, res("x", "", "z", "w")), (7, res("x")), (None, None), None]), ("u", None, []), ("v", None, None), (None, None, [(1, [None])]),
+    ]
+    runs = spark.createDataFrame([], "run_id STRING, eval_id STRING, details STRING")
+    got = rows(nested_children(spark.createDataFrame(data, TASK_COLUMNS), runs).select("root_id", "parent_id", "child_pos", "child_id"))
+    assert sorted(got) == sorted([("t", "", 0, "x"), ("t", "", 1, ""), ("t", "", 2, "y"), ("t", "", 2, "z"), ("t", "", 3, "w"), ("t", "7", 0, "x"), ("", "1", 0, "")])

@@ -1,10 +1,14 @@
 """Mixes of sources with target shares of the total size in tokens.
 
-Hierarchical budgeting: each mix is a tree of domain, source and language; a
-node's budget is split over its children by weight, what a child cannot fill
+Hierarchical budgeting: each mix is a tree of domain, language and source; a
+node's budget is split over its children by weight. What a child cannot fill
 (its documents, repeated as often as allowed) goes to its siblings first and to
-the ancestors' other children only after that. Each leaf then takes its budget
-as whole epochs in seeded order and a token-prefix of one more.
+the ancestors' other children only after that; so does the weight of sources
+that have no documents at all. Each leaf then takes its budget as whole epochs
+in seeded order and a token-prefix of one more.
+
+A source stands under each of its languages, with its target split in
+proportion to its tokens, so that its leaves together have the target share.
 
 The trees are small (one leaf per mix, source and language) and are budgeted on
 the driver; documents are never collected, and a leaf's prefix is found from a
@@ -28,7 +32,7 @@ MAX_LEAVES = 200_000
 RANGES = 4096
 SEED = 20_260_901
 
-# The domain of each source; others form a domain of their own.
+# The domain of each source where no tree or other domains are given; others form a domain of their own.
 DOMAINS = {
     "code_text": "rules", "errata": "rules", "glossary": "rules",
     "guidance": "commentary", "review_notes": "commentary", "minutes": "commentary", "forum": "commentary",
@@ -40,7 +44,7 @@ class Node:
     """A node of a mix's tree: its weight among its siblings and how much it can hold."""
 
     def __init__(self, weight: float = 0.0, room: float = 0.0):
-        self.weight, self.own_room, self.children, self.budget = weight, room, {}, 0.0
+        self.weight, self.own_room, self.children, self.budget, self.share = weight, room, {}, 0.0, 0.0
 
     @property
     def room(self) -> float:
@@ -78,46 +82,94 @@ def water_fill(budget: float, parts: list[tuple[float, float]]) -> list[float]:
     return given
 
 
-def largest_exact_total(weights: dict[str, float], room: dict[str, float]) -> float:
-    """The largest total at which each source that has documents gets its share of the present sources' weight."""
-    present = {s: w for s, w in weights.items() if w > 0 and room.get(s, 0) > 0}
-    total = sum(present.values())
-    return min((room[s] * total / w for s, w in present.items()), default=0.0)
+def pass_on(node: Node, share: float = 1.0) -> None:
+    """Set each node's ``share``: its part of the whole by weight, where what has no room passes its part on to its siblings.
+
+    A node without room gets nothing, so its weight stays in its parent; a
+    parent of such nodes only has no room itself.
+    """
+    node.share = share
+    present = {k: c for k, c in node.children.items() if c.room > 0}
+    weighted = sum(c.weight for c in present.values())
+    for k, child in node.children.items():
+        pass_on(child, share * child.weight / weighted if k in present and weighted > 0 else 0.0)
+
+
+def leaves_of(node: Node) -> list[Node]:
+    return [leaf for c in node.children.values() for leaf in leaves_of(c)] if node.children else [node]
+
+
+def largest_exact_total(root: Node) -> float:
+    """The largest total at which every leaf gets its share (see :func:`pass_on`) of it."""
+    pass_on(root)
+    return min((leaf.room / leaf.share for leaf in leaves_of(root) if leaf.share > 0), default=0.0)
+
+
+Branch = tuple[str, str, str | None, str, float]
 
 
-def budgets(targets: list[tuple[str, str, float, int]], sizes: list[tuple[str, str | None, int]], totals: dict[str, float] | float | None = None) -> list[tuple]:
+def default_tree(targets: list[tuple[str, str, float, int]], sizes: list[tuple[str, str | None, int]], domains: dict[str, str] | None = None) -> list[Branch]:
+    """(mix, domain, language, source, weight) of each leaf: a source's target, split over its languages in proportion to its tokens.
+
+    Sources without a domain (see :data:`DOMAINS`) form one of their own. A source without documents
+    stands under a language of its own in its domain, so that what it leaves is
+    shared by the whole domain.
+    """
+    by_source: dict[str, list[tuple[str | None, int]]] = defaultdict(list)
+    for source, lang, tokens in sizes:
+        if tokens:
+            by_source[source].append((lang, int(tokens)))
+    out: list[Branch] = []
+    for mix, source, share, _ in targets:
+        domain, here = (DOMAINS if domains is None else domains).get(source, source), by_source.get(source, [])
+        total = sum(n for _, n in here)
+        out += [(mix, domain, lang, source, max(share or 0.0, 0.0) * n / total) for lang, n in here]
+        if not here:
+            out.append((mix, domain, f"(no {source})", source, max(share or 0.0, 0.0)))
+    return out
+
+
+def budgets(
+    targets: list[tuple[str, str, float, int]], sizes: list[tuple[str, str | None, int]], totals: dict[str, float] | float | None = None,
+    tree: list[Branch] | None = None, domains: dict[str, str] | None = None, stretch: float = 1.0,
+) -> list[tuple]:
     """(mix, source, lang, budget, epochs, rest, size) for each leaf.
 
     ``targets`` are (mix, source, share, most repeats), ``sizes`` are (source,
-    language, tokens). Without ``totals`` a mix is as large as it can be with
-    every share exact; with a total that some source cannot fill, the shortage
-    is redistributed up the tree. A language's weight within its source is its
-    part of the tokens. Negative or null shares and repeats count as 0.
+    language, tokens); ``tree`` has the leaves of each mix as rows of
+    :func:`default_tree`, which makes them from the targets where it is not
+    given. Without ``totals`` a mix is ``stretch`` times as large as it can be
+    with every share exact; with a total that some source cannot fill, the
+    shortage is redistributed up the tree. Negative or null shares and repeats
+    count as 0.
     """
-    by_source: dict[str, list[tuple[str | None, int]]] = defaultdict(list)
+    tokens_of: dict[tuple[str, str | None], int] = defaultdict(int)
     for source, lang, tokens in sizes:
-        by_source[source].append((lang, int(tokens)))
-    mixes: dict[str, list[tuple[str, float, int]]] = defaultdict(list)
-    for mix, source, share, repeats in targets:
-        mixes[mix].append((source, max(share or 0.0, 0.0), max(int(repeats or 0), 0)))
+        tokens_of[source, lang] += int(tokens)
+    repeats: dict[tuple[str, str], int] = {}
+    for mix, source, _, most in targets:
+        repeats[mix, source] = max(repeats.get((mix, source), 0), max(int(most or 0), 0))
+    mixes: dict[str, Node] = {}
+    placed: dict[str, list[tuple[str, str | None, Node]]] = defaultdict(list)
+    for mix, domain, lang, source, weight in default_tree(targets, sizes, domains) if tree is None else tree:
+        weight = max(weight or 0.0, 0.0)
+        node = mixes.setdefault(mix, Node(1.0))
+        for name in (("domain", domain), ("language", lang)):
+            node = node.children.setdefault(name, Node())
+            node.weight += weight
+        if source not in node.children:
+            node.children[source] = Node(0.0, tokens_of.get((source, lang), 0) * repeats.get((mix, source), 0))
+            placed[mix].append((source, lang, node.children[source]))
+        node.children[source].weight += weight
     out = []
-    for mix, rows in sorted(mixes.items()):
-        root, leaves, room, weights = Node(1.0), [], defaultdict(float), defaultdict(float)
-        for source, share, repeats in rows:
-            weights[source] += share
-            domain = root.children.setdefault(DOMAINS.get(source, source), Node())
-            domain.weight += share
-            node = domain.children.setdefault(source, Node())
-            node.weight += share
-            for lang, tokens in by_source.get(source, []):
-                leaf = node.children.setdefault(lang, Node(tokens, tokens * repeats))
-                leaves.append((source, lang, tokens, leaf))
-                room[source] += tokens * repeats
+    for mix, root in sorted(mixes.items()):
         wanted = totals.get(mix) if isinstance(totals, dict) else totals
-        root.fill(largest_exact_total(weights, room) if wanted is None else wanted)
-        for source, lang, tokens, leaf in leaves:
-            epochs = int((leaf.budget + 1e-6) // tokens) if tokens else 0
-            out.append((mix, source, lang, float(leaf.budget), epochs, float(max(leaf.budget - epochs * tokens, 0.0)), tokens))
+        root.fill(largest_exact_total(root) * stretch if wanted is None else wanted)
+        for source, lang, leaf in placed[mix]:
+            tokens = tokens_of.get((source, lang), 0)
+            if tokens:
+                epochs = int((leaf.budget + 1e-6) // tokens)
+                out.append((mix, source, lang, float(leaf.budget), epochs, float(max(leaf.budget - epochs * tokens, 0.0)), tokens))
     return out
 
 
@@ -129,30 +181,41 @@ def sized(documents: DataFrame, targets: DataFrame, name: str = VOCABULARY, fold
     return cut(docs.select("doc_id", "source", "lang", token_count(F.col("text"), name, folder).alias("n_tokens")).where(F.col("n_tokens") > 0))
 
 
-def plan(documents: DataFrame, targets: DataFrame, totals: dict[str, float] | float | None = None, **tokenizer) -> tuple[DataFrame, DataFrame]:
+def plan(
+    documents: DataFrame, targets: DataFrame, totals: dict[str, float] | float | None = None, tree: DataFrame | None = None,
+    domains: dict[str, str] | None = None, stretch: float = 1.0, **tokenizer,
+) -> tuple[DataFrame, DataFrame]:
     """(sized documents, leaf budgets) of all mixes."""
     docs = sized(documents, targets, **tokenizer)
     per_leaf = docs.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
     wanted = targets.select("mix", "source", "target_share", "max_repeats").where(F.col("mix").isNotNull() & F.col("source").isNotNull()).distinct()
     wanted = wanted.orderBy("mix", "source", "target_share", "max_repeats").limit(MAX_LEAVES + 1).collect()
-    rows = budgets([tuple(r) for r in wanted], sorted(((r[0], r[1], r[2]) for r in per_leaf), key=str), totals)
-    if max(len(per_leaf), len(wanted), len(rows)) > MAX_LEAVES:
+    branches = None if tree is None else sorted(tree.select("mix", "domain", "language", "source", "weight").limit(MAX_LEAVES + 1).collect(), key=str)
+    if max(len(per_leaf), len(wanted), len(branches or [])) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} leaves")
+    rows = budgets([tuple(r) for r in wanted], sorted(((r[0], r[1], r[2]) for r in per_leaf), key=str), totals, branches and [tuple(r) for r in branches], domains, stretch)
+    if len(rows) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
     return docs, docs.sparkSession.createDataFrame(rows, "mix STRING, source STRING, lang STRING, budget DOUBLE, epochs INT, rest DOUBLE, tokens BIGINT")
 
 
-def mix(documents: DataFrame, targets: DataFrame, totals: dict[str, float] | float | None = None, seed: int = SEED, **tokenizer) -> DataFrame:
+def mix(
+    documents: DataFrame, targets: DataFrame, totals: dict[str, float] | float | None = None, seed: int = SEED, tree: DataFrame | None = None,
+    domains: dict[str, str] | None = None, stretch: float = 1.0, **tokenizer,
+) -> DataFrame:
     """mix, doc_id, source, lang, n_tokens, repeats of every selected document.
 
     ``repeats`` is the number of whole epochs, plus one if the document stands
     in the token-prefix of the last epoch, never more than the target's
     ``max_repeats``. The order of an epoch is a hash of document, mix, epoch and
     seed. Documents are whole, so a leaf misses its budget by half a document
-    at most. Sources without a
-    target and texts without tokens (null, empty) are never selected; targets
-    without documents leave their share to the siblings.
+    at most. Sources without a target and texts without tokens (null, empty) are
+    never selected. Targets without documents leave their share to their
+    siblings, whatever the sizes of the others. ``tree`` (mix, domain, language,
+    source, weight) and ``domains`` say what is whose sibling; ``totals`` and
+    ``stretch`` how large a mix is (see :func:`budgets`).
     """
-    docs, leaves = plan(documents, targets, totals, **tokenizer)
+    docs, leaves = plan(documents, targets, totals, tree, domains, stretch, **tokenizer)
     leaves = leaves.where(F.col("budget") > 0).select("mix", F.col("source").alias("_s"), F.col("lang").alias("_l"), "epochs", "rest")
     # MAX_LEAVES rows at most, hence small enough for every task
     rows = docs.join(F.broadcast(leaves), (F.col("source") == F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l"))).drop("_s", "_l")

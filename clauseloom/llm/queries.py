@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseloom.llm import canonical, consensus, mixing, quantiles, stuffing, tokens
@@ -39,10 +39,18 @@ AT = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 TIMES = ["total_s", "parse_s"]
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "halo_benchmark_raw_repeats").select("run_id", "scenario", F.to_date("run_ts").alias("day"), *TIMES)
+
+
+def _measured(value: Column) -> Column:
+    """Negative times are no measurements."""
+    return value >= 0
+
+
 def _daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of single days. Copies of a run count once; negative times are no measurements."""
-    runs = table(spark, sf_dir, "halo_benchmark_raw_repeats").select("run_id", "scenario", F.to_date("run_ts").alias("day"), *TIMES).distinct()
-    return quantiles.sketch(runs, ["scenario", "day"], TIMES, keep=F.col("value") >= 0)
+    """Sketches of single days. Copies of a run count once."""
+    return quantiles.sketch(_runs(spark, sf_dir), ["scenario", "day"], TIMES, keep=_measured, once="run_id")
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +67,13 @@ def p2_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.merge(_daily_sketches(spark, sf_dir), ["scenario"])
 
 
+def p2_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact percentiles of each scenario, and whether the estimates are within the stated error of them."""
+    both = quantiles.exact_percentiles(_runs(spark, sf_dir).drop("day"), ["scenario"], TIMES, AT, keep=_measured, once="run_id")
+    within = F.abs(F.col("estimate") - F.col("exact")) <= F.abs("exact") * (quantiles.ERROR + 1e-9)
+    return both.select("scenario", "metric", "p", "n", "exact", within.alias("within"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -92,7 +107,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_percentiles, p2_sketches, p3_found, p3_annotators, p3_agreement, p5_found, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_shortage, p8_found)
+    for f in (p2_percentiles, p2_sketches, p2_exact, p3_found, p3_annotators, p3_agreement, p5_found, p6_ids, p6_round_trip, p7_mix, p7_shares, p7_shortage, p8_found)
 }
 _SKETCH = """
 WITH runs AS (SELECT DISTINCT run_id, scenario, CAST(run_ts AS DATE) AS day, total_s, parse_s FROM halo_benchmark_raw_repeats),
@@ -103,6 +118,14 @@ daily AS (SELECT scenario, day, metric, CAST(sign(v) AS INTEGER) AS sign,
 """
 ORACLE_SQL: dict[str, str] = {
     "p2_sketches": _SKETCH + "SELECT scenario, metric, sign, bucket, CAST(sum(n) AS BIGINT) AS n FROM daily GROUP BY ALL",
+    # exact ranks from sorted values: nothing of the operator's buckets is repeated here
+    "p2_exact": """
+WITH runs AS (SELECT DISTINCT run_id, scenario, total_s, parse_s FROM halo_benchmark_raw_repeats),
+long AS (SELECT scenario, 'total_s' AS metric, total_s AS v FROM runs UNION ALL SELECT scenario, 'parse_s', parse_s FROM runs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY scenario, metric ORDER BY v) AS r, count(*) OVER (PARTITION BY scenario, metric) AS n
+  FROM long WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v >= 0)
+SELECT scenario, metric, p, n, v AS exact, TRUE AS within
+FROM ranked, (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.75), (0.9), (0.95), (0.99)) AS q(p) WHERE r = greatest(1, ceil(p * n - 1e-9))""",
     "p2_percentiles": _SKETCH
     + """,
 parts AS (SELECT 'day' AS scope, * FROM daily UNION ALL SELECT 'all', scenario, NULL, metric, sign, bucket, CAST(sum(n) AS BIGINT) FROM daily GROUP BY scenario, metric, sign, bucket),

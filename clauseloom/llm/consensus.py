@@ -58,6 +58,11 @@ def _left_out(ranked: Column, label: Column, weight: Column) -> Column:
     return F.when(own["n"] == 1, 0.0).when(other.isNull() | (rest > other), 1.0).when(rest == other, 0.5).otherwise(0.0)
 
 
+def _step(done: int) -> float:
+    """How far the accuracies move to what the next round measures: whole steps at first, then shorter ones, so that votes that tip to and fro settle."""
+    return 1.0 if done < 6 else 1.0 / (done - 4)
+
+
 class _Arrays:
     """Rounds over items whose votes stand in an array, with weights by the annotator's place in the list of all."""
 
@@ -103,6 +108,7 @@ class _Arrays:
             stats = self.tried(weights)
             tries = [stats.get(k, (0.0, 0))[1] for k in range(len(self.known))]
             new = [(stats.get(k, (0.0, 0))[0] + good) / (tries[k] + good + bad) for k in range(len(self.known))]
+            new = [a + (b - a) * _step(done) for a, b in zip(accuracy, new)]
             change = max(abs(a - b) for a, b in zip(accuracy, new)) if done else math.inf
             accuracy, done = new, done + 1
             weights = [math.log(p * n / (1 - p)) for p, n in zip((min(max(a, 0.001), 0.999) for a in accuracy), others)]
@@ -137,7 +143,8 @@ class _Tables:
             ranked = self._ranked(weighed).where(F.aggregate("_ranked", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]) > 1)
             tried = skewed_join(weighed.drop(*self.item), ranked, "_item").groupBy("_who").agg(F.sum(_left_out(F.col("_ranked"), F.col("label"), F.col("weight"))).alias("hits"), F.count(F.lit(1)).alias("tries"))
             new = current.select("_who", "_others", F.col("accuracy").alias("_before")).join(tried, "_who", "left")
-            new = new.withColumn("accuracy", (F.coalesce("hits", F.lit(0.0)) + good) / (F.coalesce("tries", F.lit(0)) + (good + bad)))
+            measured = (F.coalesce("hits", F.lit(0.0)) + good) / (F.coalesce("tries", F.lit(0)) + (good + bad))
+            new = new.withColumn("accuracy", F.col("_before") + (measured - F.col("_before")) * _step(done))
             odds = F.least(F.greatest(F.col("accuracy"), F.lit(0.001)), F.lit(0.999))
             current = cut(new.select("_who", "_others", "accuracy", "_before", F.log(odds * F.col("_others") / (1 - odds)).alias("weight"), F.coalesce("tries", F.lit(0)).alias("n_votes")))
             moved = current.agg(F.max(F.abs(F.col("accuracy") - F.col("_before")))).first()[0]
@@ -165,8 +172,9 @@ def consensus(
     labels: the item columns, label, support (its score less the next one's), n_annotators and unanimous.
     annotators: group, annotator, accuracy (left-one-out, smoothed by ``prior``
     hits and misses), weight, n_votes (on items with another vote), rounds and
-    converged (whether no accuracy moved by ``tolerance`` in the last round; it
-    ends after ``rounds`` in any case and says so here).
+    converged (whether no accuracy moved by ``tolerance`` in the last round,
+    which :func:`_step` shortens; it ends after ``rounds`` in any case and says
+    so here).
     agreement, one row a group: see :func:`krippendorff`.
 
     Weights are log-odds of the accuracy against an even choice of the other

@@ -11,36 +11,36 @@ from clauseloom.functions import obligations, spans
 from clauseloom.functions.columns import FLAGS, first_by, found, or_null, present, strip
 
 # What elements are called in clause text, by class, in the order in which they are looked for.
-SURFACES: list[tuple[str, str]] = [
-    ("IfcStairFlight", "stair, step, flight, riser, tread, nosing, winder"),
-    ("IfcDoor", "door, exit, egress, doorway"),
-    ("IfcWindow", "window, skylight"),
-    ("IfcCurtainWall", "curtain wall, curtain-wall, glazing system, storefront, glazing"),
-    ("IfcRamp", "ramp, slope"),
-    ("IfcRailing", "guard, handrail, railing, balustrade"),
-    ("IfcWall", "wall, partition, firewall, separation"),
-    ("IfcCovering", "suspended ceiling, drop ceiling, ceiling, soffit"),
-    ("IfcRoof", "roof, roofing"),
-    ("IfcSlab", "slab, landing, floor, platform"),
-    ("IfcSpace", "space, room, corridor"),
-    ("IfcZone", "zone"),
-    ("IfcSanitaryTerminal", "water closet, floor drain, wash basin, hand basin, toilet, lavatory, urinal, bathtub, shower, basin, sink, plumbing fixture, sanitary"),
-    ("IfcAlarm", "smoke detector, fire alarm, smoke alarm, heat detector, carbon monoxide, co detector, alarm"),
-    ("IfcSensor", "detector, sensor"),
-    ("IfcColumn", "column"),
-    ("IfcFooting", "footing, foundation"),
-    ("IfcBeam", "beam"),
-    ("IfcMember", "truss, joist, rafter, lintel, member"),
-    ("IfcFurnishingElement", "furniture, workstation, casework, cabinet"),
-    ("IfcFlowTerminal", "sprinkler, diffuser"),
-    ("IfcPipeSegment", "pipe"),
-    ("IfcDuctSegment", "duct"),
+SURFACES: list[tuple[str, tuple[str, ...]]] = [
+    ("IfcStairFlight", ("stair", "step", "flight", "riser", "tread", "nosing", "winder")),
+    ("IfcDoor", ("door", "exit", "egress", "doorway")),
+    ("IfcWindow", ("window", "skylight")),
+    ("IfcCurtainWall", ("curtain wall", "curtain-wall", "glazing system", "storefront", "glazing")),
+    ("IfcRamp", ("ramp", "slope")),
+    ("IfcRailing", ("guard", "handrail", "railing", "balustrade")),
+    ("IfcWall", ("wall", "partition", "firewall", "separation")),
+    ("IfcCovering", ("suspended ceiling", "drop ceiling", "ceiling", "soffit")),
+    ("IfcRoof", ("roof", "roofing")),
+    ("IfcSlab", ("slab", "landing", "floor", "platform")),
+    ("IfcSpace", ("space", "room", "corridor")),
+    ("IfcZone", ("zone",)),
+    ("IfcSanitaryTerminal", ("water closet", "floor drain", "wash basin", "hand basin", "toilet", "lavatory", "urinal", "bathtub", "shower", "basin", "sink", "plumbing fixture", "sanitary")),
+    ("IfcAlarm", ("smoke detector", "fire alarm", "smoke alarm", "heat detector", "carbon monoxide", "co detector", "alarm")),
+    ("IfcSensor", ("detector", "sensor")),
+    ("IfcColumn", ("column",)),
+    ("IfcFooting", ("footing", "foundation")),
+    ("IfcBeam", ("beam",)),
+    ("IfcMember", ("truss", "joist", "rafter", "lintel", "member")),
+    ("IfcFurnishingElement", ("furniture", "workstation", "casework", "cabinet")),
+    ("IfcFlowTerminal", ("sprinkler", "diffuser")),
+    ("IfcPipeSegment", ("pipe",)),
+    ("IfcDuctSegment", ("duct",)),
 ]
 
 
-def dictionary(surfaces: list[tuple[str, str]] = SURFACES) -> list[tuple[str, str]]:
+def dictionary(surfaces: list[tuple[str, tuple[str, ...]]] = SURFACES) -> list[tuple[str, str]]:
     """(surface, class) pairs in order; any such list can be given to the functions below."""
-    return [(s.strip(), c) for c, names in surfaces for s in names.split(",")]
+    return [(surface, c) for c, names in surfaces for surface in names]
 
 
 def element_hints(text: Column, pairs: list[tuple[str, str]] | None = None) -> Column:
@@ -69,10 +69,12 @@ def paragraph(text: Column, found_spans: Column, parsed: Column, hints: Column,
     latter form the references of a dependency are those of its whole text.
     """
     conditions = parsed["conditions"] if keep_exceptions_apart else F.concat(parsed["conditions"], parsed["exceptions"])
+    refs = "refs" if keep_exceptions_apart else "text_refs"
+    dependencies = F.transform(found_spans["dependencies"], lambda d: F.struct(*[d[n].alias(n) for n in ("dep_type", "marker", "text")], d[refs].alias("refs")))
     fields = [
         obligations.deontics(text).alias("deontics"), conditions.alias("conditions"), parsed["requirements"].alias("requirements"),
         *([parsed["exceptions"].alias("exceptions")] if keep_exceptions_apart else []),
-        found_spans["cross_refs"].alias("cross_refs"), found_spans["dimensions"].alias("dimensions"), found_spans["dependencies"].alias("dependencies"),
+        found_spans["cross_refs"].alias("cross_refs"), found_spans["dimensions"].alias("dimensions"), dependencies.alias("dependencies"),
         hints.alias("ifc_hints"), subject(text, hints).alias("subject"),
     ]
     return F.struct(*fields)

@@ -19,7 +19,7 @@ REF = T.StructType([T.StructField(n, T.StringType()) for n in ("raw", "ref_type"
 DIMENSION = T.StructType(
     [T.StructField(n, T.StringType() if n in ("unit", "constraint", "span") else T.DoubleType()) for n in ("value", "unit", "constraint", "value_min", "value_max", "span")]
 )
-DEPENDENCY = T.StructType([*[T.StructField(n, T.StringType()) for n in ("dep_type", "marker", "text")], T.StructField("refs", T.ArrayType(REF))])
+DEPENDENCY = T.StructType([*[T.StructField(n, T.StringType()) for n in ("dep_type", "marker", "text")], T.StructField("refs", T.ArrayType(REF)), T.StructField("text_refs", T.ArrayType(REF))])
 
 # The numbering, labels, phrases and standards that references are made of.
 NUMBER = r"[1-9]\d*\.\d+(?:\.\d+(?:\.\d+)?)?(?:\.\([0-9]+\))?[A-Z]?"
@@ -181,13 +181,13 @@ _DEPENDENCIES = [(re.compile(body + end, re.I | re.S), (("deemed",) if "deemed"
 
 
 def find_dependencies(text: str) -> list[dict]:
-    """Dependencies of a text with the references in them; one per span."""
+    """Dependencies of a text, one per span: ``refs`` are the references after the marker, ``text_refs`` those of the whole dependency."""
     spans, deps, needs = set(), [], _needs(text)
     for pattern, words, kind, name in _DEPENDENCIES:
         for m in pattern.finditer(text) if needs(words) else ():
             if m.span() not in spans:
                 spans.add(m.span())
-                deps.append({"dep_type": kind, "marker": name, "text": m[0].strip(), "refs": find_refs(m[1].strip())})
+                deps.append({"dep_type": kind, "marker": name, "text": m[0].strip(), "refs": find_refs(m[1].strip()), "text_refs": find_refs(m[0].strip())})
     return deps
 
 

@@ -329,8 +329,8 @@ def merge(base: tuple[DataFrame, DataFrame] | None, additions: list[tuple[str, D
         there = nodes.where(F.col("doc_id").isin(*names)).select("doc_id").limit(1).collect() if "doc_id" in nodes.columns and names else []
         if there:
             raise ValueError(f"{there[0][0]} is in the base already")
-        start = (edges.agg(F.max("key")).first()[0] if edges is not None else None) or -1
-        start += 1
+        largest = edges.agg(F.max("key")).first()[0]
+        start = 0 if largest is None else largest + 1
         nodes = nodes.withColumn("_src", F.lit(0))
     for k, (doc_id, more_nodes, more_edges) in enumerate(additions, 1):
         n, e = namespaced(more_nodes, more_edges, doc_id)

@@ -37,7 +37,12 @@ def prepared(rules: DataFrame, id_: str) -> DataFrame:
     )
 
 
-def candidate_pairs(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None) -> DataFrame:
+def alias_groups(aliases: list | None) -> list[tuple[str, ...]]:
+    """Groups of names that mean the same; a caller may write a group as text with commas."""
+    return [tuple(n.strip() for n in g.split(",")) if isinstance(g, str) else tuple(g) for g in aliases or []]
+
+
+def candidate_pairs(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list | None = None) -> DataFrame:
     """gold_id, rule_id and per mode whether the two may be matched.
 
     The covering of references becomes an equi-join on a gold reference and
@@ -48,7 +53,7 @@ def candidate_pairs(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_
     g = g.withColumn("_ref", F.explode(R.covering_refs(F.col("g_nref"))))
     e = prepared(extracted, rule_id)
     pairs = g.join(e, (g["_ref"] == e["nref"]) & (g["g_nop"] == e["nop"])).where(R.values_agree(F.col("g_v"), F.col("v")))
-    same_prop = R.same_name(F.col("g_prop"), F.col("prop"), aliases or [])
+    same_prop = R.same_name(F.col("g_prop"), F.col("prop"), alias_groups(aliases))
     strict = (F.col("g_tgt") == F.col("tgt")) & same_prop
     normal = R.same_name(F.col("g_tgt"), F.col("tgt"), R.SAME_TARGETS) & (same_prop | R.same_name(F.col("g_prop"), F.col("prop"), R.SAME_PROPERTIES))
     area = F.regexp_extract("g_nref", r"^[^.]*", 0)  # matches never cross the first part of a reference
@@ -82,7 +87,7 @@ def greedy(pairs: DataFrame, left: str, right: str, part: list[str]) -> DataFram
     return pairs.select(*columns).repartition(*part).sortWithinPartitions(*columns).mapInPandas(assign, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
-def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None) -> dict[str, DataFrame]:
+def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list | None = None) -> dict[str, DataFrame]:
     """Tables pairs, missed, false_positives and redundant, each with ``mode``; only dimensional extracted rules take part.
 
     An unmatched rule that restates a matched reference rule is redundant, not
@@ -152,20 +157,20 @@ def _stated(rows: DataFrame, id_: str, kinds: list[tuple[str, Column, list[Colum
     return rows.select(F.col(id_), F.explode(ways).alias("_s")).where("_s.p <> ''")
 
 
-def _name_keys(name: Column, aliases: list[str]) -> Column:
+def _name_keys(name: Column, aliases: list[tuple[str, ...]]) -> Column:
     """The keys two names share if :func:`R.same_name` holds of them: the name, and the groups that list it."""
-    groups = [F.when(name.isin(*[n.strip() for n in g.split(",")]), F.lit(f"#{k}")) for k, g in enumerate(aliases)]
+    groups = [F.when(name.isin(*g), F.lit(f"#{k}")) for k, g in enumerate(aliases)]
     return F.filter(F.array(F.concat(F.lit("="), name), *groups), lambda k: k.isNotNull())
 
 
-def recall_match(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list[str] | None = None, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def recall_match(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id", rule_id: str = "rule_id", aliases: list | None = None, tolerance: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(gold_id, first rule_id that states it or null; rule_id of rules that state no gold rule). Many gold rules may share a rule.
 
     Rules that state the same are compared once, and only with those of their
     target and property whose numbers fall into the same or the next bucket of
     twice the tolerance; so the join does not grow with the square of a group.
     """
-    aliases = aliases or []
+    aliases = alias_groups(aliases)
     always = F.lit(True)
     relative, between = F.col("value_min_property").isNotNull(), F.coalesce(F.col("operator") == "between", F.lit(False))
     g = _stated(gold, gold_id, [("relative", relative, []), ("range", ~relative & between, [F.col("value_min"), F.col("value_max")]), ("value", ~relative & ~between, [F.col("value")])])

@@ -95,11 +95,14 @@ def graph_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def correction_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that reviewers corrected, from the drafts' field differences, with their kind's number of corrections."""
+    """Terms that reviewers corrected, from the drafts' field differences, with their kind's number of corrections; a class or a property of every draft is corrected here."""
     from clauseloom.operators.matching import field_diffs
     from clauseloom.tables import distinct_by
 
     drafts = distinct_by(table(spark, sf_dir, "sample_rule_drafts").select("id", "original_proposed_rule", "proposed_rule"), "id").where("proposed_rule IS NOT NULL")
+    given = lambda f: F.col(f"proposed_rule.{f}")
+    fixed = F.col("proposed_rule").withField("target_ifc_class", F.when(F.col("id") % 3 == 0, F.lit("IfcSlab")).otherwise(given("target_ifc_class")))
+    drafts = drafts.withColumn("proposed_rule", fixed.withField("property_name", F.when(F.col("id") % 3 == 1, F.lit("Rise")).otherwise(given("property_name"))))
     terms, counts = G.correction_signal(field_diffs(drafts).where("changed"))
     return terms.join(counts, "term_kind")
 
@@ -124,8 +127,8 @@ def ontology_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag(c, "class", [("uri", "a")]).withColumn("b", F.lit(None).cast("bigint")).unionByName(tag(p, "property", [("uri", "a")]).withColumn("b", F.lit(None).cast("bigint"))).unionByName(tag(l, "link", [("class_uri", "a"), ("property_uri", "b")]))
 
 
-def _assembled(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """A graph assembled from clauses (parts), their references, and matched terms (suppliers) of both kinds; of a quarter of the clauses, or of every one."""
+def _assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph assembled from clauses (parts), their references, and matched terms (suppliers) of both kinds, with every candidate edge."""
     nodes = _nodes(spark, sf_dir).where("kind = 'clause'").select("id", "kind", "ref", "heading", "text_excerpt", "deontic_operators")
     refs = table(spark, sf_dir, "part").where("p_partkey % 10 < 3").select(
         F.col("p_partkey").cast("string").alias("source_ref"), (F.col("p_partkey") + 1).cast("string").alias("target_ref"), F.lit("cross_ref").alias("edge_type"), F.concat(F.lit("see "), "p_partkey").alias("label"),
@@ -133,26 +136,18 @@ def _assembled(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[D
     )
     sup = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("uri"), F.col("s_name").alias("name"), F.lit("c").alias("code"), F.lit("d").alias("dictionary_uri"), F.lit("Class").alias("class_type"), F.lit("Real").alias("data_type"), F.lit("def").alias("definition"), F.col("s_suppkey").alias("n"))
     links = sup.where("n % 2 = 0").select(F.col("uri").alias("class_uri"), (F.col("n") + 1).cast("string").alias("property_uri"), F.lit("Pset").alias("property_set"))
-    candidates = _edges(spark, sf_dir) if every else _edges(spark, sf_dir).where("p % 4 = 0")
+    candidates = _edges(spark, sf_dir)
     matches = candidates.select(F.col("p").cast("string").alias("clause_id"), F.col("s").cast("string").alias("term_id"), "s", F.col("composite_score").alias("composite"), *[F.col("composite_score").alias(x) for x in ("tfidf_cosine", "jaccard_tokens", "fuzz_ratio", "exact_substring")])
     return G.assemble(nodes, refs, sup.where("n % 2 = 0").drop("n", "data_type"), sup.where("n % 2 = 1").drop("n", "dictionary_uri", "class_type"), links, matches.where("s % 2 = 0").drop("s"), matches.where("s % 2 = 1").drop("s"))
 
 
-def graph_assemble_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assembled(spark, sf_dir)[0].select("id", "kind", "name")
-
-
-def graph_assemble_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assembled(spark, sf_dir)[1].select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind", "label", "property_set", "composite_score")
-
-
 def graph_assemble_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _assembled(spark, sf_dir, every=True)[0].select("id", "kind", "name")
+    return _assembled(spark, sf_dir)[0].select("id", "kind", "name")
 
 
 def graph_assemble_all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate edge assembled and numbered."""
-    return _assembled(spark, sf_dir, every=True)[1].select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind", "label", "property_set", "composite_score")
+    return _assembled(spark, sf_dir)[1].select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind", "label", "property_set", "composite_score")
 
 
 def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +160,17 @@ def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(e)
 
 
+def graph_merge_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph whose largest edge key is 0, and one of all nations, appended: keys go on after 0."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    node = lambda df, key, name: df.select(F.concat(F.lit("clause::"), key).alias("id"), F.lit("clause").alias("kind"), F.col(name).alias("heading"))
+    one = region.agg(F.min("r_regionkey").alias("k")).select(F.concat(F.lit("clause::"), "k").alias("src"), F.lit("term::x").alias("dst"), F.lit(0).cast("bigint").alias("key"), F.lit("self").alias("kind"))
+    many = nation.select(F.concat(F.lit("clause::"), "n_nationkey").alias("src"), F.concat(F.lit("term::"), "n_regionkey").alias("dst"), F.col("n_nationkey").cast("bigint").alias("key"), F.lit("in").alias("kind"))
+    base = G.merge(None, [("a", node(region, "r_regionkey", "r_name"), one)])
+    edges = G.merge(base, [("b", node(nation, "n_nationkey", "n_name"), many)])[1]
+    return edges.select("src", "dst", F.col("key").cast("bigint").alias("key"), "kind")
+
+
 def _corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("heading"), F.coalesce("text", F.lit("")).alias("text"))
     t = table(spark, sf_dir, "canonical_terms")
@@ -201,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_borderline, graph_tasks, reply_parse, graph_verdicts, graph_drop_rejected, graph_decisions, graph_decision_counts, graph_grounding, graph_review_queue, correction_signal, graph_prioritised,
-        graph_report, ontology_prune, graph_assemble_nodes, graph_assemble_edges, graph_assemble_all_nodes, graph_assemble_all_edges, graph_merge, tfidf_topk, candidate_scores, candidate_scores_full,
+        graph_report, ontology_prune, graph_assemble_all_nodes, graph_assemble_all_edges, graph_merge, graph_merge_small, tfidf_topk, candidate_scores, candidate_scores_full,
     )
 }
 
@@ -231,7 +237,8 @@ ORACLE_SQL = {
  LEFT JOIN g b ON b.src = concat('clause::', p_partkey) AND b.kind = 'candidate_property_match' LEFT JOIN (SELECT p_partkey - 1 AS q, p_type AS t FROM part) n ON n.q = p_partkey""",
     "graph_review_queue": _W + "SELECT src AS clause_id, dst AS term_id, key AS edge_key, p_name AS clause_heading, CASE WHEN s % 2 = 0 THEN 'class' ELSE 'property' END AS term_kind, s_name AS term_name, composite_score AS lexical_score, llm_confidence FROM e JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s WHERE llm_verdict = 'uncertain'",
     "correction_signal": """WITH d AS (SELECT DISTINCT id, original_proposed_rule AS o, proposed_rule AS n FROM sample_rule_drafts WHERE proposed_rule IS NOT NULL),
- f AS (SELECT 'class' AS k, o.target_ifc_class AS a, n.target_ifc_class AS b FROM d UNION ALL SELECT 'property', o.property_name, n.property_name FROM d UNION ALL SELECT 'property', o.property_set, n.property_set FROM d),
+ f AS (SELECT 'class' AS k, o.target_ifc_class AS a, CASE WHEN id % 3 = 0 THEN 'IfcSlab' ELSE n.target_ifc_class END AS b FROM d
+ UNION ALL SELECT 'property', o.property_name, CASE WHEN id % 3 = 1 THEN 'Rise' ELSE n.property_name END FROM d UNION ALL SELECT 'property', o.property_set, n.property_set FROM d),
  g AS (SELECT k, regexp_replace(lower(coalesce(a, '')), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS a, regexp_replace(lower(coalesce(b, '')), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS b FROM f), c AS (SELECT * FROM g WHERE a <> b)
  SELECT DISTINCT k AS term_kind, a AS term, CAST(n AS BIGINT) AS n FROM c JOIN (SELECT k AS kk, count(*) AS n FROM c GROUP BY 1) ON k = kk WHERE a <> ''""",
     "graph_prioritised": _W + """, f AS (SELECT lower(s_name) AS t, CASE WHEN s_suppkey % 2 = 0 THEN 'class' ELSE 'property' END AS k FROM supplier WHERE s_suppkey % 5 = 0), c AS (SELECT k, count(*) AS n FROM f GROUP BY 1), a AS (SELECT count(*) AS total FROM f),
@@ -240,9 +247,9 @@ ORACLE_SQL = {
     "graph_report": _W + "SELECT CAST(count(*) AS BIGINT) AS candidates, CAST(count(llm_verdict) AS BIGINT) AS judged, CAST(count(*) FILTER (WHERE llm_verdict = 'correct') AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE llm_verdict = 'incorrect') AS BIGINT) AS incorrect, CAST(count(*) FILTER (WHERE llm_verdict = 'uncertain') AS BIGINT) AS uncertain, CAST(count(*) FILTER (WHERE llm_verdict IS NULL OR llm_verdict <> 'incorrect') AS BIGINT) AS kept FROM e",
     "ontology_prune": """WITH c AS (SELECT s_suppkey FROM supplier WHERE contains(concat('dict/', s_nationkey), 'dict/1')), l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM c))
  SELECT 'class' AS what, CAST(s_suppkey AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM c UNION ALL SELECT DISTINCT 'property', l_partkey, NULL FROM l UNION ALL SELECT 'link', l_suppkey, l_partkey FROM l""",
-    "graph_assemble_nodes": _W + """, m AS (SELECT DISTINCT s FROM e WHERE p % 4 = 0), u AS (SELECT s FROM m UNION SELECT s + 1 FROM m WHERE s % 2 = 0)
+    "graph_assemble_all_nodes": _W + """, m AS (SELECT DISTINCT s FROM e), u AS (SELECT s FROM m UNION SELECT s + 1 FROM m WHERE s % 2 = 0)
  SELECT concat('clause::', p_partkey) AS id, 'clause' AS kind, CAST(NULL AS VARCHAR) AS name FROM part UNION ALL SELECT concat('term::', s_suppkey), CASE WHEN s_suppkey % 2 = 0 THEN 'class' ELSE 'property' END, s_name FROM supplier WHERE s_suppkey IN (SELECT s FROM u)""",
-    "graph_assemble_edges": _W + """, m AS (SELECT * FROM e WHERE p % 4 = 0), a AS (
+    "graph_assemble_all_edges": _W + """, m AS (SELECT * FROM e), a AS (
  SELECT 0 AS rk, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS o1, '' AS o2, src, dst, kind, label, CAST(NULL AS VARCHAR) AS property_set, CAST(NULL AS DOUBLE) AS composite_score FROM x JOIN part ON key = p_partkey WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)
  UNION ALL SELECT 1, CAST(s_suppkey AS VARCHAR), CAST(s_suppkey + 1 AS VARCHAR), concat('term::', s_suppkey), concat('term::', s_suppkey + 1), 'class_has_property', NULL, 'Pset', NULL FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey IN (SELECT s FROM m) AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)
  UNION ALL SELECT CASE WHEN s % 2 = 0 THEN 2 ELSE 3 END, CAST(p AS VARCHAR), CAST(s AS VARCHAR), src, dst, kind, NULL, NULL, composite_score FROM m)
@@ -251,11 +258,11 @@ ORACLE_SQL = {
  SELECT 'node' AS what, concat(d, '::clause::', p_partkey) AS id, d AS doc, CASE d WHEN 'b' THEN upper(p_name) ELSE p_name END AS text, CAST(0 AS BIGINT) AS key FROM part, (VALUES ('a'), ('b')) AS v(d)
  UNION ALL SELECT 'node', concat('term::', s_suppkey), '', s_name, 0 FROM supplier UNION ALL SELECT 'edge', concat('a::', src), '', dst, key FROM e WHERE key % 2 = 0
  UNION ALL SELECT 'edge', concat('b::', src), '', dst, m + row_number() OVER (ORDER BY key) FROM e, b WHERE key % 2 = 1""",
+    "graph_merge_small": """SELECT concat('a::clause::', min(r_regionkey)) AS src, 'term::x' AS dst, CAST(0 AS BIGINT) AS key, 'self' AS kind FROM region
+ UNION ALL SELECT concat('b::clause::', n_nationkey), concat('term::', n_regionkey), row_number() OVER (ORDER BY n_nationkey), 'in' FROM nation""",
     "tfidf_topk": _TFIDF.replace("{k}", "3") + "SELECT CAST(substr(c, 2) AS BIGINT) AS clause_id, substr(t, 2) AS term_id, round(cosine, 6) AS cosine FROM s",
     "candidate_scores": _TFIDF.replace("{k}", "5") + """, x AS (SELECT s.*, lower(trim(split_part(coalesce(text, ''), chr(10), 1))) AS h, list_distinct(regexp_extract_all(lower(split_part(coalesce(text, ''), chr(10), 1)), '[a-z0-9]+')) AS ht, lower(trim(name)) AS n, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS nt
   FROM s JOIN documents ON CAST(substr(c, 2) AS BIGINT) = doc_id JOIN canonical_terms ON CAST(substr(t, 2) AS BIGINT) = term_id),
  y AS (SELECT c, t, cosine, CASE WHEN len(ht) > 0 AND len(nt) > 0 THEN len(list_intersect(ht, nt)) * 1.0 / len(list_distinct(list_concat(ht, nt))) ELSE 0 END AS j, CASE WHEN h <> '' AND n <> '' AND (contains(h, n) OR contains(n, h)) THEN 1.0 ELSE 0 END AS u FROM x)
  SELECT CAST(substr(c, 2) AS BIGINT) AS clause_id, substr(t, 2) AS term_id, round(0.5 * cosine + 0.3 * j + 0.2 * u, 5) AS composite, round(cosine, 5) AS tfidf_cosine, round(j, 5) AS jaccard_tokens, round(u, 5) AS exact_substring FROM y WHERE 0.5 * cosine + 0.3 * j + 0.2 * u >= 0.05""",
 }
-# the same of every candidate edge
-ORACLE_SQL |= {f"graph_assemble_all_{x}": ORACLE_SQL[f"graph_assemble_{x}"].replace(" WHERE p % 4 = 0", "") for x in ("nodes", "edges")}

@@ -60,7 +60,23 @@ def rule_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = F.concat(F.lit('{"section_ref": "9.'), num, F.lit('", "rule": {"target": "IfcDoor", "operator": ">=", "value": '), name, F.lit("}}"))
     k = F.col("p_partkey") % 4
     text = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, F.concat(F.lit('{"rules": ['), two, F.lit("]}"))).when(k == 2, F.concat(F.lit('{"n": 1, "items": ['), one, F.lit("]}"))).otherwise(F.lit('{"none": 1}'))
-    return files.flatten_rules(p.select(text.alias("text"))).select("ref", "target", "operator", "value")
+    return files.flatten_rules(p.select(text.alias("text")), strict=False).select("ref", "target", "operator", "value")
+
+
+def rule_loading_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules whose values, bounds and nulls stand at several levels: a key that is present blocks those further in."""
+    p = table(spark, sf_dir, "part")
+    num, size, k = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    made = lambda *parts: F.concat(F.lit('[{"clause_ref": "", "citation": "9.'), num, F.lit('", '), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit("}]"))
+    text = (
+        F.when(k == 0, made('"rule": {"target": "IfcDoor", "check_value": ', size, "}"))
+        .when(k == 1, made('"target": "IfcDoor", "value": null, "rule": {"value": ', size, "}"))
+        .when(k == 2, made('"ifc_entity": "IfcDoor", "value": null, "check": {"value": 1, "check_value": ', size, "}"))
+        .when(k == 3, made('"ifc_class": "IfcDoor", "logic": {"value_min_property": "Rise", "value_min_offset": ', size, ', "value_max_property": "Run", "value_max_offset": -1.5}'))
+        .when(k == 4, made('"target": null, "ifc_class": "IfcWall", "rule_json": {"ref": "8.1", "value": ', size, '}, "rule": {"value": 7}'))
+        .otherwise(made('"rule": {"ifc_class": "IfcWall", "value": "', size, '"}'))
+    )
+    return files.flatten_rules(p.select(text.alias("text"))).select("ref", "target", "value", "value_min_property", "value_min_offset", "value_max_property", "value_max_offset")
 
 
 def clause_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +99,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("value_sum", 2).alias("value_sum"))
 
 
-QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, rule_loading, clause_index, page_ranges, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, rule_loading, rule_loading_nested, clause_index, page_ranges, stream_event_windows)}
 
 from clauseloom.plans.graph_queries import _W  # noqa: E402
 
@@ -93,6 +109,9 @@ ORACLE_SQL = {
     "io_review_queue": _W + "SELECT key AS edge_key, concat('\"a\", b', chr(10), p_name) AS clause_heading, s_name AS term_name, llm_confidence FROM e JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s WHERE llm_verdict = 'uncertain'",
     "io_results": "SELECT o_orderpriority AS eval_id, '20310106T004724Z' AS run_id, CAST(count(*) FILTER (WHERE o_totalprice > 1000) AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE NOT o_totalprice > 1000) AS BIGINT) AS failed, CASE WHEN count(*) FILTER (WHERE NOT o_totalprice > 1000) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders GROUP BY 1",
     "rule_loading": "SELECT concat('9.', p_partkey) AS ref, 'IfcDoor' AS target, '>=' AS operator, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey % 4 < 3",
+    "rule_loading_nested": """SELECT CASE WHEN p_partkey % 6 = 4 THEN '8.1' ELSE concat('9.', p_partkey) END AS ref, CASE WHEN p_partkey % 6 < 4 THEN 'IfcDoor' END AS target,
+ CASE WHEN p_partkey % 6 IN (0, 2, 4, 5) THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 6 = 3 THEN 'Rise' END AS value_min_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(p_size AS DOUBLE) END AS value_min_offset,
+ CASE WHEN p_partkey % 6 = 3 THEN 'Run' END AS value_max_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(-1.5 AS DOUBLE) END AS value_max_offset FROM part""",
     "clause_index": "SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN concat('9.', p_partkey, '.(2)') ELSE concat('Table under 9.', p_partkey) END AS ref, p_name AS text FROM part WHERE p_partkey % 3 < 2",
     "page_ranges": "SELECT p_partkey, f AS first, least(f + 19, p_size) AS last FROM (SELECT p_partkey, p_size, CAST(unnest(range(1, p_size + 1, 20)) AS INTEGER) AS f FROM part)",
     "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(round(sum(value), 4), 2) AS value_sum FROM events GROUP BY 1, 2",

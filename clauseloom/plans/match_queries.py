@@ -62,17 +62,6 @@ def clauses_out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.clause_confusion(gold.where("p_partkey % 2 = 0").select("ref"), gold, extracted)[1]
 
 
-def recall_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, extracted = _rules(spark, sf_dir)
-    few = gold.where("p_partkey % 20 < 3 AND p_partkey % 4 <> 3")
-    return M.recall_match(few, extracted.where("operator <> 'range'"))[0]
-
-
-def recall_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold, extracted = _rules(spark, sf_dir)
-    return M.recall_match(gold.where("p_size < 40 AND p_partkey % 4 <> 3"), extracted.where("operator <> 'range'"))[1]
-
-
 def recall_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every gold rule, ranges among them, against every extracted rule."""
     return M.recall_match(*_rules(spark, sf_dir))[0]
@@ -204,7 +193,7 @@ def merged_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_match, rule_match_scores, operator_confusion, clause_confusion, clauses_out_of_scope, recall_match, recall_extra, recall_match_all, recall_extra_all, sheet_match, sheet_totals, draft_field_diffs, draft_field_accuracy,
+        rule_match, rule_match_scores, operator_confusion, clause_confusion, clauses_out_of_scope, recall_match_all, recall_extra_all, sheet_match, sheet_totals, draft_field_diffs, draft_field_accuracy,
         draft_most_changed, order_field_diffs, clause_resolution, clause_resolution_articles, findings_scored, threshold_evaluation, property_shares, merged_sheets,
     )
 }
@@ -247,10 +236,6 @@ ORACLE_SQL = {
  SELECT gold_op, CAST(count(*) FILTER (WHERE op = '>=') AS BIGINT) AS ge, CAST(count(*) FILTER (WHERE op = '<=') AS BIGINT) AS le, CAST(count(*) FILTER (WHERE op = '==') AS BIGINT) AS eq, CAST(count(*) FILTER (WHERE op = 'between') AS BIGINT) AS between, CAST(0 AS BIGINT) AS unknown FROM x GROUP BY 1""",
     "clause_confusion": f"WITH g AS ({_GOLD}) SELECT DISTINCT ref, p_partkey % 7 < 5 AS truth, p_partkey % 10 <> 8 AS predicted FROM g",
     "clauses_out_of_scope": f"WITH g AS ({_GOLD}) SELECT CASE WHEN p_partkey % 10 = 3 THEN regexp_replace(ref, '\\.\\(.*$', '') ELSE ref END AS ref FROM g WHERE p_partkey % 2 = 1 AND p_partkey % 10 <> 8",
-    "recall_match": f"""WITH g AS ({_GOLD}), e AS ({_EXTRACTED}), h AS (SELECT gold_id, min(rule_id) AS rule_id FROM g JOIN e ON lower(g.target) = lower(e.target) AND lower(g.property_name) = lower(e.property_name) AND abs(g.value - e.value) <= 0.5 AND e.operator <> 'range' GROUP BY 1)
- SELECT g.gold_id, rule_id FROM g LEFT JOIN h ON g.gold_id = h.gold_id WHERE p_partkey % 20 < 3 AND p_partkey % 4 <> 3""",
-    "recall_extra": f"""WITH g AS (SELECT * FROM ({_GOLD}) WHERE p_size < 40 AND p_partkey % 4 <> 3), e AS (SELECT * FROM ({_EXTRACTED}) WHERE operator <> 'range')
- SELECT rule_id FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE lower(g.target) = lower(e.target) AND lower(g.property_name) = lower(e.property_name) AND abs(g.value - e.value) <= 0.5)""",
     "recall_match_all": f"WITH g AS ({_GOLD}), e AS ({_EXTRACTED}), h AS (SELECT gold_id, min(rule_id) AS rule_id FROM g JOIN e ON {_STATES} GROUP BY 1) SELECT g.gold_id, rule_id FROM g LEFT JOIN h ON g.gold_id = h.gold_id",
     "recall_extra_all": f"WITH g AS ({_GOLD}), e AS ({_EXTRACTED}) SELECT rule_id FROM e WHERE rule_id NOT IN (SELECT rule_id FROM g JOIN e ON {_STATES})",
     "sheet_match": _SHEET + "SELECT * FROM s",

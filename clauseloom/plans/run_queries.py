@@ -12,27 +12,27 @@ from clauseloom.plans.stat_queries import _COUNT, _metrics_sql
 from clauseloom.tables import table
 
 
-def _results(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """Results of one year: an evaluation per supplier, a check per order line."""
-    lines = table(spark, sf_dir, "lineitem").where(F.year("l_shipdate") == year)
-    checks = lines.select(F.col("l_suppkey").alias("eval_id"), F.concat(F.lit("c"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey") % 10).alias("label"), (F.col("l_discount") < 0.09).alias("passed"), F.col("l_tax").alias("d"))
+def _results(spark: SparkSession, sf_dir: str, later: int = 0) -> DataFrame:
+    """Results of every year: an evaluation per supplier, a check per order line; ``later`` moves them to be the baseline of a later year."""
+    lines = table(spark, sf_dir, "lineitem")
+    checks = lines.select(F.concat("l_suppkey", F.lit("/"), F.year("l_shipdate") + later).alias("eval_id"), F.concat(F.lit("c"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey") % 10).alias("label"), (F.col("l_discount") < 0.09).alias("passed"), F.col("l_tax").alias("d"))
     seconds = checks.groupBy("eval_id").agg(F.round(F.sum("d"), 4).alias("duration_s"))
     return R.build_results(checks, ["eval_id"]).join(seconds, "eval_id")
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir, 1998).select("eval_id", "passed", "failed", "total", F.round("score", 6).alias("score"), "status", F.array_join("failing", ",").alias("failing"))
+    return _results(spark, sf_dir).select("eval_id", "passed", "failed", "total", F.round("score", 6).alias("score"), "status", F.array_join("failing", ",").alias("failing"))
 
 
 def baseline_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One year's results against the year before."""
-    rows = R.compare(_results(spark, sf_dir, 1998), _results(spark, sf_dir, 1997))
+    """Each year's results against the year before."""
+    rows = R.compare(_results(spark, sf_dir), _results(spark, sf_dir, later=1))
     return rows.select("eval_id", F.round("score_delta", 6).alias("score_delta"), F.round("duration_ratio", 6).alias("duration_ratio"), F.array_join("regressed_checks", ",").alias("regressed_checks"), F.array_join("improved_checks", ",").alias("improved_checks"), "regressed")
 
 
 def regression_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why results are worse, in words."""
-    return R.compare(_results(spark, sf_dir, 1998), _results(spark, sf_dir, 1997)).where("regressed").select("eval_id", "reason")
+    return R.compare(_results(spark, sf_dir), _results(spark, sf_dir, later=1)).where("regressed").select("eval_id", "reason")
 
 
 def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def engine_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (run_results, baseline_compare, regression_reasons, latest_runs, known_evals, tier_selection, draft_times, engine_confusion)}
 
-_R = """WITH c AS (SELECT year(l_shipdate) AS y, l_suppkey AS eval_id, concat('c', l_linenumber, '-', l_partkey % 10) AS label, l_discount < 0.09 AS ok, l_tax AS d FROM lineitem WHERE year(l_shipdate) IN (1997, 1998)),
+_R = """WITH c AS (SELECT year(l_shipdate) AS y, l_suppkey AS eval_id, concat('c', l_linenumber, '-', l_partkey % 10) AS label, l_discount < 0.09 AS ok, l_tax AS d FROM lineitem),
  r AS (SELECT y, eval_id, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS failed, CAST(count(*) AS BIGINT) AS total, count(*) FILTER (WHERE ok) * 1.0 / count(*) AS score, coalesce(list_sort(list_distinct(list(label) FILTER (WHERE NOT ok))), []) AS failing, round(sum(d), 4) AS s FROM c GROUP BY ALL) """
 # every case of a run's export, in any of its shapes, by DuckDB's JSON functions
 _CASES = """WITH r AS (SELECT DISTINCT run_id, details FROM score_arch_engines WHERE details IS NOT NULL), j AS (SELECT run_id, CASE WHEN json_type(details) = 'VARCHAR' THEN json_extract_string(details, '$') ELSE details END AS d FROM r),
@@ -76,9 +76,9 @@ _CASES = """WITH r AS (SELECT DISTINCT run_id, details FROM score_arch_engines W
  x AS (SELECT run_id, unnest(CASE WHEN json_exists(e, '$.cases') THEN list_transform(CASE WHEN json_type(e, '$.cases') = 'ARRAY' THEN CAST(json_extract(e, '$.cases') AS JSON[]) ELSE [] END, lambda q: [q, json_extract(e, '$.check_type')]) ELSE [[e, NULL]] END) AS q FROM e),
  c AS (SELECT run_id, coalesce(json_extract_string(q[1], '$.check_type'), json_extract_string(q[2], '$')) AS check_type, json_extract_string(q[1], '$.expected_status') AS ex, json_extract_string(q[1], '$.predicted_status') AS pr FROM x) """
 ORACLE_SQL = {
-    "run_results": _R + "SELECT eval_id, passed, failed, total, round(score, 6) AS score, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status, array_to_string(failing, ',') AS failing FROM r WHERE y = 1998",
-    "baseline_compare": _R + """, p AS (SELECT a.eval_id, a.score - b.score AS delta, CASE WHEN b.s > 0 THEN a.s / b.s WHEN b.s IS NOT NULL THEN 1 END AS ratio, b.s AS bs, list_sort(list_filter(a.failing, lambda v: NOT list_contains(coalesce(b.failing, []), v))) AS reg, list_sort(list_filter(b.failing, lambda v: NOT list_contains(a.failing, v))) AS imp, b.eval_id IS NOT NULL AS has
-  FROM (SELECT * FROM r WHERE y = 1998) a LEFT JOIN (SELECT * FROM r WHERE y = 1997) b ON a.eval_id = b.eval_id)
+    "run_results": _R + "SELECT concat(eval_id, '/', y) AS eval_id, passed, failed, total, round(score, 6) AS score, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status, array_to_string(failing, ',') AS failing FROM r",
+    "baseline_compare": _R + """, p AS (SELECT concat(a.eval_id, '/', a.y) AS eval_id, a.score - b.score AS delta, CASE WHEN b.s > 0 THEN a.s / b.s WHEN b.s IS NOT NULL THEN 1 END AS ratio, b.s AS bs, list_sort(list_filter(a.failing, lambda v: NOT list_contains(coalesce(b.failing, []), v))) AS reg, list_sort(list_filter(b.failing, lambda v: NOT list_contains(a.failing, v))) AS imp, b.eval_id IS NOT NULL AS has
+  FROM r a LEFT JOIN r b ON a.eval_id = b.eval_id AND a.y = b.y + 1)
  SELECT eval_id, round(delta, 6) AS score_delta, round(ratio, 6) AS duration_ratio, CASE WHEN has THEN array_to_string(reg, ',') END AS regressed_checks, array_to_string(imp, ',') AS improved_checks, coalesce(delta < -0.05, false) OR coalesce(bs > 0.05 AND ratio > 1.5, false) OR (has AND len(reg) > 0) AS regressed FROM p""",
     "latest_runs": """WITH r AS (SELECT DISTINCT concat(eval_id, '/', coalesce(CAST(tier AS VARCHAR), '')) AS eval_id, run_id, status, score FROM score_arch_engines) SELECT eval_id, max(run_id) AS run_id, max_by(status, run_id) AS status, arg_max_null(score, run_id) AS score FROM r GROUP BY 1""",
     "known_evals": "SELECT o_orderpriority AS eval_id FROM orders UNION SELECT c_mktsegment FROM customer",

@@ -60,6 +60,17 @@ def paragraph_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clause_id", *[F.size(a[k]).alias(f"n_{k}") for k in ("deontics", "conditions", "requirements", "cross_refs", "dimensions", "dependencies", "ifc_hints")], a["subject"].alias("subject"))
 
 
+def paragraph_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each clause depends on, with the references named there, also short ones."""
+    from clauseloom.operators.documents import annotated
+
+    section = F.concat(F.lit("9."), F.col("p_size"))
+    text = F.concat(F.lit("Subject to "), section, F.lit(", stairs shall comply.")).alias("text")
+    rows = annotated(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("clause_id"), F.when(F.col("p_partkey") % 2 == 0, text).otherwise(F.concat(F.lit("Subject to Article "), section, F.lit(".1, stairs shall comply."))).alias("text")))
+    found = rows.select("clause_id", F.explode("annotation.dependencies").alias("d"))
+    return found.select("clause_id", "d.dep_type", "d.marker", "d.text", F.array_join("d.refs.normalized", ",").alias("refs"))
+
+
 def chunk_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The analysis block of each clause."""
     rows = clauses(spark, sf_dir).withColumns({"s": spans.spans(F.col("text")), "p": obligations.parse_conditions(F.col("text")), "h": annotate.element_hints(F.col("text"))})
@@ -144,7 +155,7 @@ def other_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clause_profile, deontic_extract, deontic_summary, condition_parse, condition_summary, cross_ref_extract, dimension_extract, dependency_extract, element_hints, paragraph_annotation,
+        clause_profile, deontic_extract, deontic_summary, condition_parse, condition_summary, cross_ref_extract, dimension_extract, dependency_extract, element_hints, paragraph_annotation, paragraph_dependencies,
         chunk_preamble, document_deontics, document_spans, document_sentences, token_jaccard, fuzz_similarity, rule_numbers, reference_forms, unit_scaling, other_elements,
     )
 }
@@ -212,6 +223,8 @@ ORACLE_SQL = {
     "dimension_extract": _WITH + _DIMENSIONS,
     "dependency_extract": _WITH + _DEPENDENCIES,
     "element_hints": _WITH + _HINTS,
+    "paragraph_dependencies": """SELECT p_partkey AS clause_id, 'subject_to' AS dep_type, 'subject to' AS marker, concat('Subject to ', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'Article ' END, '9.', p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.1' END, ',') AS text,
+ concat('9.', p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.1' END) AS refs FROM part""",
     "paragraph_annotation": _WITH + """SELECT clause_id, n_deontics, n_conditions, 1 AS n_requirements, 1 AS n_cross_refs, n_dimensions, n_dependencies, n_ifc_hints, subject FROM c, (VALUES
  (0,1,2,2,1,2,'door'), (1,2,1,1,1,1,'Guards'), (2,1,1,1,1,1,'handrail'), (3,1,0,0,1,1,'ramp'), (4,2,0,1,0,1,'Windows'), (5,2,0,1,0,1,'detector'))
  AS v(t, n_deontics, n_conditions, n_dimensions, n_dependencies, n_ifc_hints, subject) WHERE k = t""",

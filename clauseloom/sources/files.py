@@ -13,13 +13,17 @@ from pyspark.sql import types as T
 
 from clauseloom.functions.columns import strip
 
-# Where a rule's fields may stand, outermost first, and what they may be called.
+# Where rules and their fields may stand, and what else some fields may be called on the outside.
 RULE_LISTS = ("rules", "drafts", "items", "data")
 NESTED_IN = ("rule_json", "rule", "check", "logic")
-RULE_NAMES = {
-    "ref": ["ref", "source_ref", "section_ref", "clause_ref", "section", "citation"], "target": ["target", "ifc_class", "ifc_entity", "target_entity"], "property_name": ["property_name", "property", "attribute"],
-    "operator": ["operator"], "value": ["value", "check_value", "reference_value"], "value_min": ["value_min"], "value_max": ["value_max"], "unit": ["unit"], "desc": ["desc", "description"],
-}
+RULE_TEXTS = ("ref", "target", "property_name", "operator", "unit", "desc", "value_min_property", "value_max_property")
+RULE_NUMBERS = ("value", "value_min", "value_max", "value_min_offset", "value_max_offset")
+OUTER_NAMES = {
+    "ref": ["source_ref", "section_ref", "clause_ref", "section", "citation"],
+    "target": ["ifc_class", "ifc_entity", "target_entity"],
+    "property_name": ["property", "attribute"],
+    "desc": ["description"],
+}
 EDGE = "source STRING, target STRING, key BIGINT, kind STRING, label STRING, property_set STRING, composite_score DOUBLE, llm_verdict STRING, llm_confidence DOUBLE"
 NODE = "id STRING, kind STRING, doc_id STRING, ref STRING, heading STRING, name STRING, uri STRING, text_excerpt STRING, definition STRING"
 
@@ -75,22 +79,46 @@ def _fields(ddl: str) -> str:
     return ", ".join(": ".join(x.split(" ", 1)) for x in ddl.split(", "))
 
 
-def flatten_rules(texts: DataFrame, text: str = "text") -> DataFrame:
-    """One row per rule of JSON texts: a list, or an object with a list under one of several names; fields by their many names.
+def flatten_rules(texts: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
+    """One row per rule of JSON texts: a list, or an object with a list under one of several names; ``ord`` is the place in its list.
 
-    A rule may be nested one level in ``rule_json``, ``rule``, ``check`` or
-    ``logic``; the outer field wins where it is present. Texts without a list
-    of rules give nothing.
+    A rule's own keys count first, then those of ``rule_json``, ``rule``,
+    ``check`` and ``logic``: a key that is present is taken, even if it is null.
+    A key that is nowhere may have another name on the outside, the first that
+    is not empty. A null value is that of ``check_value``, wherever it stands. A
+    text that is no list of rules is an error, or gives nothing without
+    ``strict``. Columns: texts ref, target, property_name, operator, unit, desc
+    and the properties of relative bounds; numbers value, value_min, value_max
+    and the offsets.
     """
-    v = F.expr(f"try_parse_json({text})")
+    v = F.expr(f"try_parse_json(`{text}`)")
     lists = [F.try_variant_get("_v", "$", "array<variant>"), *[F.try_variant_get("_v", f"$.{n}", "array<variant>") for n in RULE_LISTS]]
-    rows = texts.withColumn("_v", v).select(F.posexplode(F.coalesce(*lists)).alias("ord", "_r"))
-    keep = {}
-    for field, names in RULE_NAMES.items():
-        paths = [f"$.{field}", *[f"$.{n}.{field}" for n in NESTED_IN], *[f"$.{n}" for n in names[1:]]]
-        kind = "double" if field.startswith("value") else "string"
-        keep[field] = F.coalesce(*[F.try_variant_get("_r", p, kind) for p in paths])
-    return rows.select("ord", *[c.alias(n) for n, c in keep.items()])
+    error = [F.raise_error(F.concat(F.lit("expected a list of rules or an object with one: "), F.substring(F.coalesce(F.col(text), F.lit("null")), 1, 80)))] if strict else []
+    rows = texts.withColumn("_v", v).select(F.posexplode(F.coalesce(*lists, *[e.cast("array<variant>") for e in error])).alias("ord", "_r"))
+    level = lambda path: F.try_variant_get("_r", path, "map<string, variant>")
+    rows = rows.select("ord", level("$").alias("_0"), *[level(f"$.{n}").alias(f"_{k}") for k, n in enumerate(NESTED_IN, 1)])
+    levels = [f"_{k}" for k in range(len(NESTED_IN) + 1)]
+
+    def stated(key: str, kind: str) -> tuple[Column, Column]:
+        """(whether a key is present at any level, its value at the first level that has it)"""
+        there = [F.coalesce(F.map_contains_key(F.col(m), key), F.lit(False)) for m in levels]
+        value = F.lit(None).cast(kind)
+        for has, m in reversed(list(zip(there, levels))):
+            value = F.when(has, F.try_variant_get(F.element_at(m, key), "$", kind)).otherwise(value)
+        return F.greatest(*there), value
+
+    def outer(name: str) -> Column:
+        return F.nullif(F.try_variant_get(F.try_element_at("_0", F.lit(name)), "$", "string"), F.lit(""))
+
+    out = []
+    for key in RULE_TEXTS:
+        present, value = stated(key, "string")
+        others = OUTER_NAMES.get(key)
+        out.append((F.when(present, value).otherwise(F.coalesce(*map(outer, others))) if others else value).alias(key))
+    for key in RULE_NUMBERS:
+        value = stated(key, "double")[1]
+        out.append((F.coalesce(value, stated("check_value", "double")[1]) if key == "value" else value).alias(key))
+    return rows.select("ord", *out)
 
 
 def clause_index(lines: DataFrame, line: str = "value", order: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +32,20 @@ def distinct_by(df: DataFrame, *keys: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in tests on one machine, a local
-    folder is made and set.
+    A session on one machine that names none gets a temporary folder, which
+    goes when the process ends. Anywhere else a missing folder is an error: one
+    that only the driver sees would lose what executors write.
     """
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or tempfile.mkdtemp(prefix="clauseloom-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="clauseloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 

@@ -265,3 +265,24 @@ def test_stream_of_documents(spark, tmp_path):
     out = incremental.new_clauses(stream).select("doc_id", F.size("annotation.deontics").alias("n"))
     incremental.run_once(out, str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(rows(spark.read.parquet(str(tmp_path / "out"))), key=str) == [(1, 1), (2, None)] or sorted(rows(spark.read.parquet(str(tmp_path / "out"))), key=str) == [(1, 1), (2, -1)]
+
+
+def test_rules_of_wrong_shapes_are_errors(spark):
+    from clauseloom.sources import files
+
+    texts = spark.createDataFrame([('{"none": 1}',), ("not json",), (None,), ("[]",)], "text STRING")
+    assert files.flatten_rules(texts, strict=False).count() == 0
+    with pytest.raises(Exception, match="expected a list of rules"):
+        files.flatten_rules(texts).collect()
+    present = spark.createDataFrame([('[{"value": null, "rule": {"value": 5}}, {"rule": {"check_value": 900}}, {"target": "", "ifc_class": "IfcDoor"}]',)], "text STRING")
+    assert [(r["value"], r["target"]) for r in files.flatten_rules(present).orderBy("ord").collect()] == [(None, None), (900.0, None), (None, "")]
+
+
+def test_a_missing_shared_folder_is_an_error_off_one_machine():
+    from types import SimpleNamespace
+
+    from clauseloom.tables import shared_dir
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)

@@ -13,6 +13,12 @@ from clauseloom.tables import cut, spread
 WEIGHTS = {"tfidf_cosine": 0.40, "jaccard_tokens": 0.25, "fuzz_ratio": 0.20, "exact_substring": 0.15}
 
 
+#: Postings of terms sent to the clauses at once: some 40 MB.
+BLOCK = 500_000
+#: Terms that may be asked for each clause.
+MOST_TERMS = 100_000
+
+
 def term_frequencies(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, term, tf of every token of every document."""
     return docs.select(*keys, F.explode(tokenize(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -34,14 +40,42 @@ def tfidf(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return joined.select(*keys, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
 
 
-def cosine_shortlist(clauses: DataFrame, terms: DataFrame, top_k: int = 15) -> DataFrame:
+def _best(scored: DataFrame, wanted: int) -> DataFrame:
+    """The ``wanted`` greatest cosines of each clause, equal ones by term."""
+    place = F.row_number().over(W.partitionBy("c").orderBy(F.round("cosine", 9).desc(), "t"))
+    return scored.withColumn("_r", place).where(F.col("_r") <= wanted).drop("_r")
+
+
+def _nearest(left: DataFrame, right: DataFrame, wanted: int, block: int) -> DataFrame:
+    """c, t, cosine: the best terms of each clause that share a token with it.
+
+    The terms' postings are sent to the clauses in blocks of ``block`` at most.
+    A clause's postings lie together, so its products are summed and its best
+    are chosen where they are: neither the products nor the pairs of clauses
+    and terms are shuffled, and a token that every document has is no hot key.
+    Blocks after the first add their best to those before.
+    """
+    placed = left.repartition("c")
+    blocks = max(1, -(-right.count() // block))
+    best = None
+    for k in range(blocks):
+        part = right if blocks == 1 else right.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
+        scored = placed.join(F.broadcast(part), "term").groupBy("c", "t").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine"))
+        found = _best(scored, wanted)
+        best = found if best is None else _best(best.unionByName(found), wanted)
+        if k % 8 == 7:
+            best = cut(best)
+    return best
+
+
+def cosine_shortlist(clauses: DataFrame, terms: DataFrame, top_k: int = 15, block: int = BLOCK) -> DataFrame:
     """clause_id, term_id, tfidf_cosine of each clause's ``top_k`` terms (all terms for 0), by cosine, then term_id.
 
     ``clauses`` has clause_id and text, ``terms`` term_id and text; both form
-    one corpus. A clause's postings meet the terms' postings by token and are
-    summed where the clause stands; the terms' side is the small one (the
-    planner broadcasts it only within its size limit). Places that no positive
-    cosine fills are filled with zero-cosine terms in the order of term_id.
+    one corpus. Exact: see :func:`_nearest` for what meets what; ``block``
+    changes no result. Places that no positive cosine fills are filled with
+    zero-cosine terms in the order of term_id. All terms of more than
+    ``MOST_TERMS`` are not given: so many for each clause is no shortlist.
     """
     both = clauses.select(F.lit(0).alias("side"), F.col("clause_id").cast("string").alias("id"), "text").unionByName(
         terms.select(F.lit(1).alias("side"), F.col("term_id").cast("string").alias("id"), "text")
@@ -49,17 +83,18 @@ def cosine_shortlist(clauses: DataFrame, terms: DataFrame, top_k: int = 15) -> D
     weights = cut(tfidf(spread(both), ["side", "id"], "text"))  # read from both sides
     left = weights.where("side = 0").select(F.col("id").alias("c"), "term", F.col("weight").alias("_a"))
     right = weights.where("side = 1").select(F.col("id").alias("t"), "term", F.col("weight").alias("_b"))
-    scored = left.join(right, "term").groupBy("c", "t").agg(F.sum(F.col("_a") * F.col("_b")).alias("cosine"))
     n_terms = terms.count()
     wanted = min(top_k or n_terms, n_terms)
-    ranked = scored.withColumn("_r", F.row_number().over(W.partitionBy("c").orderBy(F.round("cosine", 9).desc(), "t"))).where(F.col("_r") <= wanted)
+    if wanted > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms for each clause")
+    ranked = _nearest(left, right, wanted, block)
     # the first terms by id, enough to fill any gap: 2 * wanted at most
     spare = terms.select(F.col("term_id").cast("string").alias("t")).orderBy("t").limit(2 * wanted).agg(F.sort_array(F.collect_list("t")).alias("_spare"))
     have = ranked.groupBy("c").agg(F.collect_list("t").alias("_have"))
     gaps = clauses.select(F.col("clause_id").cast("string").alias("c")).join(have, "c", "left").withColumn("_have", F.coalesce("_have", F.array().cast("array<string>")))
     gaps = gaps.where(F.size("_have") < wanted).crossJoin(F.broadcast(spare))
     fill = gaps.select("c", F.explode(F.slice(F.array_except("_spare", "_have"), F.lit(1), F.lit(wanted) - F.size("_have"))).alias("t"))
-    out = ranked.select("c", "t", "cosine").unionByName(fill.withColumn("cosine", F.lit(0.0)))
+    out = ranked.unionByName(fill.withColumn("cosine", F.lit(0.0)))
     ids_c = clauses.select("clause_id").withColumn("c", F.col("clause_id").cast("string"))
     ids_t = terms.select("term_id").withColumn("t", F.col("term_id").cast("string"))
     return out.join(ids_c, "c").join(ids_t, "t").select("clause_id", "term_id", F.col("cosine").alias("tfidf_cosine"))

@@ -286,3 +286,37 @@ def test_a_missing_shared_folder_is_an_error_off_one_machine():
     cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(cluster)
+
+
+def _cosines(clauses, terms, k):
+    import math
+    import re
+    from collections import Counter
+
+    docs = {("c", i): Counter(re.findall("[a-z0-9]+", t.lower())) for i, t in clauses} | {("t", i): Counter(re.findall("[a-z0-9]+", t.lower())) for i, t in terms}
+    df = Counter(w for d in docs.values() for w in d)
+    vec = {key: {w: n * (math.log((1 + len(docs)) / (1 + df[w])) + 1) for w, n in d.items()} for key, d in docs.items()}
+    vec = {key: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for key, v in vec.items()}
+    dot = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items())
+    return {i: sorted(((round(dot(vec["c", i], vec["t", j]), 9), j) for j, _ in terms), key=lambda x: (-x[0], x[1]))[:k] for i, _ in clauses}
+
+
+def test_shortlist_is_exact_with_a_token_in_every_document(spark):
+    rng = random.Random(4)
+    word = lambda: "w" + str(int(rng.paretovariate(0.6)) % 60)
+    clauses = [(i, " ".join(["the", *[word() for _ in range(rng.randint(0, 12))]])) for i in range(40)] + [(99, "")]
+    terms = [(f"t{j:02d}", " ".join(["the", *[word() for _ in range(rng.randint(0, 4))]])) for j in range(30)]
+    c, t = spark.createDataFrame(clauses, "clause_id INT, text STRING"), spark.createDataFrame(terms, "term_id STRING, text STRING")
+    expected = _cosines(clauses, terms, 4)
+    for block in (similarity.BLOCK, 9):
+        got = {}
+        for r in similarity.cosine_shortlist(c, t, 4, block=block).collect():
+            got.setdefault(r["clause_id"], []).append((round(r["tfidf_cosine"], 9), r["term_id"]))
+        assert {k: sorted(v, key=lambda x: (-x[0], x[1])) for k, v in got.items()} == expected
+    assert similarity.cosine_shortlist(c, t, 0).count() == 41 * 30
+
+
+def test_shortlist_shuffles_no_pairs(spark):
+    left, right = spark.createDataFrame([("c1", "the", 1.0)], "c STRING, term STRING, _a DOUBLE"), spark.createDataFrame([("t1", "the", 1.0)], "t STRING, term STRING, _b DOUBLE")
+    plan = similarity._nearest(left, right, 3, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(c#" in plan and "WindowGroupLimit" in plan

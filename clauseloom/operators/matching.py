@@ -56,8 +56,21 @@ def candidate_pairs(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_
     same_prop = R.same_name(F.col("g_prop"), F.col("prop"), alias_groups(aliases))
     strict = (F.col("g_tgt") == F.col("tgt")) & same_prop
     normal = R.same_name(F.col("g_tgt"), F.col("tgt"), R.SAME_TARGETS) & (same_prop | R.same_name(F.col("g_prop"), F.col("prop"), R.SAME_PROPERTIES))
-    area = F.regexp_extract("g_nref", r"^[^.]*", 0)  # matches never cross the first part of a reference
-    return pairs.select(gold_id, rule_id, area.alias("area"), F.lit(True).alias("lenient"), F.coalesce(normal, F.lit(False)).alias("normalized"), F.coalesce(strict, F.lit(False)).alias("strict"))
+    return pairs.select(gold_id, rule_id, F.col("nref").alias("ref"), F.lit(True).alias("lenient"), F.coalesce(normal, F.lit(False)).alias("normalized"), F.coalesce(strict, F.lit(False)).alias("strict"))
+
+
+def with_area(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``area`` in place of ``ref``: the shortest of all extracted references that covers the pair's.
+
+    A reference rule meets only extracted references that cover it, and of two
+    of those the shorter covers the longer; so what shares a rule shares its
+    area, and no chain of pairs leaves it. A code whose rules all begin with
+    "9." has as many areas as it has articles, unless a rule names all of "9".
+    """
+    refs = pairs.select("ref").distinct()
+    covers = refs.select("ref", F.explode(R.covering_refs(F.col("ref"))).alias("_by")).join(refs.select(F.col("ref").alias("_by")), "_by")
+    areas = covers.groupBy("ref").agg(F.min_by("_by", F.length("_by")).alias("area"))
+    return pairs.join(areas, "ref").drop("ref")
 
 
 def greedy(pairs: DataFrame, left: str, right: str, part: list[str]) -> DataFrame:
@@ -95,7 +108,7 @@ def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id",
     tables and kept in a checkpoint.
     """
     rules = extracted.join(prepared(extracted, rule_id).where("dimensional").select(rule_id), rule_id, "left_semi")
-    candidates = cut(candidate_pairs(gold, rules, gold_id, rule_id, aliases))  # read for the pairs and for the redundant rules
+    candidates = with_area(cut(candidate_pairs(gold, rules, gold_id, rule_id, aliases)))  # read for the pairs and for the redundant rules
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ok")) for m in MODES])
     long = candidates.select(gold_id, rule_id, "area", F.explode(modes).alias("_m")).where("_m.ok").select(F.col("_m.mode").alias("mode"), "area", gold_id, rule_id)
     pairs = cut(greedy(long, gold_id, rule_id, ["mode", "area"]).drop("area"))  # all four tables are told from them

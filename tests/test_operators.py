@@ -320,3 +320,25 @@ def test_shortlist_shuffles_no_pairs(spark):
     left, right = spark.createDataFrame([("c1", "the", 1.0)], "c STRING, term STRING, _a DOUBLE"), spark.createDataFrame([("t1", "the", 1.0)], "t STRING, term STRING, _b DOUBLE")
     plan = similarity._nearest(left, right, 3, 10)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(c#" in plan and "WindowGroupLimit" in plan
+
+
+def test_areas_split_a_code_and_no_pair_leaves_its_area(spark):
+    pairs = spark.createDataFrame([(1, 1, "9.8.2"), (1, 2, "9.8.2.1"), (2, 3, "9.8.2.1.(2)"), (3, 4, "9.9.1"), (4, 5, "9.9.10"), (5, 6, "table:9.8.2"), (6, 7, "9.9.1.(3)")], "gold_id INT, rule_id INT, ref STRING")
+    got = {r["rule_id"]: r["area"] for r in matching.with_area(pairs).collect()}
+    assert got == {1: "9.8.2", 2: "9.8.2", 3: "9.8.2", 4: "9.9.1", 5: "9.9.10", 6: "table:9.8.2", 7: "9.9.1"}
+
+
+def test_rules_all_under_one_number_are_matched_as_in_order(spark):
+    rng = random.Random(11)
+    gold = [(k, f"9.{k % 7}.{k % 3}.({k % 4})", "IfcDoor", "Width", ">=", float(rng.randint(1, 3))) for k in range(200)]
+    found = [(k, rng.choice([f"9.{k % 7}.{k % 3}", f"9.{k % 7}.{k % 3}.({k % 4})", f"9.{k % 7}"]), "IfcDoor", "Width", ">=", float(rng.randint(1, 3))) for k in range(150)]
+    rule = lambda name, rows_: spark.createDataFrame(rows_, f"{name} INT, ref STRING, target STRING, property_name STRING, operator STRING, value DOUBLE").select("*", *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in matching.RULE.split(", ")) if c not in ("ref", "target", "property_name", "operator", "value")])
+    pairs = {tuple(r) for r in matching.match_rules(rule("gold_id", gold), rule("rule_id", found))["pairs"].where("mode = 'lenient'").select("gold_id", "rule_id").collect()}
+    free, expected = set(range(150)), set()
+    for g in gold:
+        for e in found:
+            if e[0] in free and (g[1] == e[1] or (g[1].startswith(e[1] + ".") and "(" not in e[1])) and g[5] == e[5]:
+                expected.add((g[0], e[0]))
+                free.discard(e[0])
+                break
+    assert pairs == expected

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clauseloom.operators.ordered import average_ranks
+
 # Normal quantiles of the usual confidence levels.
 Z = {0.95: 1.95996398454, 0.90: 1.64485362695, 0.99: 2.57582930355}
 
@@ -115,20 +117,39 @@ def fleiss_kappa(df: DataFrame, item: list[str], category: str, by: list[str], r
     return joined.withColumn("kappa", kappa)
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    part = W.partitionBy(*by)
-    return F.rank().over(part.orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / 2.0
+def fleiss_kappa_of_first(df: DataFrame, item: list[str], category: str, by: list[str]) -> DataFrame:
+    """:func:`fleiss_kappa` where the number of ratings is that of each group's first item, whatever the others have."""
+    cells = df.groupBy(*by, *item, category).agg(F.count(F.lit(1)).alias("_n"))
+    items = cells.groupBy(*by, *item).agg(F.sum("_n").alias("_m"), F.sum(F.col("_n") * F.col("_n")).alias("_squares"))
+    groups = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n_items"), F.min_by("_m", F.struct(*item)).alias("raters"), F.sum("_squares").alias("_s"))
+    groups = groups.select(*[F.col(c).alias(f"_{c}") for c in by], "n_items", "raters", "_s")
+    kinds = cells.groupBy(*by, category).agg(F.sum("_n").alias("_k")).join(groups, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    share = F.col("_k") / (F.col("n_items") * F.col("raters"))
+    rows = kinds.groupBy(*by).agg(F.first("n_items").alias("n_items"), F.first("raters").alias("raters"), F.first("_s").alias("_s"), F.sum(share * share).alias("expected"))
+    r = F.col("raters")
+    rows = rows.withColumn("observed", F.when(r > 1, (F.col("_s") / F.col("n_items") - r) / (r * (r - 1))))
+    kappa = F.when((r <= 1) | (F.col("expected") >= 1 - 1e-9), 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
+    return rows.select(*by, "n_items", "raters", "observed", "expected", kappa.alias("kappa"))
+
+
+def ratio_to(df: DataFrame, by: list[str], level: str, base, value: str) -> DataFrame:
+    """by, level, value and ratio: a level's value as a share of the group's value at the level ``base``; null without one or if it is 0."""
+    at_base = df.where(F.col(level) == F.lit(base)).groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max(value).alias("_base"))
+    rows = df.join(at_base, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left") if by else df.crossJoin(at_base)  # one row
+    return rows.select(*by, level, value, F.try_divide(F.col(value), F.col("_base")).alias("ratio"))
 
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, pearson, spearman, mae, rmse (four decimals) of paired values; correlations are 0 without variance or with one pair."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    ranked = pairs.withColumns({"_rx": average_rank("_x", by), "_ry": average_rank("_y", by)})
+    ranked = pairs
+    for c in ("_x", "_y"):
+        ranks = average_ranks(pairs, by, c, f"_r{c}").withColumnsRenamed({k: f"_k{k}" for k in [*by, c]})
+        ranked = ranked.join(ranks, [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in [*by, c]]).drop(*[f"_k{k}" for k in [*by, c]])
     zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
     gap = F.col("_x") - F.col("_y")
     return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), zero(F.corr("_x", "_y")).alias("pearson"), zero(F.corr("_rx", "_ry")).alias("spearman"),
+        F.count(F.lit(1)).alias("n"), zero(F.corr("_x", "_y")).alias("pearson"), zero(F.corr("_r_x", "_r_y")).alias("spearman"),
         F.round(F.avg(F.abs(gap)), 4).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 4).alias("rmse"),
     )
 

@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from clauseloom.functions import annotate, obligations, spans
 from clauseloom.functions.columns import or_null, strip
+from clauseloom.operators.ordered import ordered_index
 from clauseloom.tables import spread
 
 NODE = T.StructType(
@@ -186,6 +187,16 @@ def _section(key: str) -> Column:
     return F.sum(F.when(F.col("tag") == "heading", 1).otherwise(0)).over(W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
 
 
+def limited_chunks(chunk_rows: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:
+    """The chunks each model is given: the first ``limit`` of all in order, or all where its limit is null or 0.
+
+    ``limits`` has model and limit. Chunks are numbered once, in ranges, so
+    that no task sorts them all.
+    """
+    numbered = ordered_index(chunk_rows, order, "_place")
+    return limits.join(numbered, (F.coalesce("limit", F.lit(0)) == 0) | (F.col("_place") < F.col("limit"))).drop("_place", "limit")
+
+
 def document_text(node_rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and text: a document's node texts with a blank line between them."""
     kept = node_rows.where(strip(F.col("text")) != "")

@@ -12,27 +12,13 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions.columns import strip
 from clauseloom.operators.documents import numeric_suffix
-from clauseloom.tables import cut
+from clauseloom.operators.ordered import ordered_index
 
 CANDIDATES = ("candidate_class_match", "candidate_property_match")
 # Fields whose correction says something about a term, with the term's kind.
 FIELD_KINDS = {"target_ifc_class": "class", "property_name": "property", "property_set": "property"}
 
 
-def ordered_index(df: DataFrame, order: list, name: str, start: int = 0) -> DataFrame:
-    """Number rows from ``start`` in a global order without one task for all of them.
-
-    Rows are range-partitioned and sorted, partitions are counted, and each
-    adds its offset: two passes over a checkpoint, as the partitions must not
-    change in between.
-    """
-    placed = cut(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
-    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(F.col("_pid").alias("_p"), (F.sum("_n").over(W.orderBy("_pid")) - F.col("_n")).alias("_before"))  # a row per partition
-    within = F.row_number().over(W.partitionBy("_pid").orderBy(*order)) - 1
-    return placed.join(F.broadcast(offsets), placed["_pid"] == offsets["_p"]).withColumn(name, within + F.col("_before") + F.lit(start)).drop("_pid", "_p", "_before")
-
-
 def clause_edges(clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, source_ref, target_ref, edge_type, label and the order columns seq, rank, pos of references between a document's clauses.
 
@@ -45,7 +31,7 @@ def clause_edges(clauses: DataFrame, key: str = "doc_id") -> DataFrame:
     refs = refs.select(key, "ref", "clause_seq", F.lit(0).alias("rank"), "pos", F.col("_r.normalized").alias("_to"), F.lit("cross_ref").alias("edge_type"), F.col("_r.raw").alias("label"))
     deps = clauses.select(key, "ref", "clause_seq", F.posexplode("dependencies").alias("_p", "_d")).select(key, "ref", "clause_seq", "_p", "_d", F.posexplode("_d.refs").alias("_q", "_r"))
     deps = deps.select(
-        key, "ref", "clause_seq", F.lit(1).alias("rank"), (F.col("_p") * 10_000 + F.col("_q")).alias("pos"), F.col("_r.normalized").alias("_to"),
+        key, "ref", "clause_seq", F.lit(1).alias("rank"), (F.shiftleft(F.col("_p").cast("bigint"), 31) + F.col("_q")).alias("pos"), F.col("_r.normalized").alias("_to"),
         F.concat(F.lit("depends_on:"), F.col("_d.dep_type")).alias("edge_type"), F.col("_d.marker").alias("label"),
     )
     found = refs.unionByName(deps)
@@ -113,7 +99,7 @@ def assemble(
         columns |= {f"signal_{s}": F.lit(None).cast("double") for s in ("tfidf_cosine", "jaccard_tokens", "fuzz_ratio", "exact_substring")} | attrs
         return df.select(src.alias("src"), dst.alias("dst"), kind.alias("kind"), F.lit(rank).alias("_rank"), at.alias("_at"), *[c.alias(n) for n, c in columns.items()])
 
-    padded = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    padded = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     parts = [
         edge(references, 0, clause_node_id(F.col("source_ref")), clause_node_id(F.col("target_ref")), F.col("edge_type"), [padded("seq"), padded("rank"), padded("pos")], label=F.col("label")),
         edge(kept_links, 1, term_node_id(F.col("class_uri")), term_node_id(F.col("property_uri")), F.lit("class_has_property"), [F.col("class_uri"), F.col("property_uri")], property_set=F.coalesce("property_set", F.lit(""))),

@@ -38,6 +38,13 @@ def outcome_scores(df: DataFrame, by: list[str]) -> DataFrame:
     return counted.withColumns({k: m[k] for k in ("precision", "recall", "f1")})
 
 
+def simulated_candidates(gold: DataFrame, key: str, error_rate: float, seed: int, property_name: str = "property_name") -> DataFrame:
+    """Reference rules as candidates, a share of them with another property, told by a hash of key and seed; for tests of a pipeline, no evidence."""
+    share = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    wrong = share < error_rate
+    return gold.withColumns({property_name: F.when(wrong, F.concat(F.col(property_name), F.lit("_alt"))).otherwise(F.col(property_name)), "is_match": ~wrong})
+
+
 def generalisation(pairs: DataFrame, jurisdiction: str, gap: float = 0.05) -> DataFrame:
     """jurisdiction, rules, entity and operator accuracy, f1, its distance to the best jurisdiction, and whether that is below ``gap``.
 

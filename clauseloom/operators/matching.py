@@ -37,6 +37,10 @@ def prepared(rules: DataFrame, id_: str) -> DataFrame:
     )
 
 
+#: Questions a form may have; each pair of annotators is compared on all of them.
+MOST_QUESTIONS = 1000
+
+
 def alias_groups(aliases: list | None) -> list[tuple[str, ...]]:
     """Groups of names that mean the same; a caller may write a group as text with commas."""
     return [tuple(n.strip() for n in g.split(",")) if isinstance(g, str) else tuple(g) for g in aliases or []]
@@ -316,10 +320,13 @@ def choice_agreement(choices: DataFrame) -> DataFrame:
 
     who = choices.select("task", "annotator").distinct()
     pairs = who.select("task", F.col("annotator").alias("a")).join(who.select("task", F.col("annotator").alias("b")), "task").where("a < b")
-    names = choices.where("choice IS NOT NULL").select("from_name").distinct()  # the few questions of a form
-    given = choices.where("choice IS NOT NULL").groupBy("task", "annotator", "from_name").agg(F.first("choice").alias("choice"))
+    asked = [r[0] for r in choices.where("choice IS NOT NULL").select("from_name").distinct().limit(MOST_QUESTIONS + 1).collect()]
+    if len(asked) > MOST_QUESTIONS:
+        raise ValueError(f"more than {MOST_QUESTIONS} questions")
+    names = F.array(*[F.lit(n) for n in sorted(asked, key=str)]) if asked else F.array().cast("array<string>")
+    given = choices.where("choice IS NOT NULL").groupBy("task", "annotator", "from_name").agg(F.min("choice").alias("choice"))
     side = lambda p: given.select("task", F.col("annotator").alias(p), "from_name", F.col("choice").alias(f"c{p}"))
-    rows = pairs.crossJoin(F.broadcast(names)).join(side("a"), ["task", "a", "from_name"], "left").join(side("b"), ["task", "b", "from_name"], "left")
+    rows = pairs.withColumn("from_name", F.explode(names)).join(side("a"), ["task", "a", "from_name"], "left").join(side("b"), ["task", "b", "from_name"], "left")
     rows = rows.withColumns({"ca": F.coalesce("ca", F.lit("NONE")), "cb": F.coalesce("cb", F.lit("NONE"))})
     seen = rows.where("ca <> 'NONE' OR cb <> 'NONE'").select("a", "b", "from_name").distinct()
     return cohen_kappa(rows.join(seen, ["a", "b", "from_name"], "left_semi"), "ca", "cb", ["a", "b", "from_name"])

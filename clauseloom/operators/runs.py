@@ -70,6 +70,51 @@ def compare(current: DataFrame, baseline: DataFrame, key: str = "eval_id", score
     return j.select(key, "score_delta", "duration_ratio", "regressed_checks", "improved_checks", F.nullif(F.concat_ws("; ", *reasons), F.lit("")).alias("reason"), (worse | slower | broken).alias("regressed"))
 
 
+def status_checks(responses: DataFrame, label: str = "label", status: str = "status", expected: str = "expected", text: str = "text") -> DataFrame:
+    """label, passed and detail of answers: whether the status is one of those expected, and what was said if not.
+
+    ``expected`` is an array of statuses. A null status passes nowhere. The
+    rows are what :func:`build_results` counts.
+    """
+    passed = F.coalesce(F.array_contains(F.col(expected), F.col(status)), F.lit(False))
+    wanted = F.array_join(F.transform(F.array_sort(F.col(expected)), lambda s: s.cast("string")), " or ")
+    detail = F.concat(F.lit("expected "), F.coalesce(wanted, F.lit("nothing")), F.lit(", got "), F.coalesce(F.col(status).cast("string"), F.lit("none")), F.lit(": "), F.substring(F.coalesce(F.col(text), F.lit("")), 1, 200))
+    return responses.select(F.col(label).alias("label"), passed.alias("passed"), F.when(~passed, detail).alias("detail"))
+
+
+def git_state(folder: str) -> tuple[str | None, str | None, bool | None]:
+    """(commit, branch, whether there are changes) of a working copy; nulls where there is none."""
+    import subprocess
+
+    def ask(*words: str) -> str | None:
+        try:
+            done = subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True, timeout=30)
+        except (OSError, subprocess.TimeoutExpired):
+            return None
+        return done.stdout.strip() if done.returncode == 0 else None
+
+    changes = ask("status", "--porcelain")
+    return ask("rev-parse", "HEAD"), ask("rev-parse", "--abbrev-ref", "HEAD"), None if changes is None else bool(changes)
+
+
+def memory_gb() -> float | None:
+    """Memory of the machine the driver runs on, if the system tells."""
+    import os
+
+    try:
+        return round(os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / (1 << 30), 2)
+    except (ValueError, OSError, AttributeError):
+        return None
+
+
+def snapshot(spark, folder: str = ".") -> DataFrame:
+    """One row: :func:`environment`, the working copy's state, processors and memory of the driver's machine."""
+    import os
+
+    row = (*git_state(folder), os.cpu_count(), memory_gb())
+    return environment(spark).crossJoin(spark.createDataFrame([row], "commit STRING, branch STRING, changed BOOLEAN, processors INT, memory_gb DOUBLE"))  # one row each
+
+
 def environment(spark) -> DataFrame:
     """One row about where a run took place: versions, platform, cores, time."""
     import platform

@@ -79,6 +79,67 @@ def rule_loading_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.flatten_rules(p.select(text.alias("text"))).select("ref", "target", "value", "value_min_property", "value_min_offset", "value_max_property", "value_max_offset")
 
 
+def io_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation tasks written as JSON and loaded: annotations, results and choices of each."""
+    folder = _folder(spark)
+    table(spark, sf_dir, "sample_tasks").distinct().drop("exported_at").write.json(folder)
+    tasks = files.read_tasks(spark, folder, lines=True)
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    results = F.flatten(F.transform("annotations", lambda a: F.coalesce(a["result"], F.array().cast(files._RESULT))))
+    return tasks.select("id", F.col("data.section_ref").alias("section_ref"), count(F.col("annotations")).alias("n_annotations"), count(results).alias("n_results"))
+
+
+def io_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts in an object with a list of them, as a service hands them out, loaded by status."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "sample_rule_drafts").select("id", "status", "source_snippet", "original_proposed_rule").distinct()
+    rows.select(F.array(F.struct("*")).alias("drafts")).write.json(folder)
+    loaded = files.read_drafts(spark, folder, status="edited", lines=True)
+    return loaded.select("id", "source_snippet", F.col("original_proposed_rule.check_value").alias("check_value"), F.col("original_proposed_rule.value_min").alias("value_min"))
+
+
+def io_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a tool and a reviewer, written and loaded."""
+    folder = _folder(spark)
+    said = F.when(F.col("o_orderstatus") == "F", "FAIL").when(F.col("o_orderstatus") == "O", "PASS")
+    table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("element_id"), F.col("o_orderpriority").alias("check_id"), said.alias("tool_verdict"), F.lit(1).alias("count")).write.json(folder)
+    return files.read_findings(spark, folder, lines=True).groupBy("check_id", "tool_verdict").agg(F.sum("count").alias("n"))
+
+
+def io_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grounding index written and read again: the terms of each clause with their scores."""
+    folder = _folder(spark)
+    index = G.grounding(_nodes(spark, sf_dir), _edges(spark, sf_dir, refs=True))
+    sinks.write_grounding(index, folder)
+    back = files.read_grounding(spark, folder, index.schema)
+    shown = lambda c: F.array_join(F.transform(F.coalesce(c, F.array().cast(index.schema[c].dataType)), lambda e: F.concat(e["uri"], F.lit(":"), F.round(e["score"], 2), F.lit(":"), e["source"])), ",").alias(c)
+    return back.select("id", "ref", shown("classes"), shown("properties"))
+
+
+def status_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers of a service: whether each status is one of those expected."""
+    from clauseloom.operators import runs as R
+
+    code = F.when(F.col("o_orderkey") % 7 == 0, 404).when(F.col("o_orderkey") % 11 == 0, 500).when(F.col("o_orderkey") % 13 != 0, 200)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("label"), code.alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit(404), F.lit(200))).otherwise(F.array(F.lit(200))).alias("expected"), F.col("o_orderpriority").alias("text"))
+    return R.status_checks(rows)
+
+
+def simulated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clauseloom.operators.judging import simulated_candidates as simulate
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("property_name"))
+    return simulate(rows, "p_partkey", 0.1, 42)
+
+
+def limited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as chunks: one model gets the first hundred, the other all."""
+    from clauseloom.operators.documents import limited_chunks as limited
+
+    limits = spark.createDataFrame([("small", 100), ("large", None)], "model STRING, limit INT")
+    return limited(table(spark, sf_dir, "part").select("p_brand", "p_partkey"), limits, ["p_brand", "p_partkey"]).select("model", "p_partkey")
+
+
 def clause_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey") % 3
@@ -99,9 +160,12 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("value_sum", 2).alias("value_sum"))
 
 
-QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, rule_loading, rule_loading_nested, clause_index, page_ranges, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, rule_loading, rule_loading_nested, io_tasks, io_drafts, io_findings, io_grounding, status_checks, simulated_candidates, limited_chunks, clause_index, page_ranges, stream_event_windows)}
 
 from clauseloom.plans.graph_queries import _W  # noqa: E402
+from clauseloom.plans.graph_queries import ORACLE_SQL as _GRAPH_SQL  # noqa: E402
+
+GROUNDING = _GRAPH_SQL["graph_grounding"]
 
 ORACLE_SQL = {
     "io_graph": _W + """SELECT 'node' AS what, 'clause' AS kind, CAST(count(*) AS BIGINT) AS n FROM part UNION ALL SELECT 'node', CASE WHEN s_suppkey % 2 = 0 THEN 'class' ELSE 'property' END, count(*) FROM supplier GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM e GROUP BY 2
@@ -112,6 +176,17 @@ ORACLE_SQL = {
     "rule_loading_nested": """SELECT CASE WHEN p_partkey % 6 = 4 THEN '8.1' ELSE concat('9.', p_partkey) END AS ref, CASE WHEN p_partkey % 6 < 4 THEN 'IfcDoor' END AS target,
  CASE WHEN p_partkey % 6 IN (0, 2, 4, 5) THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 6 = 3 THEN 'Rise' END AS value_min_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(p_size AS DOUBLE) END AS value_min_offset,
  CASE WHEN p_partkey % 6 = 3 THEN 'Run' END AS value_max_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(-1.5 AS DOUBLE) END AS value_max_offset FROM part""",
+    "io_tasks": """WITH t AS (SELECT DISTINCT id, data, annotations, predictions FROM sample_tasks) SELECT id, data.section_ref AS section_ref, CAST(coalesce(len(annotations), 0) AS INTEGER) AS n_annotations,
+ CAST(coalesce(list_sum(list_transform(annotations, lambda a: coalesce(len(a.result), 0))), 0) AS INTEGER) AS n_results FROM t""",
+    "io_drafts": "SELECT DISTINCT id, source_snippet, original_proposed_rule.check_value AS check_value, original_proposed_rule.value_min AS value_min FROM sample_rule_drafts WHERE status = 'edited'",
+    "io_findings": "SELECT o_orderpriority AS check_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' END AS tool_verdict, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL",
+    "io_grounding": GROUNDING.replace(", CASE WHEN p_partkey % 4 = 0 THEN 'shall' END AS modality,", "", 1).split(" CASE WHEN p_partkey % 10 < 3 AND n.t", 1)[0].rstrip() + " FROM part LEFT JOIN g a ON a.src" + GROUNDING.split(" FROM part LEFT JOIN g a ON a.src", 1)[1],
+    "status_checks": """WITH s AS (SELECT o_orderkey AS label, CASE WHEN o_orderkey % 7 = 0 THEN 404 WHEN o_orderkey % 11 = 0 THEN 500 WHEN o_orderkey % 13 <> 0 THEN 200 END AS c, o_orderpriority AS t FROM orders),
+ p AS (SELECT *, coalesce(c = 200 OR (label % 2 = 0 AND c = 404), false) AS ok FROM s)
+ SELECT label, ok AS passed, CASE WHEN NOT ok THEN concat('expected ', CASE WHEN label % 2 = 0 THEN '200 or 404' ELSE '200' END, ', got ', coalesce(CAST(c AS VARCHAR), 'none'), ': ', t) END AS detail FROM p""",
+    "simulated_candidates": """WITH h AS (SELECT *, CAST(concat('0x', substr(md5(concat(p_partkey, ':42')), 1, 8)) AS BIGINT) / 4294967296.0 < 0.1 AS wrong FROM part)
+ SELECT p_partkey, CASE WHEN wrong THEN concat(p_brand, '_alt') ELSE p_brand END AS property_name, NOT wrong AS is_match FROM h""",
+    "limited_chunks": "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_partkey) AS r FROM part) SELECT 'small' AS model, p_partkey FROM r WHERE r <= 100 UNION ALL SELECT 'large', p_partkey FROM r",
     "clause_index": "SELECT p_partkey AS ord, CASE p_partkey % 3 WHEN 0 THEN concat('9.', p_partkey, '.(2)') ELSE concat('Table under 9.', p_partkey) END AS ref, p_name AS text FROM part WHERE p_partkey % 3 < 2",
     "page_ranges": "SELECT p_partkey, f AS first, least(f + 19, p_size) AS last FROM (SELECT p_partkey, p_size, CAST(unnest(range(1, p_size + 1, 20)) AS INTEGER) AS f FROM part)",
     "stream_event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(round(sum(value), 4), 2) AS value_sum FROM events GROUP BY 1, 2",

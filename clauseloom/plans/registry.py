@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 _NAMES = ["text_queries", "unit_queries", "nested_queries", "stat_queries", "document_queries", "graph_queries", "match_queries", "label_queries", "run_queries", "judge_queries", "io_queries"]
-_MODULES = [importlib.import_module(f"clauseloom.plans.{n}") for n in _NAMES if importlib.util.find_spec(f"clauseloom.plans.{n}")]
+_MODULES = [importlib.import_module(f"clauseloom.plans.{n}") for n in _NAMES]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}
 FLAGSHIP = QUERIES["clause_profile"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import stats
 from clauseloom.plans.text_queries import wilson_sql
+from clauseloom.operators.ordered import interpolated_percentiles
 from clauseloom.tables import table
 
 
@@ -90,14 +91,29 @@ def severity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeats_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact median and quartiles of a benchmark's repeats per scenario and level."""
     rows = table(spark, sf_dir, "halo_benchmark_raw_repeats").select("run_id", "scenario", "lod", "total_s").distinct().where((F.col("total_s") >= 0) & ~F.isnan("total_s"))
-    q = lambda p: F.round(F.percentile("total_s", F.lit(p)), 6)
-    return rows.groupBy("scenario", "lod").agg(F.count(F.lit(1)).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    at = {"median": 0.5, "q1": 0.25, "q3": 0.75}
+    return interpolated_percentiles(rows, ["scenario", "lod"], "total_s", at).select("scenario", "lod", "n", *[F.round(n, 6).alias(n) for n in at])
+
+
+def fleiss_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of ratings of which every fourth line lacks one; the number of raters is that of each group's first item."""
+    bands = F.array(*[F.when(F.col(c) < low, "low").when(F.col(c) < high, "mid").otherwise("high") for c, low, high in (("l_quantity", 15, 35), ("l_extendedprice", 25000, 55000), ("l_discount", 0.03, 0.07))])
+    kept = F.when((F.col("l_linenumber") + F.col("l_orderkey")) % 4 == 0, F.slice(bands, 1, 2)).otherwise(bands)
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.explode(kept).alias("r"))
+    out = stats.fleiss_kappa_of_first(rows, ["l_orderkey", "l_linenumber"], "r", ["l_returnflag"])
+    return out.select("l_returnflag", "n_items", "raters", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+def level_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of each line number as a share of those of line 1, by shipping mode."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.sum("l_quantity").alias("quantity"))
+    return stats.ratio_to(sums, ["l_returnflag"], "l_linenumber", 1, "quantity").select("l_returnflag", "l_linenumber", F.round("ratio", 6).alias("ratio"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_by_group, wilson_grouped, cohen_kappa, fleiss_kappa, correlations, draw_stability, threshold_sweep, bootstrap_poisson, bootstrap_indexed, severity_shares, repeats_median,
+        confusion_by_group, wilson_grouped, cohen_kappa, fleiss_kappa, correlations, draw_stability, threshold_sweep, bootstrap_poisson, bootstrap_indexed, severity_shares, repeats_median, fleiss_first, level_ratios,
     )
 }
 
@@ -145,6 +161,13 @@ ORACLE_SQL = {
  d AS (SELECT n, b, p, ((b * 7919 + p * 104729 + b * p * 31) % 1000003) % n AS idx FROM (SELECT DISTINCT n FROM r), range(100) AS x(b), range(1000) AS y(p) WHERE p < n),
  s AS (SELECT s_nationkey, b, avg(s_acctbal) AS stat FROM r JOIN d ON r.n = d.n AND r.pos = d.idx GROUP BY ALL), o AS (SELECT s_nationkey, list_sort(list(stat)) AS a FROM s GROUP BY 1)
  SELECT s_nationkey, round(m, 4) AS estimate, round(a[3], 4) AS lower, round(a[98], 4) AS upper FROM o JOIN (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier GROUP BY 1) USING (s_nationkey)""",
+    "fleiss_first": _R + """, l AS (SELECT l_returnflag, l_orderkey, l_linenumber, unnest(CASE WHEN (l_linenumber + l_orderkey) % 4 = 0 THEN [r1, r2] ELSE [r1, r2, r3] END) AS g FROM r),
+ c AS (SELECT l_returnflag, l_orderkey, l_linenumber, g, count(*) AS n FROM l GROUP BY ALL), i AS (SELECT l_returnflag, l_orderkey, l_linenumber, sum(n) AS m, sum(n * n) AS s FROM c GROUP BY ALL),
+ o AS (SELECT l_returnflag, count(*) AS n_items, arg_min(m, l_orderkey * 100 + l_linenumber) AS raters, avg(s) AS s FROM i GROUP BY 1), e AS (SELECT l_returnflag, sum((k * 1.0 / (n_items * raters)) * (k * 1.0 / (n_items * raters))) AS e
+ FROM (SELECT l_returnflag, g, sum(n) AS k FROM c GROUP BY ALL) JOIN o USING (l_returnflag) GROUP BY 1), p AS (SELECT l_returnflag, n_items, raters, (s - raters) * 1.0 / (raters * (raters - 1)) AS o, e FROM o JOIN e USING (l_returnflag))
+ SELECT l_returnflag, CAST(n_items AS BIGINT) AS n_items, CAST(raters AS BIGINT) AS raters, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa FROM p""",
+    "level_ratios": """WITH s AS (SELECT l_returnflag, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag, q AS b FROM s WHERE l_linenumber = 1)
+ SELECT l_returnflag, l_linenumber, round(q * 1.0 / b, 6) AS ratio FROM s LEFT JOIN b USING (l_returnflag)""",
     "severity_shares": """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'all', o_orderpriority, count(*) FROM orders GROUP BY ALL)
  SELECT o_orderstatus, o_orderpriority, CAST(n AS BIGINT) AS n, round(n * 1.0 / sum(n) OVER (PARTITION BY o_orderstatus), 6) AS share FROM c""",
     "repeats_median": """SELECT scenario, lod, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(total_s, 0.5), 6) AS median, round(quantile_cont(total_s, 0.25), 6) AS q1, round(quantile_cont(total_s, 0.75), 6) AS q3

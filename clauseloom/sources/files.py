@@ -135,6 +135,45 @@ def read_queue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return reader.json(path, multiLine=True) if path.rstrip("/").endswith(".json") else reader.csv(path, header=True, multiLine=True, escape='"')
 
 
+_VALUE = "STRUCT<start: INT, end: INT, text: STRING, labels: ARRAY<STRING>, choices: ARRAY<STRING>>"
+_RESULT = f"ARRAY<STRUCT<id: STRING, from_name: STRING, to_name: STRING, type: STRING, value: {_VALUE}>>"
+_META = "STRUCT<element_id: STRING, tag: STRING, level: STRING, section_number: STRING, section_name: STRING, section_path: ARRAY<STRING>, superseded: STRING>"
+TASK = (
+    f"id STRING, data STRUCT<section_ref: STRING, text: STRING, code: STRING, clause_id: STRING, meta: {_META}>, "
+    f"annotations ARRAY<STRUCT<id: BIGINT, completed_by: INT, annotator_role: STRING, result: {_RESULT}>>, predictions ARRAY<STRUCT<model_version: STRING, result: {_RESULT}>>"
+)
+_BODY = "STRUCT<" + ", ".join(
+    f"{n}: DOUBLE" if n in ("value_min", "value_max", "value_min_offset", "value_max_offset") else f"{n}: STRING"
+    for n in "rule_type target_ifc_class property_set property_name operator check_value value_min value_max unit value_min_property value_min_offset value_max_property value_max_offset severity applies_when overridden_by description".split()
+) + ">"
+DRAFT = f"id BIGINT, status STRING, source_snippet STRING, clause STRUCT<clause_id: STRING>, original_proposed_rule {_BODY}, proposed_rule {_BODY}"
+FINDING = "element_id STRING, check_id STRING, tool_verdict STRING, human_verdict STRING, count BIGINT"
+
+
+def read_tasks(spark: SparkSession, path: str, lines: bool = False, schema: str = TASK) -> DataFrame:
+    """Annotation tasks of JSON files, each a list of tasks or a single one, or with ``lines`` a task a line. Numeric ids become text."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
+
+
+def read_drafts(spark: SparkSession, path: str, status: str | None = None, lines: bool = False, schema: str = DRAFT) -> DataFrame:
+    """Rule drafts of JSON files: a list of drafts, one draft, or an object with a list ``drafts``; of one ``status`` if given."""
+    fields = [f.name for f in T.StructType.fromDDL(schema).fields]
+    listed = "drafts ARRAY<STRUCT<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields) + ">>"
+    raw = spark.read.schema(f"{schema}, {listed}").json(path, multiLine=not lines)
+    rows = raw.select(F.explode(F.coalesce("drafts", F.array(F.struct(*fields)))).alias("d")).select("d.*")
+    return rows if status is None else rows.where(F.col("status") == status)
+
+
+def read_findings(spark: SparkSession, path: str, lines: bool = False, schema: str = FINDING) -> DataFrame:
+    """Findings of JSON files, each a list of findings or a single one."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
+
+
+def read_grounding(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A grounding index as the sink wrote it."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Results of files named <eval>_<run>.json with their run id."""
     kind = "eval_id STRING, tier INT, status STRING, passed INT, failed INT, total INT, score DOUBLE, duration_s DOUBLE, details ARRAY<STRUCT<label: STRING, passed: BOOLEAN>>"

@@ -38,7 +38,12 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Node and edge rows as JSON lines under ``path``, and GraphML text ordered by part."""
     nodes.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/edges")
-    graphml_rows(nodes, edges).orderBy("part").select("value").write.mode("overwrite").text(f"{path}/graphml")
+    graphml_rows(nodes, edges).orderBy("part", "value").select("value").write.mode("overwrite").text(f"{path}/graphml")
+
+
+def write_grounding(grounding: DataFrame, path: str) -> None:
+    """The grounding index: a JSON object a line, with the clause's id and all it is grounded in."""
+    grounding.write.mode("overwrite").json(path)
 
 
 def write_queue(rows: DataFrame, path: str) -> None:
@@ -65,6 +70,16 @@ def manifest(results: DataFrame, path: str, run_id: str) -> None:
     row.write.mode("overwrite").json(path)
 
 
+def report(title: str, sections: dict[str, DataFrame], notes: dict[str, str] | None = None, limit: int = 1000) -> str:
+    """A Markdown report: a title, then each section's note and table, in order."""
+    body = []
+    for name, rows in sections.items():
+        heading, rest = markdown(rows, name, limit).split("\n", 1)
+        note = (notes or {}).get(name)
+        body.append(f"{heading}\n\n{note}\n{rest}" if note else f"{heading}\n{rest}")
+    return "\n".join([f"# {title}", "", *body])
+
+
 def markdown(table: DataFrame, title: str, limit: int = 1000) -> str:
     """A small result as a Markdown table; more than ``limit`` rows are an error, as a report is for people."""
     rows = table.limit(limit + 1).collect()

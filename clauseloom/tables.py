@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: str | None = Non
 
 
 def distinct_by(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per key. Re-delivered rows are exact copies, so any copy will do.
+    """One row per key. Re-delivered rows are exact copies, so any copy will do; of rows that differ, which one is kept is not defined.
 
     ``first`` is combined before the shuffle: a group of copies leaves each map
     task as one row, however large it is. Rows with a null key form one group.

@@ -342,3 +342,46 @@ def test_rules_all_under_one_number_are_matched_as_in_order(spark):
                 free.discard(e[0])
                 break
     assert pairs == expected
+
+
+def test_json_files_of_lists_and_single_objects(spark, tmp_path):
+    import json
+
+    task = lambda k: {"id": k, "data": {"section_ref": "9.8.1", "meta": {"superseded": None}}, "annotations": [{"id": 7, "completed_by": 1, "result": [{"id": "r", "type": "choices", "value": {"choices": ["A"]}}]}]}
+    (tmp_path / "tasks").mkdir()
+    (tmp_path / "tasks" / "list.json").write_text(json.dumps([task(1), task("b")], indent=1))
+    (tmp_path / "tasks" / "one.json").write_text(json.dumps(task(3), indent=1))
+    tasks = files.read_tasks(spark, str(tmp_path / "tasks"))
+    assert sorted(r[0] for r in tasks.select("id").collect()) == ["1", "3", "b"]
+    assert tasks.select(F.col("annotations")[0]["result"][0]["value"]["choices"][0]).distinct().first()[0] == "A"
+    (tmp_path / "drafts").mkdir()
+    draft = lambda k, s: {"id": k, "status": s, "original_proposed_rule": {"check_value": "900", "value_min": 1.5}}
+    (tmp_path / "drafts" / "a.json").write_text(json.dumps([draft(1, "edited"), draft(2, "new")]))
+    (tmp_path / "drafts" / "b.json").write_text(json.dumps({"drafts": [draft(3, "edited")]}, indent=1))
+    (tmp_path / "drafts" / "c.json").write_text(json.dumps(draft(4, "edited")))
+    assert sorted(r[0] for r in files.read_drafts(spark, str(tmp_path / "drafts"), status="edited").select("id").collect()) == [1, 3, 4]
+    (tmp_path / "findings.json").write_text(json.dumps([{"element_id": "e", "tool_verdict": "PASS", "human_verdict": "PASS", "count": 2}]))
+    assert files.read_findings(spark, str(tmp_path / "findings.json")).first()["count"] == 2
+
+
+def test_report_and_snapshot(spark):
+    table = spark.createDataFrame([("a", 0.5), (None, 1.0)], "k STRING, v DOUBLE")
+    text = sinks.report("Scores", {"First": table, "Empty": table.where("false")}, {"First": "What it says."})
+    assert text.startswith("# Scores\n\n## First\n\nWhat it says.\n\n| k | v |") and "## Empty" in text and "| a | 0.5 |" in text
+    row = runs.snapshot(spark, "/nowhere").first()
+    assert row["processors"] >= 1 and row["commit"] is None and row["changed"] is None
+
+
+def test_running_counts_and_percentiles_of_hot_groups(spark):
+    from clauseloom.operators import ordered
+
+    rng = random.Random(2)
+    data = [("hot", float(rng.randint(0, 40))) for _ in range(900)] + [("b", 1.0), ("b", 2.0), (None, 5.0), ("c", None), ("c", float("nan"))]
+    df = spark.createDataFrame(data, "g STRING, v DOUBLE")
+    got = {r["g"]: r for r in ordered.interpolated_percentiles(df, ["g"], "v", {"m": 0.5, "q": 0.9, "low": 0.0, "high": 1.0}).collect()}
+    values = sorted(v for g, v in data if g == "hot")
+    at = lambda p: values[int(p * 899)] * (1 - p * 899 % 1) + values[min(899, int(p * 899) + 1)] * (p * 899 % 1)
+    assert got["hot"]["m"] == pytest.approx(at(0.5)) and got["hot"]["q"] == pytest.approx(at(0.9)) and (got["hot"]["low"], got["hot"]["high"]) == (values[0], values[-1])
+    assert got["b"]["m"] == 1.5 and got[None]["m"] == 5.0 and "c" not in got and got["hot"]["n"] == 900
+    ranks = {r["v"]: r["r"] for r in ordered.average_ranks(df.where("g = 'hot'").select("v"), [], "v", "r").collect()}
+    assert all(ranks[v] == pytest.approx(values.index(v) + 1 + (values.count(v) - 1) / 2) for v in set(values))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
@@ -35,18 +35,33 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BREAK = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 
 
-def encoder(name: str = VOCABULARY, folder: str = TOKENIZERS):
-    """The tokenizer of a rank file; kept by the worker process for all its tasks."""
+def encoder(name: str = VOCABULARY, folder: str = TOKENIZERS, sent=None):
+    """The tokenizer of a rank file, from ``sent`` (its broadcast bytes) or the folder; kept by the process for all its tasks."""
     import tiktoken
 
     kept = sys.__dict__.setdefault("_clauseloom_encoders", {})
     if (name, folder) not in kept:
-        with open(f"{folder}/{name}.tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        data = _rank_file(name, folder) if sent is None else sent.value
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
         kept[name, folder] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return kept[name, folder]
 
 
+def _rank_file(name: str, folder: str) -> bytes:
+    with open(f"{folder}/{name}.tiktoken", "rb") as file:
+        return file.read()
+
+
+def _sent_ranks(name: str, folder: str):
+    """The rank file, read by the driver and sent to the executors once a session; some megabytes, whatever the corpus. Executors need no folder of their own."""
+    context = SparkSession.active().sparkContext
+    kept = sys.__dict__.setdefault("_clauseloom_rank_files", {})
+    key = (context.applicationId, name, folder)
+    if key not in kept:
+        kept[key] = context.broadcast(_rank_file(name, folder))
+    return kept[key]
+
+
 def _cut_ids(enc, ids: list[int], size: int, from_end: bool) -> int:
     """Number of tokens at one end of ``ids`` that spell exactly ``size`` bytes."""
     count = length = 0
@@ -109,9 +124,11 @@ def decode(enc, ids: list[int]) -> str:
 def token_ids(text: Column, name: str = VOCABULARY, folder: str = TOKENIZERS) -> Column:
     """ARRAY<INT> of the ids of whole texts, without special tokens; null and empty texts give an empty array."""
 
+    sent = _sent_ranks(name, folder)
+
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(name, folder)
+        enc = encoder(name, folder, sent)
         for texts in batches:
             found = [encode(enc, t.as_py() or "") for t in texts]
             ends = np.zeros(len(found) + 1, dtype=np.int32)
@@ -125,9 +142,11 @@ def token_ids(text: Column, name: str = VOCABULARY, folder: str = TOKENIZERS) ->
 def token_count(text: Column, name: str = VOCABULARY, folder: str = TOKENIZERS) -> Column:
     """Number of tokens of whole texts; 0 for null and empty ones."""
 
+    sent = _sent_ranks(name, folder)
+
     @F.arrow_udf("int")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(name, folder)
+        enc = encoder(name, folder, sent)
         for texts in batches:
             yield pa.array([len(encode(enc, t.as_py() or "")) for t in texts], type=pa.int32())
 
@@ -137,9 +156,11 @@ def token_count(text: Column, name: str = VOCABULARY, folder: str = TOKENIZERS)
 def token_texts(ids: Column, name: str = VOCABULARY, folder: str = TOKENIZERS) -> Column:
     """The texts of arrays of ids; null for null."""
 
+    sent = _sent_ranks(name, folder)
+
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(name, folder)
+        enc = encoder(name, folder, sent)
         for batch in batches:
             yield pa.array([None if x is None else decode(enc, x) for x in batch.to_pylist()], type=pa.string())
 

@@ -226,6 +226,11 @@ _TFIDF = """WITH d AS (SELECT concat('d', doc_id) AS id, 0 AS side, coalesce(tex
  s AS (SELECT * FROM k UNION ALL SELECT c, t, 0.0 FROM f WHERE r <= miss) """
 ORACLE_SQL = {
     "graph_borderline": _W + "SELECT src, dst, key, kind, composite_score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY composite_score DESC, key) AS r FROM e WHERE composite_score BETWEEN 0.15 AND 0.45) WHERE r <= 2",
+    "graph_tasks": _W + r""", b AS (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY composite_score DESC, key) AS r FROM e WHERE composite_score BETWEEN 0.15 AND 0.45),
+ o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, r) - 1 AS i FROM b WHERE r <= 5),
+ l AS (SELECT src, p, count(*) AS n, string_agg(concat('[', i, '] (', CASE WHEN kind = 'candidate_class_match' THEN 'class' ELSE 'property' END, ', score ', printf('%.3f', composite_score), ') ', s_name, ' | S', s, ' | Supplier of nation ', s_nationkey), chr(10) ORDER BY i) AS lines
+  FROM o JOIN supplier ON s_suppkey = s GROUP BY 1, 2)
+ SELECT src, CAST(n AS INTEGER) AS n, concat('Clause ', p, ': ', p_name, chr(10), p_type, chr(10), chr(10), 'Which of these terms does the clause speak of? Answer as JSON {"results": [{"index", "verdict", "confidence", "reason"}]}.', chr(10), lines) AS prompt FROM l JOIN part ON p_partkey = p""",
     "reply_parse": """SELECT p_partkey, i AS index, CASE i WHEN 0 THEN 'correct' ELSE 'uncertain' END AS verdict, CASE i WHEN 0 THEN (p_partkey % 9) / 10.0 ELSE 0 END AS confidence, CASE i WHEN 0 THEN 'fits' ELSE '' END AS reason FROM part, (VALUES (0), (1)) AS v(i) WHERE p_partkey % 4 < 3""",
     "graph_verdicts": _W + "SELECT key, CASE WHEN key % 3 = 0 THEN 'correct' ELSE llm_verdict END AS llm_verdict, CASE WHEN key % 3 = 0 THEN 0.8765 ELSE llm_confidence END AS llm_confidence, CASE WHEN key % 3 = 0 THEN 'ok' END AS llm_reason, CASE WHEN key % 3 = 0 THEN 'judge-1' END AS llm_model FROM e",
     "graph_drop_rejected": _W + "SELECT src, dst, key, llm_verdict FROM e WHERE llm_verdict IS NULL OR llm_verdict <> 'incorrect'",

@@ -54,7 +54,7 @@ def tier_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draft_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Creation times of drafts in their several notations, as one."""
     rows = table(spark, sf_dir, "sample_rule_drafts").select("id", "created_at").distinct()
-    return rows.select("id", R.run_time(F.col("created_at")).alias("created"))
+    return rows.select("id", F.date_format(R.run_time(F.col("created_at")), "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 def engine_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,8 @@ ORACLE_SQL = {
   FROM r a LEFT JOIN r b ON a.eval_id = b.eval_id AND a.y = b.y + 1)
  SELECT eval_id, round(delta, 6) AS score_delta, round(ratio, 6) AS duration_ratio, CASE WHEN has THEN array_to_string(reg, ',') END AS regressed_checks, array_to_string(imp, ',') AS improved_checks, coalesce(delta < -0.05, false) OR coalesce(bs > 0.05 AND ratio > 1.5, false) OR (has AND len(reg) > 0) AS regressed FROM p""",
     "latest_runs": """WITH r AS (SELECT DISTINCT concat(eval_id, '/', coalesce(CAST(tier AS VARCHAR), '')) AS eval_id, run_id, status, score FROM score_arch_engines) SELECT eval_id, max(run_id) AS run_id, max_by(status, run_id) AS status, arg_max_null(score, run_id) AS score FROM r GROUP BY 1""",
+    "draft_times": r"""WITH r AS (SELECT DISTINCT id, created_at AS t FROM sample_rule_drafts), p AS (SELECT id, t, CASE WHEN regexp_full_match(t, '\d{8}T\d{6}Z') THEN strptime(t, '%Y%m%dT%H%M%SZ') WHEN regexp_matches(t, '^\d{4}-') THEN strptime(substr(t, 1, 19), '%Y-%m-%dT%H:%M:%S') END AS stated,
+  CASE WHEN regexp_matches(t, '[+]\d\d:\d\d$') THEN CAST(substr(right(t, 5), 1, 2) AS INTEGER) ELSE 0 END AS ahead FROM r) SELECT id, strftime(stated - to_hours(ahead), '%Y-%m-%d %H:%M:%S') AS created FROM p""",
     "known_evals": "SELECT o_orderpriority AS eval_id FROM orders UNION SELECT c_mktsegment FROM customer",
     "tier_selection": "SELECT p_partkey, p_size % 4 AS tier FROM part WHERE p_size % 4 <= 2 AND p_partkey % 5 <> 0",
     "engine_confusion": _CASES + _metrics_sql("SELECT check_type, " + _COUNT.format(t="ex = 'FAIL'", p="pr = 'FAIL'") + " FROM c WHERE check_type IS NOT NULL GROUP BY ROLLUP (check_type)", "check_type", ["accuracy", "accuracy_lower", "accuracy_upper", "recall", "precision", "f1"]),

@@ -228,6 +228,14 @@ ORACLE_SQL = {
     "paragraph_annotation": _WITH + """SELECT clause_id, n_deontics, n_conditions, 1 AS n_requirements, 1 AS n_cross_refs, n_dimensions, n_dependencies, n_ifc_hints, subject FROM c, (VALUES
  (0,1,2,2,1,2,'door'), (1,2,1,1,1,1,'Guards'), (2,1,1,1,1,1,'handrail'), (3,1,0,0,1,1,'ramp'), (4,2,0,1,0,1,'Windows'), (5,2,0,1,0,1,'detector'))
  AS v(t, n_deontics, n_conditions, n_dimensions, n_dependencies, n_ifc_hints, subject) WHERE k = t""",
+    "chunk_preamble": _WITH + r"""SELECT clause_id, concat('[NLP PRE-ANALYSIS - ', p_brand, ']', chr(10), replace(CASE k
+ WHEN 0 THEN concat('  Deontic: SHALL x1 (mandatory)\n  Cross-refs: ', sec, '\n  Dimensions: ', n, '.0 mm (min), ', p_size, '.0 m2\n  Conditions: "the floor area exceeds ', p_size, ' m2"\n  Exceptions: "permitted by Section ', sec, '"\n  Dependencies: exception: "except where permitted by Section ', sec, '."\n  IFC targets: IfcDoor, IfcSlab')
+ WHEN 1 THEN concat('  Deontic: SHALL NOT x1 (prohibited), SHALL x1 (mandatory)\n  Cross-refs: ', sec, '\n  Dimensions: ', n, '.0 mm (min)\n  Exceptions: "Article ', sec, ' applies"\n  Dependencies: exception: "unless Article ', sec, ' applies."\n  IFC targets: IfcRailing')
+ WHEN 2 THEN concat('  Deontic: SHOULD x1 (recommended)\n  Cross-refs: Table ', sec, '\n  Dimensions: ', n, '.0-', n + 150, '.0 mm (range)\n  Conditions: "Table ', sec, '"\n  Dependencies: subject_to: "subject to Table ', sec, '."\n  IFC targets: IfcRailing')
+ WHEN 3 THEN concat('  Deontic: MAY x1 (permitted)\n  Cross-refs: ', sec, '.(', 1 + p_size % 4, ')\n  Dependencies: override: "Notwithstanding Sentence ', sec, '.(', 1 + p_size % 4, '),"\n  IFC targets: IfcRamp')
+ WHEN 4 THEN concat('  Deontic: MUST NOT x1 (prohibited), MUST x1 (mandatory)\n  Cross-refs: ', sec, '\n  Dimensions: ', p_size, '.0 m2 (max)\n  IFC targets: IfcWindow')
+ ELSE concat('  Deontic: IS PERMITTED TO x1 (permitted), IS PERMITTED x1 (permitted)\n  Cross-refs: CAN/ULC-S', 500 + p_size, '\n  Dimensions: ', 30 + p_size, '.0 min (min)\n  IFC targets: IfcSensor') END, '\n', chr(10)), chr(10), '[END PRE-ANALYSIS]') AS preamble FROM c""",
+    "document_sentences": r"""SELECT doc_id, CAST(CASE WHEN text IS NULL OR regexp_full_match(text, '[\x{09}-\x{0d}\x{85}\p{Z}]*') THEN 0 ELSE 1 + len(regexp_extract_all(text, '\.[\x{09}-\x{0d}\x{85}\p{Z}]+[A-Z]')) END AS INTEGER) AS n_sentences FROM documents""",
     "clause_profile": _WITH + f""", g AS (SELECT p_brand, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE k IN (0,1,4)) AS BIGINT) AS n_mandatory, CAST(count(*) FILTER (WHERE k IN (0,1,5)) AS BIGINT) AS n_min,
  CAST(sum(CASE k WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END) AS BIGINT) AS n_dims FROM c GROUP BY p_brand)
  SELECT p_brand, n, n_mandatory, n_min, n_dims, n_mandatory AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, n - n_mandatory AS tn, {_LOW} AS share_lower, {_HIGH} AS share_upper,

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ERROR = 0.01
+#: Rows of the largest group up to which groups are taken together before copies are told and counted.
+GROUP_ROWS = 200_000
 #: Added to a bucket so that it is positive: more than the bucket of any double at errors down to 1e-6.
 _SPAN = 1 << 29
 
@@ -41,20 +43,25 @@ def _same(columns: list[str]) -> list[Column]:
     return [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
 
 
-def sketch(df: DataFrame, by: list[str], values: list[str], error: float = ERROR, keep: Keep | None = None, once: str | None = None) -> DataFrame:
+def sketch(df: DataFrame, by: list[str], values: list[str], error: float = ERROR, keep: Keep | None = None, once: str | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Rows (by, metric, sign, bucket, n): the counts of all finite values of the columns ``values``.
 
     Null, NaN and infinite values are no measurements and count nowhere; ``keep``
     is a further condition on a value. Null keys form a group of their own.
     Exact copies of a row, with the same ``once``, count once: to find them only
-    the keys and buckets are shuffled. Counting happens before the shuffle, so a
-    group that holds a third of all rows leaves each task as some hundred
-    buckets.
+    the keys and buckets are shuffled. If no group has more than ``group_rows``
+    rows (one pass counts them), that shuffle goes by group and is the only one,
+    also for the percentiles; else copies are told by their whole rows and
+    counting happens before the next shuffle, so that a group that holds a third
+    of all rows leaves each task as some hundred buckets. The counts are the same.
     """
     base = _log_base(error)
     rows = df.select(*by, *([once] if once else []), *[_code(F.col(v).cast("double"), base, keep).alias(f"_{k}") for k, v in enumerate(values)])
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("code")) for k in range(len(values))])
-    long = (rows.distinct() if once else rows).select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*").where(F.col("code").isNotNull())
+    if once:
+        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if by else None
+        rows = (rows.repartition(*by) if largest is not None and largest <= group_rows else rows).distinct()
+    long = rows.select(*by, F.explode(pairs).alias("_p")).select(*by, "_p.*").where(F.col("code").isNotNull())
     counts = long.groupBy(*by, "k", "code").agg(F.count(F.lit(1)).alias("n"))
     names = F.array(*[F.lit(v) for v in values])
     bucket = F.when(F.col("code") == 0, F.lit(0)).otherwise(F.abs("code") - F.lit(_SPAN))

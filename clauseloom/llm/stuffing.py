@@ -30,8 +30,9 @@ _LINK_SIGNS = ("://", "www.", "](", "<a", "@")
 _SEPARATOR = re.compile(r"[|•·›»;>+/–—,、，-]")
 _STRONG = re.compile(r"\s*[|•·›»;]\s*|\s+[>+/–—-]\s+")
 _LIST = re.compile(r"\s*[|•·›»;]\s*|\s+[>+/–—-]\s+|,\s+|\s*,(?=#)|[、，]")
-_TAGS = re.compile(r"(?:[^#]{0,12})(?:[\s,]*#[^\s#,]{2,})+[\s,]*")
+_TAG = re.compile(r"#[^\s#,]{2,}")
 _DIGIT = re.compile(r"\d")
+_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*")
 _CODE = re.compile(r"(?:[A-Za-z]{2,5}|#)\.?[ #:.-]*\d{3,}")
 _DOTS = re.compile(r"\.{4,}|…{2,}")
 # letters of all scripts and their marks, in lower case and without the blocks of punctuation, signs and pictures
@@ -49,6 +50,13 @@ SHORT = 3
 TIED = 5
 #: Words from which even a unit with the form of a sentence needs short words.
 LONG = 25
+#: Words that go with a number at most where a unit is a value or a row of them.
+WORDS_A_VALUE = 20
+#: Words of a unit that page-wide keywords can make one of keywords; different units of that length that must share
+#: them, and so many more before what has the form of a sentence is doubted.
+BRIEF = 8
+SHARING = 3
+SHARING_FORMED = 5
 #: Times non-sentence shapes of a kind must come up on a page to count as repeated.
 REPEATED = 3
 #: Shapes that must hold the share of the page.
@@ -75,24 +83,28 @@ class Unit:
                 text = _LINK.sub(" ", text)
                 if sum(map(len, links)) * 2 >= self.size or len(_words(text)) < 4:
                     return "a"
-        if "#" in text and _TAGS.fullmatch(text):
+        if text.count("#") > 1 and sum(map(len, _TAG.findall(text))) * 2 >= len(text):
             return "h"
         self.words = words = _words(text)
         n = len(words)
-        if len(set(words)) <= n - 2 and stuffed(words):  # else no word comes three times
+        ended = text.rstrip(_CLOSING)[-1:] in _ENDS
+        self.formed = ended and (n >= 2 or _DIGIT.search(text) is not None) and not text.lstrip(_OPENING)[:1].islower()
+        if len(set(words)) <= n - 2 and stuffed(words, self.formed):  # else no word comes three times
             return "k"
         short = sum([len(w) <= SHORT for w in words])
         self.tied = short * 2 * TIED >= n and short > 0
-        ended = text.rstrip(_CLOSING)[-1:] in _ENDS
-        self.formed = ended and (n >= 2 or _DIGIT.search(text) is not None) and not text.lstrip(_OPENING)[:1].islower()
         if self.formed and (n < LONG or self.tied):
             return "s"
         if n >= 4 and short * TIED >= n and (n >= 6 or ended):
             return "s"
-        if not words or (_DIGIT.search(text) and not _CODE.fullmatch(text)) or _DOTS.search(text):
+        if not words or (len(_NUMBER.findall(text)) * WORDS_A_VALUE >= n and not _CODE.fullmatch(text)) or _DOTS.search(text):
             return "v"
         return "k" if n > 8 else "i"
 
+    @property
+    def brief(self) -> bool:
+        return self.kind in "iks" and 2 <= len(self.words) <= BRIEF and not _DIGIT.search(self.text)
+
     def shape(self) -> str:
         """The kind, the separator, half the number of words and the capitals, as ``i,1T``."""
         if self.kind != "i":
@@ -108,10 +120,15 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text) if text.isascii() or not _UNSPACED.search(text) else _WORD_OR_CHARACTER.findall(text)
 
 
-def stuffed(words: list[str]) -> bool:
-    """Whether one longer word comes up three times or more and makes up a quarter of a unit."""
-    top = max(Counter([w for w in words if len(w) > SHORT]).values(), default=0)
-    return top >= 3 and top * 4 >= len(words)
+def stuffed(words: list[str], formed: bool) -> bool:
+    """Whether one longer word comes three times and makes up a quarter of a unit; without the form of a sentence also if two make up half of the longer ones, or half of them are not new."""
+    longer = [w for w in words if len(w) > SHORT]
+    times = sorted(Counter(longer).values(), reverse=True)
+    if not times or times[0] < 3:
+        return False
+    if formed:
+        return times[0] * 4 >= len(words)
+    return times[0] * 4 >= len(words) or sum(times[:2]) * 2 >= len(longer) or len(longer) >= 12 and len(times) * 2 <= len(longer)
 
 
 def units(text: str) -> Iterator[tuple[str, str, int]]:
@@ -136,26 +153,36 @@ def units(text: str) -> Iterator[tuple[str, str, int]]:
 def listed(part: str, items: list[str]) -> bool:
     """Whether a unit is a list of short items and no sentence or row of values."""
     words = _words(part)
-    if len(words) > 6 * len(items):
-        return False
     tied = sum([len(w) <= SHORT for w in words]) * TIED >= len(words)
+    if len(words) > (8 if len(items) >= 8 else 6) * len(items):
+        return False
     if len(items) >= 8:
         return not (tied and part[-1:] in _ENDS and not part.lstrip(_OPENING)[:1].islower())
     return not tied and _DIGIT.search(part) is None
 
 
 def keywords(found: list[Unit]) -> set[str]:
-    """Words in half or more of the units that lack the form or the ties of sentences: longer ones, and with them short ones in nearly all units."""
-    loose = [u for u in found if u.kind in "ik" or (u.kind == "s" and not (u.formed and u.tied))]
-    n = sum(u.times for u in loose)
-    if n < REPEATED or sum(u.size * u.times for u in loose) * 10 < 3 * sum(u.size * u.times for u in found):
+    """Words that half of a page's different brief units have: longer ones, and with them short ones that nearly all have.
+
+    Equal units count once, so a sentence said again and again has no keywords;
+    units with numbers are not looked at.
+    """
+    brief = [u for u in found if u.brief]
+    if len(brief) < SHARING or sum([u.size * u.times for u in brief]) * 10 < 3 * sum([u.size * u.times for u in found]):
         return set()
     times: Counter[str] = Counter()
-    for u in loose:
-        for w in set(u.words):
-            times[w] += u.times
-    longer = {w for w, k in times.items() if k * 2 >= n and len(w) > SHORT}
-    return longer | {w for w, k in times.items() if k * 10 >= n * 9 and len(w) == SHORT} if longer else longer
+    for u in brief:
+        times.update(set(u.words))
+    longer = {w for w, k in times.items() if k * 2 >= len(brief) and len(w) > SHORT}
+    return longer | {w for w, k in times.items() if k * 10 >= len(brief) * 9 and len(w) == SHORT} if longer else longer
+
+
+def made_of(u: Unit, common: set[str], doubt: bool) -> bool:
+    """Whether a brief unit is made of keywords: a quarter of its words, or two fifths of a tied one with the form of a sentence, which must not begin with one."""
+    part = sum([w in common for w in u.words])
+    if u.formed and (not doubt or u.words[0] in common):
+        return False
+    return part * 5 >= len(u.words) * 2 if u.formed and u.tied else part * 4 >= len(u.words)
 
 
 def page(text: str | None) -> tuple[float, int, str]:
@@ -167,13 +194,10 @@ def page(text: str | None) -> tuple[float, int, str]:
     found = [Unit(*u, linked) for u in units(text)]
     common = keywords(found)
     if common:
+        doubt = sum([u.brief for u in found]) >= SHARING_FORMED
         for u in found:
-            if u.kind == "s" and len(u.words) <= 8:
-                part = sum([w in common for w in u.words])
-                if u.formed and u.tied:  # a sentence, unless it is short and the keywords are a third of it
-                    u.kind = "k" if len(u.words) <= 6 and part * 3 >= len(u.words) else "s"
-                elif part * 4 >= len(u.words):
-                    u.kind = "k"
+            if u.kind == "s" and u.brief and made_of(u, common, doubt):
+                u.kind = "k"
     sizes: Counter[str] = Counter()
     times: Counter[str] = Counter()
     for u in found:

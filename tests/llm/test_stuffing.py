@@ -18,6 +18,9 @@ PLAIN = {
     "checklist": "[ ] Exit doors open outwards\n[ ] Handrail on both sides of the stair\n[ ] Sign above the door is lit\n[ ] Landing is at least as wide as the stair",
     "contents": "Contents\nScope 3\nDefinitions 7\nMeans of egress 12\nGuards ...... 31\nIndex 90",
     "references": "[1] Smith, J., Fire safety of stairs, 2004.\n[2] Jones, K., Handrails and falls, 1999.\n[3] Brown, L., Exit widths, 2011.",
+    "one subject": "The curtain wall panel shall be tactile, and where the curtain wall panel meets a lintel the curtain wall panel shall be made of steel. The vestibule shall be clear, and where the vestibule meets a vestibule the vestibule shall be made of brick. " * 4,
+    "abbreviations": "* ok after re-measure (a maximum of 15-3/4 in. or more).\n> ok after re-measure (not less than 4⅛ in. or more).\n> ok after re-measure (exactly 1070 mm).\n> The label was re-run by two of us, see finding 41.",
+    "no end mark": "Jede Rampe muss eine lichte Breite von mindestens 105 mm haben.مخرج الطوارئ",
     "some links": "It was agreed to keep the width of the door as it is, see https://example.org/a for the minutes. " * 5,
 }
 STUFFED = {
@@ -26,6 +29,10 @@ STUFFED = {
     "Polish menu": "Strona główna | Koszyk | Zaloguj się | Kontakt | Regulamin | Promocje | Nowości | Wyprzedaż | Dostawa | Zwroty",
     "Russian keywords": "купить дверь дешево, дверь цена, дверь москва, дверь недорого, дверь доставка, купить дверь, дверь скидка, дверь акция, дверь отзывы",
     "Italian lines": "\n".join(f"porta {c} prezzo" for c in "Roma Milano Torino Napoli Genova Bari Bologna Pisa".split()),
+    "one word dressed as sentences": " ".join(f"{c} threshold {w}." for c, w in zip("Calford Linford Velwiby Venton Hulstow Fenrowby Torstead Othwick".split(), ["cost", "supplier", "custom", "quote", "sale", "wholesale", "deals", "online"])),
+    "phrases in a row": "palier pas cher puits de lumière devis gratuit puits de lumière promo palier promo " * 6,
+    "tags after a mark": "<|endoftext|>Tags: #balcon_devis_gratuit #palierpromo #couloirdevisgratuit #seuillivraisonrapide #couloir_promo",
+    "long items": " • ".join(f"top rated curtain wall panel in {c}" for c in "Calford Linford Velwiby Venton Hulstow Fenrowby Torstead Othwick Harford".split()),
     "keywords dressed as sentences": " ".join(f"{c} duct penetration {w}." for c, w in zip("Calford Linford Velwiby Venton Hulstow Fenrowby Torstead Othwick".split(), ["cost", "supplier", "for sale", "quote", "sale", "near me", "wholesale", "deals"])),
 }
 

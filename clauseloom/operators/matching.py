@@ -369,7 +369,7 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
 
     The index is the clause list of one document: words are joined, so the cost
     grows with the drafts times the clauses of that document that share a word
-    with them. Containment is tested on clauses that have the snippet's longest
+    with them. Containment is tested on clauses that have the snippet's rarest
     word only.
     """
     d = drafts.select("draft_id", "clause_id", F.coalesce("rule_id", F.lit("")).alias("rule_id"), strip(F.regexp_replace(F.coalesce("snippet", F.lit("")), r"(?U)\s+", " ")).alias("snippet"), F.coalesce("description", F.lit("")).alias("description"))
@@ -378,7 +378,7 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
     d = d.withColumns({"guess": F.when(F.col("rule_id").rlike(number), guess), "article": F.regexp_extract("rule_id", r"^\d+(?:\.\d+)+", 0)})
     words = lambda c: F.array_except(F.array_distinct(tokenize(F.col(c))), F.array(*[F.lit(w) for w in COMMON_WORDS]))
     i = index.select("ord", "ref", "text", R.normalize_ref(F.col("ref")).alias("nref"))
-    postings = i.select("ord", "ref", "text", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("w"))
+    postings = i.select("ord", "ref", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("w"))
     values = F.col("values") if "values" in drafts.columns else F.array().cast("array<double>")
     numbered = drafts.select("draft_id", values.alias("values")).join(d.where("guess IS NOT NULL"), "draft_id")
     chosen = _in_article(numbered.select("draft_id", "guess", F.regexp_extract("rule_id", number, 1).alias("art"), R.written_values(F.col("values")).alias("written"), words("description").alias("said")), i)
@@ -390,8 +390,12 @@ def resolve_clause(drafts: DataFrame, index: DataFrame) -> DataFrame:
         own = (F.col("article") != "") & F.col("ref").contains(F.col("article"))
         return shared.groupBy("draft_id").agg(F.min_by("ref", F.struct((-F.col("n")).alias("n"), (~own).alias("other"), "ord")).alias(out))
 
-    longest = short.withColumn("w", F.array_max(F.transform(tokenize(F.col("snippet")), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"])
-    holding = longest.join(postings, "w").where(F.col("text").contains(F.col("snippet"))).groupBy("draft_id").agg(F.min_by("ref", "ord").alias("held"))
+    # a clause that holds the snippet has its rarest word; texts are fetched for those clauses only
+    often = postings.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    said = short.select("draft_id", F.explode(F.array_distinct(tokenize(F.col("snippet")))).alias("w")).join(often, "w")
+    rarest = said.groupBy("draft_id").agg(F.min_by("w", F.struct("n", (-F.length("w")).alias("l"), "w")).alias("w"))
+    near = rarest.join(postings, "w").select("draft_id", "ord", "ref").join(i.select("ord", "text"), "ord").join(short.select("draft_id", "snippet"), "draft_id")
+    holding = near.where(F.col("text").contains(F.col("snippet"))).groupBy("draft_id").agg(F.min_by("ref", "ord").alias("held"))
     rows = d.join(chosen, "draft_id", "left").join(holding, "draft_id", "left").join(best(short, "snippet", "by_snippet"), "draft_id", "left").join(best(unsettled, "description", "by_description"), "draft_id", "left")
     text = lambda c: F.nullif(F.col(c), F.lit(""))
     steps = [("clause_id", text("clause_id")), ("rule_id", F.when(F.coalesce("_fits", F.lit(True)), F.col("guess"))), ("article", F.col("in_article")), ("snippet", F.col("held")), ("snippet_words", F.col("by_snippet")), ("description_words", F.col("by_description")), ("rule_id_text", text("rule_id"))]

@@ -188,14 +188,14 @@ def bootstrap(
     """
     alpha = (1 - confidence) / 2
     cumulative, steps, p = 0.0, [], math.exp(-1)
-    for k in range(8):  # quantiles of the Poisson distribution of mean 1
+    while 1 - cumulative > 2.0**-30:  # quantiles of the Poisson distribution of mean 1, as far as the hash can tell
         cumulative += p
         steps.append(cumulative)
-        p /= k + 1
+        p /= len(steps)
     drawn = df.withColumn("_b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     u = F.pmod(F.xxhash64(*key, "_b", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    stats = drawn.withColumn("_w", weight).groupBy(*by, "_b").agg(metric(F.col("_w")).alias("_stat")).where(F.col("_stat").isNotNull() & ~F.isnan("_stat"))
+    stats = drawn.withColumn("_w", weight).where("_w > 0").groupBy(*by, "_b").agg(metric(F.col("_w")).alias("_stat")).where(F.col("_stat").isNotNull() & ~F.isnan("_stat"))
     ordered = stats.groupBy(*by).agg(F.sort_array(F.collect_list("_stat")).alias("_all"))  # one number a resample
     n = F.size("_all")
     low, high = F.floor(n * alpha).cast("int"), F.least(F.floor(n * (1 - alpha)).cast("int"), n - 1)

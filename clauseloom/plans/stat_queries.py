@@ -65,7 +65,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the mean order value per priority; draws come from a hash, so there is no SQL form."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return stats.bootstrap(rows, ["o_orderpriority"], lambda w: F.sum(F.col("o_totalprice") * w) / F.sum(w * F.lit(1)), ["o_orderkey"], resamples=200)
+    return stats.bootstrap(rows, ["o_orderpriority"], lambda w: F.sum(F.col("o_totalprice") * w) / F.sum(w * F.lit(1)), ["o_orderkey"])
 
 
 def bootstrap_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def bootstrap_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "supplier").withColumn("pos", F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
     sizes = rows.groupBy("s_nationkey").count().select(F.col("count").alias("n")).distinct()
-    draws = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos"))
+    draws = sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("b")).select("n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("pos"))
     draws = draws.withColumn("idx", ((F.col("b") * 7919 + F.col("pos") * 104729 + F.col("b") * F.col("pos") * 31) % 1000003) % F.col("n"))
     return stats.bootstrap_indexed(rows, ["s_nationkey"], "pos", "s_acctbal", draws)
 
@@ -158,9 +158,9 @@ ORACLE_SQL = {
  round(CASE WHEN n > 1 THEN same / (n * (n - 1) / 2.0) ELSE 1 END, 6) AS self_consistency FROM s JOIN p USING (l_partkey)""",
     "threshold_sweep": _metrics_sql("SELECT l_returnflag, threshold, " + _COUNT.format(t="l_discount >= 0.05", p="l_quantity / 10 >= threshold") + " FROM lineitem, (VALUES (CAST(2 AS DOUBLE)), (3), (4), (5)) AS q(threshold) GROUP BY ALL", "l_returnflag, threshold", ["precision", "recall", "f1"]),
     "bootstrap_indexed": """WITH r AS (SELECT s_nationkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
- d AS (SELECT n, b, p, ((b * 7919 + p * 104729 + b * p * 31) % 1000003) % n AS idx FROM (SELECT DISTINCT n FROM r), range(100) AS x(b), range(1000) AS y(p) WHERE p < n),
+ d AS (SELECT n, b, p, ((b * 7919 + p * 104729 + b * p * 31) % 1000003) % n AS idx FROM (SELECT DISTINCT n FROM r), range(1000) AS x(b), range(1000) AS y(p) WHERE p < n),
  s AS (SELECT s_nationkey, b, avg(s_acctbal) AS stat FROM r JOIN d ON r.n = d.n AND r.pos = d.idx GROUP BY ALL), o AS (SELECT s_nationkey, list_sort(list(stat)) AS a FROM s GROUP BY 1)
- SELECT s_nationkey, round(m, 4) AS estimate, round(a[3], 4) AS lower, round(a[98], 4) AS upper FROM o JOIN (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier GROUP BY 1) USING (s_nationkey)""",
+ SELECT s_nationkey, round(m, 4) AS estimate, round(a[26], 4) AS lower, round(a[976], 4) AS upper FROM o JOIN (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier GROUP BY 1) USING (s_nationkey)""",
     "fleiss_first": _R + """, l AS (SELECT l_returnflag, l_orderkey, l_linenumber, unnest(CASE WHEN (l_linenumber + l_orderkey) % 4 = 0 THEN [r1, r2] ELSE [r1, r2, r3] END) AS g FROM r),
  c AS (SELECT l_returnflag, l_orderkey, l_linenumber, g, count(*) AS n FROM l GROUP BY ALL), i AS (SELECT l_returnflag, l_orderkey, l_linenumber, sum(n) AS m, sum(n * n) AS s FROM c GROUP BY ALL),
  o AS (SELECT l_returnflag, count(*) AS n_items, arg_min(m, l_orderkey * 100 + l_linenumber) AS raters, avg(s) AS s FROM i GROUP BY 1), e AS (SELECT l_returnflag, sum((k * 1.0 / (n_items * raters)) * (k * 1.0 / (n_items * raters))) AS e

@@ -187,14 +187,23 @@ def _section(key: str) -> Column:
     return F.sum(F.when(F.col("tag") == "heading", 1).otherwise(0)).over(W.partitionBy(key).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)).cast("int")
 
 
+#: Models that chunks may be limited for at once.
+MOST_MODELS = 1000
+
+
 def limited_chunks(chunk_rows: DataFrame, limits: DataFrame, order: list[str]) -> DataFrame:
     """The chunks each model is given: the first ``limit`` of all in order, or all where its limit is null or 0.
 
-    ``limits`` has model and limit. Chunks are numbered once, in ranges, so
-    that no task sorts them all.
+    ``limits`` has model and limit, for ``MOST_MODELS`` models at most. Chunks
+    are numbered once, in ranges, so that no task sorts them all.
     """
+    models = limits.select("model", F.coalesce("limit", F.lit(0)).cast("bigint").alias("limit")).limit(MOST_MODELS + 1).collect()
+    if len(models) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    wanted = F.array(*[F.struct(F.lit(m).cast("string").alias("model"), F.lit(n).alias("limit")) for m, n in models]).cast("array<struct<model: string, limit: bigint>>")
+    given = F.filter(wanted, lambda w: (w["limit"] == 0) | (F.col("_place") < w["limit"]))
     numbered = ordered_index(chunk_rows, order, "_place")
-    return limits.join(numbered, (F.coalesce("limit", F.lit(0)) == 0) | (F.col("_place") < F.col("limit"))).drop("_place", "limit")
+    return numbered.withColumn("model", F.explode(F.transform(given, lambda w: w["model"]))).drop("_place")
 
 
 def document_text(node_rows: DataFrame, key: str = "doc_id") -> DataFrame:

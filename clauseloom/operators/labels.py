@@ -13,8 +13,6 @@ STRENGTHS = ("MANDATORY", "PROHIBITED", "RECOMMENDED", "PERMITTED")
 CONDITIONS = ("APPLICABILITY", "EXCEPTION", "QUALIFICATION")
 # Operator of each dimension label.
 LABEL_OPERATORS = {"DIM_MIN": ">=", "DIM_MAX": "<=", "DIM_EXACT": "==", "DIM_RANGE": "between"}
-_NUM = r"\d{1,3}(?: \d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-_UNIT = r"(kN/m|kN|kPa|mm|m|°|degrees?|deg|persons?|%)(?![A-Za-z/])"
 
 
 def is_current(tasks: DataFrame) -> DataFrame:
@@ -150,7 +148,7 @@ def gold_rules(tasks: DataFrame) -> DataFrame:
     )
     rows = dims.join(chosen, dims["task_id"] == chosen["_t"], "left").drop("_t").join(scopes, (F.col("task_id") == F.col("_t")) & (F.col("dim") == F.col("_d")), "left")
 
-    relative = FLAGS + rf"\bits\s+([a-z]+)(?:\s+plus)?(?:\s+({_NUM})\s*(?:{_UNIT})?)?"
+    relative = FLAGS + rf"\bits\s+([a-z]+)(?:\s+plus)?(?:\s+({R.NUMBER})\s*(?:{R.UNIT})?)?"
     is_relative = F.col("span").rlike(relative)
     operator = R.lookup(LABEL_OPERATORS, F.col("label"))
     other = R.other_element_property(F.col("span"))

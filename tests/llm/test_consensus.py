@@ -18,8 +18,8 @@ def rounded(df):
 def test_tables_give_what_arrays_give(spark):
     votes = [("q", *v) for v in votes_of(5)[1]] + [("r", i, w, x) for i, w, x in votes_of(15)[1] if i < 60]
     df = spark.createDataFrame(votes * 2, KIND)
-    arrays = consensus.consensus(df, ["question", "item"], "question", rounds=3)
-    tables = consensus.consensus(df, ["question", "item"], "question", rounds=3, sent_annotators=0)
+    arrays = consensus.consensus(df, ["question", "item"], "question", rounds=2)
+    tables = consensus.consensus(df, ["question", "item"], "question", rounds=2, sent_annotators=0)
     for a, b in zip(arrays, tables):
         assert a.columns == b.columns and rounded(a) == rounded(b)
 
@@ -35,9 +35,8 @@ def test_settling_is_reported(spark):
     df = spark.createDataFrame([("q", *v) for v in votes_of(5)[1]], KIND)
     r = consensus.consensus(df, ["question", "item"], "question")[1].first()
     assert r["converged"] and 1 < r["rounds"] < 100
-    for sent in (0, 10):
-        short = consensus.consensus(df, ["question", "item"], "question", rounds=1, sent_annotators=sent)[1].first()
-        assert short["rounds"] == 1 and not short["converged"]
+    short = consensus.consensus(df, ["question", "item"], "question", rounds=1, sent_annotators=0)[1].first()
+    assert short["rounds"] == 1 and not short["converged"]
 
 
 def test_misspelt_labels_shift_no_weight(spark):

@@ -115,9 +115,10 @@ def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzz_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token-sort similarity of part names and types (no SQL form: longest common subsequences)."""
+    """Token-sort similarity of each part's type and name with its name and brand."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(terms.fuzz_ratio(F.col("p_name"), F.col("p_type")), 6).alias("fuzz"))
+    words = lambda *c: F.lower(F.concat_ws(" ", *c))
+    return p.select("p_partkey", F.round(terms.fuzz_ratio(words("p_type", "p_name"), words("p_name", "p_brand")), 6).alias("fuzz"))
 
 
 def rule_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +245,12 @@ ORACLE_SQL = {
     "token_jaccard": """WITH t AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS y, lower(trim(p_name)) AS a, lower(trim(p_type)) AS b FROM part)
  SELECT p_partkey, round(CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_intersect(x, y)) * 1.0 / len(list_distinct(list_concat(x, y))) ELSE 0 END, 6) AS jaccard,
  CASE WHEN a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a)) THEN CAST(1 AS DOUBLE) ELSE 0 END AS substring FROM t""",
+    # longest common subsequences by rows: the best so far of each place, and one more where the characters agree
+    "fuzz_similarity": """WITH RECURSIVE s AS (SELECT p_partkey, array_to_string(list_sort(string_split(lower(concat(p_type, ' ', p_name)), ' ')), ' ') AS x, array_to_string(list_sort(string_split(lower(concat(p_name, ' ', p_brand)), ' ')), ' ') AS y FROM part),
+ d AS (SELECT p_partkey, x, y, 0 AS i, list_transform(range(length(y) + 1), lambda k: CAST(0 AS BIGINT)) AS best FROM s
+  UNION ALL SELECT p_partkey, x, y, i + 1, list_transform(range(length(y) + 1), lambda k: list_max(c[1:k + 1])) FROM (
+   SELECT *, list_transform(range(length(y) + 1), lambda k: greatest(best[k + 1], CASE WHEN k > 0 AND substr(x, i + 1, 1) = substr(y, k, 1) THEN best[k] + 1 ELSE 0 END)) AS c FROM d WHERE i < length(x)))
+ SELECT p_partkey, round(2.0 * best[length(y) + 1] / (length(x) + length(y)), 6) AS fuzz FROM d WHERE i = length(x)""",
     "rule_numbers": """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 2000.0 + p_size WHEN 2 THEN round(1.0 / p_size, 6) WHEN 3 THEN p_size WHEN 4 THEN 3 END AS value,
  CASE p_partkey % 5 WHEN 0 THEN 'mm' WHEN 1 THEN 'degrees' WHEN 2 THEN 'ratio' WHEN 3 THEN 'mm/person' END AS unit, CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size AS DOUBLE) END AS value_min,
  CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size + 7 AS DOUBLE) END AS value_max FROM part""",

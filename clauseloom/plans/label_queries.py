@@ -53,7 +53,7 @@ def annotator_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Span F1 of each pair of annotators, by label and in all (one-to-one assignment has no SQL form)."""
+    """Span F1 of each pair of annotators, by label and in all."""
     return M.span_agreement(L.annotator_spans(_tasks(spark, sf_dir)))
 
 
@@ -95,6 +95,24 @@ _ANSWERS = _T + """a AS (SELECT id AS task, unnest(annotations) AS a FROM t), r
 _LATEST = _T + """l AS (SELECT id AS task_id, CASE WHEN len(annotations) > 0 THEN annotations[len(annotations)].result ELSE predictions[len(predictions)].result END AS rs FROM t), r AS (SELECT task_id, unnest(range(len(rs))) AS p, unnest(rs) AS r FROM l),
  b AS (SELECT task_id, p, r, upper(unnest(r.value.labels)) AS label FROM r WHERE r.type = 'labels')"""
 ORACLE_SQL = {
+    # the pairs of spans of a task are taken in order; each step keeps what has been taken
+    "span_agreement": """WITH RECURSIVE t AS (SELECT DISTINCT id, annotations FROM sample_tasks), n AS (SELECT id AS task, unnest(annotations) AS n FROM t),
+ r AS (SELECT task, n.completed_by AS annotator, n.id AS nid, unnest(range(len(n.result))) AS p, unnest(n.result) AS r FROM n),
+ l AS (SELECT task, annotator, nid, p, coalesce(r.value.start, 0) AS s, coalesce(r.value.end, 0) AS e, unnest(range(len(r.value.labels))) AS q, unnest(r.value.labels) AS label FROM r WHERE r.type = 'labels'),
+ sp AS (SELECT *, row_number() OVER (PARTITION BY annotator, task ORDER BY nid, p, q) AS ord FROM l),
+ pr AS (SELECT x.annotator AS a, y.annotator AS b, x.label, x.task, x.ord AS ao, y.ord AS bo FROM sp x JOIN sp y ON x.task = y.task AND x.label = y.label AND x.annotator < y.annotator
+  WHERE greatest(x.e, y.e) > least(x.s, y.s) AND greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) * 1.0 / (greatest(x.e, y.e) - least(x.s, y.s)) >= 0.5),
+ g AS (SELECT a, b, label, task, list([ao, bo] ORDER BY ao, bo) AS ps FROM pr GROUP BY ALL),
+ d AS (SELECT a, b, label, task, ps, 0 AS i, CAST([] AS BIGINT[]) AS ta, CAST([] AS BIGINT[]) AS tb FROM g UNION ALL
+  SELECT a, b, label, task, ps, i + 1, CASE WHEN free THEN list_append(ta, ps[i + 1][1]) ELSE ta END, CASE WHEN free THEN list_append(tb, ps[i + 1][2]) ELSE tb END
+  FROM (SELECT *, NOT list_contains(ta, ps[i + 1][1]) AND NOT list_contains(tb, ps[i + 1][2]) AS free FROM d WHERE i < len(ps))),
+ m AS (SELECT a, b, label, sum(len(ta)) AS tp FROM d WHERE i = len(ps) GROUP BY ALL), who AS (SELECT DISTINCT task, annotator FROM sp),
+ w AS (SELECT x.task, x.annotator AS a, y.annotator AS b FROM who x JOIN who y ON x.task = y.task AND x.annotator < y.annotator),
+ c AS (SELECT a, b, label, count(*) FILTER (WHERE annotator = a) AS na, count(*) FILTER (WHERE annotator = b) AS nb FROM w JOIN sp ON w.task = sp.task AND (annotator = a OR annotator = b) GROUP BY ALL),
+ k AS (SELECT c.a, c.b, c.label, na, nb, coalesce(tp, 0) AS tp FROM c LEFT JOIN m ON c.a = m.a AND c.b = m.b AND c.label = m.label),
+ u AS (SELECT a, b, label, tp, na, nb FROM k UNION ALL SELECT a, b, NULL, sum(tp), sum(na), sum(nb) FROM k GROUP BY a, b),
+ f AS (SELECT *, coalesce(tp * 1.0 / nullif(nb, 0), 0) AS pc, coalesce(tp * 1.0 / nullif(na, 0), 0) AS rc FROM u)
+ SELECT a, b, label, CAST(tp AS BIGINT) AS tp, CAST(nb - tp AS BIGINT) AS fp, CAST(na - tp AS BIGINT) AS fn, round(pc, 4) AS precision, round(rc, 4) AS recall, round(coalesce(2 * pc * rc / nullif(pc + rc, 0), 0), 4) AS f1 FROM f""",
     "current_tasks": _T.rstrip(", ") + " SELECT id, data.code AS code FROM t WHERE coalesce(data.meta.superseded, '') = ''",
     "task_annotations": _LATEST + """, n AS (SELECT task_id, count(*) FILTER (WHERE label IN ('MANDATORY', 'PROHIBITED', 'RECOMMENDED', 'PERMITTED')) AS d, count(*) FILTER (WHERE label IN ('APPLICABILITY', 'EXCEPTION', 'QUALIFICATION')) AS c, count(*) FILTER (WHERE label LIKE 'DIM\\_%' ESCAPE '\\') AS m,
   count(*) FILTER (WHERE label IN ('CROSS_REF', 'REFERENCE')) AS x, count(*) FILTER (WHERE label = 'EXCEPTION') AS e FROM b GROUP BY 1), h AS (SELECT task_id, count(*) AS h, min_by(r.value.choices[1], p) AS s FROM r WHERE r.type = 'choices' AND r.from_name = 'ifc_entity' AND r.value.choices[1] IS NOT NULL GROUP BY 1)

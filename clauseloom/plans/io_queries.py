@@ -52,6 +52,17 @@ def io_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/baseline").select("eval_id", "run_id", "passed", "failed", "status")
 
 
+def io_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a run, written and read: its evaluations with their status."""
+    from clauseloom.operators import runs as R
+
+    folder = _folder(spark)
+    checks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("eval_id"), F.col("o_orderstatus").alias("label"), (F.col("o_totalprice") > 1000).alias("passed"))
+    sinks.manifest(R.build_results(checks, ["eval_id"]), folder, "20310106T004724Z")
+    back = spark.read.schema("run_id STRING, evals ARRAY<STRUCT<eval_id: STRING, status: STRING>>, passed BOOLEAN").json(folder)
+    return back.select("run_id", "passed", F.explode("evals").alias("e")).select("run_id", "passed", "e.eval_id", "e.status")
+
+
 def rule_loading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of JSON texts of several shapes, flattened."""
     p = table(spark, sf_dir, "part")
@@ -160,7 +171,7 @@ def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", F.round("value_sum", 2).alias("value_sum"))
 
 
-QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, rule_loading, rule_loading_nested, io_tasks, io_drafts, io_findings, io_grounding, status_checks, simulated_candidates, limited_chunks, clause_index, page_ranges, stream_event_windows)}
+QUERIES = {f.__name__: f for f in (io_graph, io_review_queue, io_results, io_manifest, rule_loading, rule_loading_nested, io_tasks, io_drafts, io_findings, io_grounding, status_checks, simulated_candidates, limited_chunks, clause_index, page_ranges, stream_event_windows)}
 
 from clauseloom.plans.graph_queries import _W  # noqa: E402
 from clauseloom.plans.graph_queries import ORACLE_SQL as _GRAPH_SQL  # noqa: E402
@@ -173,6 +184,8 @@ ORACLE_SQL = {
     "io_review_queue": _W + "SELECT key AS edge_key, concat('\"a\", b', chr(10), p_name) AS clause_heading, s_name AS term_name, llm_confidence FROM e JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s WHERE llm_verdict = 'uncertain'",
     "io_results": "SELECT o_orderpriority AS eval_id, '20310106T004724Z' AS run_id, CAST(count(*) FILTER (WHERE o_totalprice > 1000) AS BIGINT) AS passed, CAST(count(*) FILTER (WHERE NOT o_totalprice > 1000) AS BIGINT) AS failed, CASE WHEN count(*) FILTER (WHERE NOT o_totalprice > 1000) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders GROUP BY 1",
     "rule_loading": "SELECT concat('9.', p_partkey) AS ref, 'IfcDoor' AS target, '>=' AS operator, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_partkey % 4 < 3",
+    "io_manifest": """WITH r AS (SELECT o_orderpriority AS eval_id, CASE WHEN bool_and(o_totalprice > 1000) THEN 'PASS' ELSE 'FAIL' END AS status FROM orders GROUP BY 1)
+ SELECT '20310106T004724Z' AS run_id, (SELECT bool_and(status = 'PASS') FROM r) AS passed, eval_id, status FROM r""",
     "rule_loading_nested": """SELECT CASE WHEN p_partkey % 6 = 4 THEN '8.1' ELSE concat('9.', p_partkey) END AS ref, CASE WHEN p_partkey % 6 < 4 THEN 'IfcDoor' END AS target,
  CASE WHEN p_partkey % 6 IN (0, 2, 4, 5) THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 6 = 3 THEN 'Rise' END AS value_min_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(p_size AS DOUBLE) END AS value_min_offset,
  CASE WHEN p_partkey % 6 = 3 THEN 'Run' END AS value_max_property, CASE WHEN p_partkey % 6 = 3 THEN CAST(-1.5 AS DOUBLE) END AS value_max_offset FROM part""",

@@ -60,6 +60,36 @@ def paragraph_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clause_id", *[F.size(a[k]).alias(f"n_{k}") for k in ("deontics", "conditions", "requirements", "cross_refs", "dimensions", "dependencies", "ifc_hints")], a["subject"].alias("subject"))
 
 
+def paragraph_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each clause says with its exceptions apart from its conditions."""
+    rows = clauses(spark, sf_dir).withColumns({"s": spans.spans(F.col("text")), "p": obligations.parse_conditions(F.col("text")), "h": annotate.element_hints(F.col("text"))})
+    rows = rows.select("clause_id", annotate.paragraph(F.col("text"), F.col("s"), F.col("p"), F.col("h"), keep_exceptions_apart=True).alias("a"))
+    joined = lambda c: F.array_join(F.transform(f"a.{c}", lambda x: x["text"]), " / ").alias(c)
+    refs = F.array_join(F.flatten(F.transform("a.dependencies", lambda d: F.transform(d["refs"], lambda r: r["normalized"]))), ",")
+    return rows.select("clause_id", joined("conditions"), joined("exceptions"), joined("dependencies"), refs.alias("refs"), F.array_join("a.deontics.operator", ",").alias("deontics"))
+
+
+def clause_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph nodes of the clauses, with what was found in each rolled up."""
+    from clauseloom.operators import graph as G
+    from clauseloom.operators.documents import annotated
+
+    a = F.col("annotation")
+    rows = annotated(clauses(spark, sf_dir)).select(
+        F.col("clause_id").cast("string").alias("ref"), F.col("p_brand").alias("heading"), F.lit(1).alias("level"), F.array("sec").alias("section_path"), "text", F.array(F.col("clause_id").cast("string")).alias("element_ids"),
+        *[a[c].alias(c) for c in ("deontics", "conditions", "dimensions", "ifc_hints")],
+    )
+    out = G.clause_nodes(rows)
+    return out.select("id", "heading", "char_count", F.array_join("deontic_operators", ",").alias("operators"), "has_conditions", "dimension_count", F.array_join("ifc_hints", ",").alias("hints"))
+
+
+def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares with their intervals in words."""
+    p = table(spark, sf_dir, "part")
+    share = F.col("p_size") / 100.0
+    return p.select("p_partkey", rules.confidence_text(share, share / 2, (share + 1) / 2).alias("percent"), rules.confidence_text(share, share / 2, (share + 1) / 2, percent=False).alias("plain"))
+
+
 def paragraph_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each clause depends on, with the references named there, also short ones."""
     from clauseloom.operators.documents import annotated
@@ -156,7 +186,7 @@ def other_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clause_profile, deontic_extract, deontic_summary, condition_parse, condition_summary, cross_ref_extract, dimension_extract, dependency_extract, element_hints, paragraph_annotation, paragraph_dependencies,
+        clause_profile, deontic_extract, deontic_summary, condition_parse, condition_summary, cross_ref_extract, dimension_extract, dependency_extract, element_hints, paragraph_annotation, paragraph_dependencies, paragraph_apart, clause_nodes, interval_texts,
         chunk_preamble, document_deontics, document_spans, document_sentences, token_jaccard, fuzz_similarity, rule_numbers, reference_forms, unit_scaling, other_elements,
     )
 }
@@ -226,6 +256,15 @@ ORACLE_SQL = {
     "element_hints": _WITH + _HINTS,
     "paragraph_dependencies": """SELECT p_partkey AS clause_id, 'subject_to' AS dep_type, 'subject to' AS marker, concat('Subject to ', CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'Article ' END, '9.', p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.1' END, ',') AS text,
  concat('9.', p_size, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '.1' END) AS refs FROM part""",
+    "paragraph_apart": _WITH + """SELECT clause_id, CASE k WHEN 0 THEN concat('the floor area exceeds ', p_size, ' m2') WHEN 2 THEN concat('Table ', sec) ELSE '' END AS conditions,
+ CASE k WHEN 0 THEN concat('permitted by Section ', sec) WHEN 1 THEN concat('Article ', sec, ' applies') ELSE '' END AS exceptions,
+ CASE k WHEN 0 THEN concat('except where permitted by Section ', sec, '.') WHEN 1 THEN concat('unless Article ', sec, ' applies.') WHEN 2 THEN concat('subject to Table ', sec, '.') WHEN 3 THEN concat('Notwithstanding Sentence ', sec, '.(', 1 + p_size % 4, '),') ELSE '' END AS dependencies,
+ CASE WHEN k < 3 THEN sec WHEN k = 3 THEN concat(sec, '.(', 1 + p_size % 4, ')') ELSE '' END AS refs,
+ CASE k WHEN 0 THEN 'SHALL' WHEN 1 THEN 'SHALL NOT,SHALL' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'MAY' WHEN 4 THEN 'MUST NOT,MUST' ELSE 'IS PERMITTED TO,IS PERMITTED' END AS deontics FROM c""",
+    "clause_nodes": _WITH + """SELECT concat('clause::', clause_id) AS id, p_brand AS heading, length(text) AS char_count, CASE k WHEN 0 THEN 'SHALL' WHEN 1 THEN 'SHALL,SHALL NOT' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'MAY' WHEN 4 THEN 'MUST,MUST NOT' ELSE 'IS PERMITTED,IS PERMITTED TO' END AS operators,
+ k < 3 AS has_conditions, CASE k WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS dimension_count, CASE k WHEN 0 THEN 'IfcDoor,IfcSlab' WHEN 1 THEN 'IfcRailing' WHEN 2 THEN 'IfcRailing' WHEN 3 THEN 'IfcRamp' WHEN 4 THEN 'IfcWindow' ELSE 'IfcSensor' END AS hints FROM c""",
+    "interval_texts": """SELECT p_partkey, printf('%.1f%% [95%% CI: %.1f%% – %.1f%%]', p_size * 1.0, p_size / 2.0, (p_size + 100) / 2.0) AS percent,
+ printf('%.3f [95%% CI: %.3f – %.3f]', p_size / 100.0, p_size / 200.0, (p_size + 100) / 200.0) AS plain FROM part""",
     "paragraph_annotation": _WITH + """SELECT clause_id, n_deontics, n_conditions, 1 AS n_requirements, 1 AS n_cross_refs, n_dimensions, n_dependencies, n_ifc_hints, subject FROM c, (VALUES
  (0,1,2,2,1,2,'door'), (1,2,1,1,1,1,'Guards'), (2,1,1,1,1,1,'handrail'), (3,1,0,0,1,1,'ramp'), (4,2,0,1,0,1,'Windows'), (5,2,0,1,0,1,'detector'))
  AS v(t, n_deontics, n_conditions, n_dimensions, n_dependencies, n_ifc_hints, subject) WHERE k = t""",

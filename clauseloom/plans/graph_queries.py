@@ -191,6 +191,16 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clause_id", "term_id", *[F.round(c, 5).alias(c) for c in ("composite", "tfidf_cosine", "jaccard_tokens", "exact_substring")])
 
 
+def candidate_scores_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite scores with all four signals: parts as clauses, the kinds of parts as terms."""
+    p = table(spark, sf_dir, "part")
+    words = F.concat(F.lower("p_type"), F.lit(" "), "p_name")
+    docs = p.select(F.col("p_partkey").alias("clause_id"), F.col("p_name").alias("heading"), F.concat("p_brand", F.lit(" "), words).alias("text"))
+    terms = p.groupBy(words.alias("name")).agg(F.format_string("%09d", F.min("p_partkey")).alias("term_id")).select("term_id", "name", F.col("name").alias("text"))
+    rows = S.score_candidates(docs, terms, "part", top_k=5)
+    return rows.select("clause_id", "term_id", *[F.round(c, 5).alias(c) for c in ("composite", "tfidf_cosine", "jaccard_tokens", "fuzz_ratio", "exact_substring")])
+
+
 def candidate_scores_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite scores with all four signals, separately for classes and properties."""
     docs, _ = _corpus(spark, sf_dir)
@@ -207,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         graph_borderline, graph_tasks, reply_parse, graph_verdicts, graph_drop_rejected, graph_decisions, graph_decision_counts, graph_grounding, graph_review_queue, correction_signal, graph_prioritised,
-        graph_report, ontology_prune, graph_assemble_all_nodes, graph_assemble_all_edges, graph_merge, graph_merge_small, tfidf_topk, candidate_scores, candidate_scores_full,
+        graph_report, ontology_prune, graph_assemble_all_nodes, graph_assemble_all_edges, graph_merge, graph_merge_small, tfidf_topk, candidate_scores, candidate_scores_parts, candidate_scores_full,
     )
 }
 
@@ -224,7 +234,20 @@ _TFIDF = """WITH d AS (SELECT concat('d', doc_id) AS id, 0 AS side, coalesce(tex
  gap AS (SELECT d.id AS c, {k} - coalesce(have, 0) AS miss FROM d LEFT JOIN h ON d.id = h.c WHERE side = 0 AND coalesce(have, 0) < {k}),
  f AS (SELECT gap.c, d.id AS t, miss, row_number() OVER (PARTITION BY gap.c ORDER BY d.id) AS r FROM gap, d WHERE d.side = 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.c = gap.c AND k.t = d.id)),
  s AS (SELECT * FROM k UNION ALL SELECT c, t, 0.0 FROM f WHERE r <= miss) """
+# cosines of parts and their kinds, then the finer signals of the pairs chosen; common lengths row by row
+_PARTS = ("""WITH RECURSIVE q AS (SELECT lower(p_type) || ' ' || p_name AS name, lpad(CAST(min(p_partkey) AS VARCHAR), 9, '0') AS term_id FROM part GROUP BY 1),
+ d AS (SELECT concat('d', p_partkey) AS id, 0 AS side, concat(p_brand, ' ', lower(p_type), ' ', p_name) AS text FROM part UNION ALL SELECT concat('t', term_id), 1, name FROM q),
+ tok AS""" + _TFIDF.split(" tok AS", 1)[1]).replace("{k}", "5") + """, z AS (SELECT CAST(substr(c, 2) AS BIGINT) AS clause_id, substr(t, 2) AS term_id, cosine, p_name AS h, name AS n FROM s JOIN part ON p_partkey = CAST(substr(c, 2) AS BIGINT) JOIN q ON q.term_id = substr(t, 2)),
+ w2 AS (SELECT DISTINCT h, n, array_to_string(list_sort(string_split(h, ' ')), ' ') AS x, array_to_string(list_sort(string_split(n, ' ')), ' ') AS y FROM z),
+ l AS (SELECT h, n, x, y, 0 AS i, list_transform(range(length(y) + 1), lambda k: CAST(0 AS BIGINT)) AS best FROM w2
+  UNION ALL SELECT h, n, x, y, i + 1, list_transform(range(length(y) + 1), lambda k: list_max(o[1:k + 1])) FROM (
+   SELECT *, list_transform(range(length(y) + 1), lambda k: greatest(best[k + 1], CASE WHEN k > 0 AND substr(x, i + 1, 1) = substr(y, k, 1) THEN best[k] + 1 ELSE 0 END)) AS o FROM l WHERE i < length(x))),
+ v AS (SELECT z.*, 2.0 * best[length(y) + 1] / (length(x) + length(y)) AS fuzz, CASE WHEN contains(lower(z.h), lower(z.n)) OR contains(lower(z.n), lower(z.h)) THEN 1.0 ELSE 0 END AS sub,
+  len(list_intersect(list_distinct(string_split(lower(z.h), ' ')), list_distinct(string_split(lower(z.n), ' ')))) * 1.0 / len(list_distinct(list_concat(string_split(lower(z.h), ' '), string_split(lower(z.n), ' ')))) AS jac
+  FROM z JOIN l ON z.h = l.h AND z.n = l.n WHERE i = length(x)), e4 AS (SELECT *, 0.4 * cosine + 0.25 * jac + 0.2 * fuzz + 0.15 * sub AS m FROM v)
+ SELECT clause_id, term_id, round(m, 5) AS composite, round(cosine, 5) AS tfidf_cosine, round(jac, 5) AS jaccard_tokens, round(fuzz, 5) AS fuzz_ratio, CAST(round(sub, 5) AS DOUBLE) AS exact_substring FROM e4 WHERE m >= 0.05"""
 ORACLE_SQL = {
+    "candidate_scores_parts": _PARTS,
     "graph_borderline": _W + "SELECT src, dst, key, kind, composite_score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY composite_score DESC, key) AS r FROM e WHERE composite_score BETWEEN 0.15 AND 0.45) WHERE r <= 2",
     "graph_tasks": _W + r""", b AS (SELECT *, row_number() OVER (PARTITION BY src, kind ORDER BY composite_score DESC, key) AS r FROM e WHERE composite_score BETWEEN 0.15 AND 0.45),
  o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, r) - 1 AS i FROM b WHERE r <= 5),

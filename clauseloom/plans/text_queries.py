@@ -261,7 +261,7 @@ ORACLE_SQL = {
  CASE k WHEN 0 THEN concat('except where permitted by Section ', sec, '.') WHEN 1 THEN concat('unless Article ', sec, ' applies.') WHEN 2 THEN concat('subject to Table ', sec, '.') WHEN 3 THEN concat('Notwithstanding Sentence ', sec, '.(', 1 + p_size % 4, '),') ELSE '' END AS dependencies,
  CASE WHEN k < 3 THEN sec WHEN k = 3 THEN concat(sec, '.(', 1 + p_size % 4, ')') ELSE '' END AS refs,
  CASE k WHEN 0 THEN 'SHALL' WHEN 1 THEN 'SHALL NOT,SHALL' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'MAY' WHEN 4 THEN 'MUST NOT,MUST' ELSE 'IS PERMITTED TO,IS PERMITTED' END AS deontics FROM c""",
-    "clause_nodes": _WITH + """SELECT concat('clause::', clause_id) AS id, p_brand AS heading, length(text) AS char_count, CASE k WHEN 0 THEN 'SHALL' WHEN 1 THEN 'SHALL,SHALL NOT' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'MAY' WHEN 4 THEN 'MUST,MUST NOT' ELSE 'IS PERMITTED,IS PERMITTED TO' END AS operators,
+    "clause_nodes": _WITH + """SELECT concat('clause::', clause_id) AS id, p_brand AS heading, CAST(length(text) AS INTEGER) AS char_count, CASE k WHEN 0 THEN 'SHALL' WHEN 1 THEN 'SHALL,SHALL NOT' WHEN 2 THEN 'SHOULD' WHEN 3 THEN 'MAY' WHEN 4 THEN 'MUST,MUST NOT' ELSE 'IS PERMITTED,IS PERMITTED TO' END AS operators,
  k < 3 AS has_conditions, CASE k WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS dimension_count, CASE k WHEN 0 THEN 'IfcDoor,IfcSlab' WHEN 1 THEN 'IfcRailing' WHEN 2 THEN 'IfcRailing' WHEN 3 THEN 'IfcRamp' WHEN 4 THEN 'IfcWindow' ELSE 'IfcSensor' END AS hints FROM c""",
     "interval_texts": """SELECT p_partkey, printf('%.1f%% [95%% CI: %.1f%% – %.1f%%]', p_size * 1.0, p_size / 2.0, (p_size + 100) / 2.0) AS percent,
  printf('%.3f [95%% CI: %.3f – %.3f]', p_size / 100.0, p_size / 200.0, (p_size + 100) / 200.0) AS plain FROM part""",

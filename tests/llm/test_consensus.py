@@ -42,8 +42,8 @@ def test_settling_is_reported(spark):
 def test_misspelt_labels_shift_no_weight(spark):
     rng = random.Random(3)
     votes = [("q", i, f"w{k}", "yes" if rng.random() < 0.8 else "no") for i in range(800) for k in range(3)]
-    clean = consensus.consensus(spark.createDataFrame(votes, KIND), ["question", "item"], "question")[1]
-    odd = consensus.consensus(spark.createDataFrame([*votes, ("q", 9001, "w1", "yess"), ("q", 9002, "w1", "noo")], KIND), ["question", "item"], "question")[1]
+    clean = consensus.consensus(spark.createDataFrame(votes, KIND), ["question", "item"], "question", rounds=3)[1]
+    odd = consensus.consensus(spark.createDataFrame([*votes, ("q", 9001, "w1", "yess"), ("q", 9002, "w1", "noo")], KIND), ["question", "item"], "question", rounds=3)[1]
     assert rounded(clean.select("annotator", "weight")) == rounded(odd.select("annotator", "weight"))
 
 

@@ -112,9 +112,9 @@ def match_rules(gold: DataFrame, extracted: DataFrame, gold_id: str = "gold_id",
     tables and kept in a checkpoint.
     """
     rules = extracted.join(prepared(extracted, rule_id).where("dimensional").select(rule_id), rule_id, "left_semi")
-    candidates = with_area(cut(candidate_pairs(gold, rules, gold_id, rule_id, aliases)))  # read for the pairs and for the redundant rules
+    candidates = cut(candidate_pairs(gold, rules, gold_id, rule_id, aliases))  # read for the pairs and for the redundant rules
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(m).alias("ok")) for m in MODES])
-    long = candidates.select(gold_id, rule_id, "area", F.explode(modes).alias("_m")).where("_m.ok").select(F.col("_m.mode").alias("mode"), "area", gold_id, rule_id)
+    long = with_area(candidates).select(gold_id, rule_id, "area", F.explode(modes).alias("_m")).where("_m.ok").select(F.col("_m.mode").alias("mode"), "area", gold_id, rule_id)
     pairs = cut(greedy(long, gold_id, rule_id, ["mode", "area"]).drop("area"))  # all four tables are told from them
     all_modes = F.explode(F.array(*[F.lit(m) for m in MODES])).alias("mode")
     missed = gold.select(gold_id, all_modes).join(pairs, ["mode", gold_id], "left_anti")

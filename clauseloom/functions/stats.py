@@ -13,6 +13,8 @@ from clauseloom.operators.ordered import average_ranks
 
 # Normal quantiles of the usual confidence levels.
 Z = {0.95: 1.95996398454, 0.90: 1.64485362695, 0.99: 2.57582930355}
+#: Rows of a group up to which its values travel as one array, and rows of a table of draws up to which it is sent to all tasks.
+ARRAY_ROWS, FEW_DRAWS = 1_000_000, 500_000
 
 
 def normal_quantile(confidence: float) -> float:
@@ -204,20 +206,64 @@ def bootstrap(
     return point.join(bounds, by, "left") if by else point.crossJoin(bounds)
 
 
-def bootstrap_indexed(df: DataFrame, by: list[str], position: str, value: str, draws: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """by, estimate, lower, upper of the mean under a given table of draws (n, b, pos, idx): exact resampling of small groups.
-
-    ``position`` numbers a group's rows from 0; a group of n rows uses the draws
-    of that n. The table may come from any generator (:func:`draw_table`).
+def bootstrap_indexed(
+    df: DataFrame, by: list[str], position: str, value: str, draws: DataFrame | Callable[[Column, Column, Column], Column], confidence: float = 0.95, resamples: int = 1000
+) -> DataFrame:
+    """by, estimate, lower, upper of the mean under given draws: exact resampling.
+
+    ``position`` numbers a group's rows from 0. ``draws`` is a rule that gives the
+    position drawn from n, the resample's number (from 0, below ``resamples``) and
+    the place in it (from 0), all BIGINT; or a table (n, b, pos, idx) from any
+    generator (:func:`draw_table`), of which a group of n rows uses the draws of
+    that n. There are ``resamples`` times as many draws as rows, so values go to
+    the draws: under a rule no draw is shuffled or sent, and a table of more than
+    ``FEW_DRAWS`` is met in a sorted join, however small the planner takes it for.
     """
     alpha = (1 - confidence) / 2
-    sized = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
-    stats = sized.join(draws, (sized["_n"] == draws["n"]) & (sized[position] == draws["idx"])).groupBy(*by, "b").agg(F.avg(value).alias("_stat"))
+    four = lambda c: F.round(F.round(c, 9), 4)  # noqa: E731  means of values with two decimals often end in half a fourth one, and sums in another order differ in their last digits
+    stats = _stats_of_rule(df, by, position, value, draws, resamples) if callable(draws) else _stats_of_table(_sized(df, by), by, position, value, draws)
     ordered = stats.groupBy(*by).agg(F.sort_array(F.collect_list("_stat")).alias("_all"))
     n = F.size("_all")
     low, high = F.floor(n * alpha).cast("int"), F.least(F.floor(n * (1 - alpha)).cast("int"), n - 1)
-    bounds = ordered.select(*by, F.round(F.get("_all", low), 4).alias("lower"), F.round(F.get("_all", high), 4).alias("upper"))
-    return df.groupBy(*by).agg(F.round(F.avg(value), 4).alias("estimate")).join(bounds, by)
+    bounds = ordered.select(*by, four(F.get("_all", low)).alias("lower"), four(F.get("_all", high)).alias("upper"))
+    return df.groupBy(*by).agg(four(F.avg(value)).alias("estimate")).join(bounds, by)
+
+
+def _sized(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+
+
+def _stats_of_table(sized: DataFrame, by: list[str], position: str, value: str, draws: DataFrame) -> DataFrame:
+    """by, b and _stat, the mean of each resample. Tables made by ``explode`` look small to the planner, so their rows are counted as far as the bound."""
+    near = F.broadcast(draws) if draws.limit(FEW_DRAWS + 1).count() <= FEW_DRAWS else draws.hint("merge")
+    return sized.join(near, (sized["_n"] == draws["n"]) & (sized[position] == draws["idx"])).groupBy(*by, "b").agg(F.avg(value).alias("_stat"))
+
+
+def _stats_of_rule(df: DataFrame, by: list[str], position: str, value: str, rule: Callable[[Column, Column, Column], Column], resamples: int) -> DataFrame:
+    """by, b and _stat, the mean of each resample.
+
+    A group's values travel as one array, once for each part of its resamples;
+    a group has parts in proportion to its share of all rows. Groups of more
+    than ``ARRAY_ROWS`` rows meet a table made from the rule.
+    """
+    session, long = df.sparkSession, lambda v: F.lit(v).cast("bigint")
+    largest, total = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    sized = None if (largest or 0) <= ARRAY_ROWS else _sized(df, by)
+    short = df if sized is None else sized.where(F.col("_n") <= ARRAY_ROWS)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))), lambda x: x["v"])
+    groups = short.groupBy(*by).agg(listed.alias("_values")).withColumn("_n", F.size("_values").cast("bigint"))
+    groups = groups.withColumn("_parts", F.least(long(resamples), F.ceil(F.col("_n") * tasks / F.lit(total))))
+    dealt = groups.withColumn("_part", F.explode(F.sequence(long(0), F.col("_parts") - 1))).repartition(tasks, *by, "_part")
+    each = dealt.withColumn("b", F.explode(F.sequence("_part", long(resamples - 1), "_parts"))).withColumn("_pos", F.explode(F.sequence(long(0), F.col("_n") - 1)))
+    drawn = F.get("_values", rule(F.col("_n"), F.col("b"), F.col("_pos")).cast("int"))
+    stats = each.groupBy(*by, "_part", "b").agg(F.avg(drawn).alias("_stat")).drop("_part")  # where the part is
+    if sized is None:
+        return stats
+    large = sized.where(F.col("_n") > ARRAY_ROWS)
+    draws = large.select(F.col("_n").alias("n")).distinct().withColumn("b", F.explode(F.sequence(long(0), long(resamples - 1)))).repartition(tasks, "n", "b")
+    draws = draws.withColumn("pos", F.explode(F.sequence(long(0), F.col("n") - 1)))
+    return stats.unionByName(_stats_of_table(large, by, position, value, draws.withColumn("idx", rule(F.col("n"), F.col("b"), F.col("pos")))))
 
 
 def draw_table(spark, sizes: list[int], resamples: int, seed: int = 42) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from clauseloom.functions import stats
 from clauseloom.operators import compliance, documents, graph, labels, matching, runs, similarity
+from clauseloom.plans import stat_queries
 from clauseloom.sources import files, sinks
-from conftest import rows
+from conftest import DATA, rows, same_rows
 
 
 def test_confusion_and_wilson(spark):
@@ -48,6 +49,43 @@ def test_bootstrap(spark):
     assert rows(stats.bootstrap_indexed(small, ["g"], "pos", "v", draws)) == [(1, 2.0, round(means[2], 4), round(means[97], 4))]
 
 
+def _broadcast_bytes(plan):
+    """Bytes of all broadcasts of a plan that has run."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return _broadcast_bytes(plan.executedPlan())
+    own = plan.metrics().apply("dataSize").value() if plan.nodeName() == "BroadcastExchange" else 0
+    below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + sum(map(_broadcast_bytes, below))
+
+
+def test_bootstrap_sends_no_draws(spark, tmp_path):
+    sent = tmp_path / "supplier.parquet"
+    spark.range(1000).selectExpr("id AS s_suppkey", "CAST(id >= 940 AS INT) AS s_nationkey", "id * 7919 % 100003 / 100D AS s_acctbal").write.parquet(str(sent))
+    df = stat_queries.QUERIES["bootstrap_indexed"](spark, str(tmp_path))
+    sql = stat_queries.ORACLE_SQL["bootstrap_indexed"].replace("FROM supplier", f"FROM read_parquet('{sent}/*.parquet')")
+    same_rows(df, sql, DATA)
+    df.collect()
+    assert _broadcast_bytes(df._jdf.queryExecution().executedPlan()) < 10 << 20  # a million draws take more
+
+
+@pytest.mark.parametrize(("array_rows", "few_draws"), [(1000, 10**6), (6, 10**6), (6, 0), (0, 0)])
+def test_bootstrap_by_rule_and_by_table(spark, monkeypatch, array_rows, few_draws):
+    groups = {"a": [1.0], "b": [float(k) for k in range(5)], "c": [None, *range(6)], "d": [k * 0.01 for k in range(40)], "e": [None, None]}
+    df = spark.createDataFrame([(g, k, v if v is None else float(v)) for g, vs in groups.items() for k, v in enumerate(vs)], "g STRING, pos INT, v DOUBLE")
+    rule = lambda n, b, pos: (b * 31 + pos * 17 + b * pos * 7) % 1009 % n
+    draws = spark.createDataFrame([(n, b, p, rule(n, b, p)) for n in {len(v) for v in groups.values()} for b in range(50) for p in range(n)], "n INT, b INT, pos INT, idx INT")
+    want = []
+    for g, vs in groups.items():
+        drawn = [[vs[rule(len(vs), b, p)] for p in range(len(vs))] for b in range(50)]
+        means = sorted(sum(x) / len(x) for d in drawn if (x := [v for v in d if v is not None]))
+        have = [v for v in vs if v is not None]
+        want.append((g, *([round(x + 1e-9, 4) for x in (sum(have) / len(have), means[int(len(means) * 0.025)], means[min(int(len(means) * 0.975), len(means) - 1)])] if have else [None] * 3)))
+    monkeypatch.setattr(stats, "ARRAY_ROWS", array_rows)
+    monkeypatch.setattr(stats, "FEW_DRAWS", few_draws)
+    assert sorted(rows(stats.bootstrap_indexed(df, ["g"], "pos", "v", rule, resamples=50))) == want
+    assert sorted(rows(stats.bootstrap_indexed(df, ["g"], "pos", "v", draws))) == want
+
+
 MARKUP = '<d><heading level="1">9.8 Stairs</heading><text>one shall</text><text>two</text><heading level="2">9.8.4. Treads</heading><table><fcel/>Run<fcel/>Rise<nl/><fcel/>255<nl/></table><heading>Last</heading></d>'
 
 
